@@ -208,7 +208,10 @@ class Tables:
 
     @property
     def sheets(self) -> DataFrame:
-        rows = self.raw("orders").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(N_TAXA_PER_SHEET - 1))))
+        # A small table is one file and one task; spread the orders before each becomes 26 wide rows.
+        tasks = self.spark.sparkContext.defaultParallelism
+        rows = self.raw("orders").repartition(tasks, "o_orderkey")
+        rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(N_TAXA_PER_SHEET - 1))))
         return rows.selectExpr(*SHEET_EXPRS)
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -239,7 +242,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not used:
         return body
-    if body.upper().startswith("WITH "):
+    if body.upper().startswith(("WITH ", "WITH\n")):
         return f"WITH {ctes}, {body[5:]}"
     return f"WITH {ctes} {body}"
 

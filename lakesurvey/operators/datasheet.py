@@ -7,7 +7,6 @@ the source file by default, because a hand-typed sample id may be wrong or repea
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,22 +103,22 @@ def split_eggs(lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lengths.filter(F.col("Life_stage") != "Egg"), eggs
 
 
-def _tally(conds: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(False)).cast("int") for c in conds])
-
-
 def stage_proportions(sheets: DataFrame, headers: DataFrame, cutoffs: DataFrame, key: str = KEY, *, always_younger: Sequence[str] = ALWAYS_YOUNGER) -> DataFrame:
     """Share of measured individuals at or over the cutoff, per sheet and unstaged taxon.
 
     The twenty cells are tallied within the row, so what is shuffled is one row per taxon row and
-    not one per individual.
+    not one per individual. They are parsed as one array: a loop in the generated code, where
+    twenty separate casts would make a method too long to be compiled.
     """
     rows = initial_life_stage(sheets.select(key, TAXON, *LENGTH_CELLS)).filter(F.col("Life_stage") == "Other")
+    units = F.array(*LENGTH_CELLS).try_cast("array<double>")
+    rows = rows.select(key, TAXON, units.alias("units"))
     rows = attach_cutoffs(attach_scalars(rows, headers, ["mm_per_ocular_unit"], on=key), cutoffs)
-    mm = [to_number(c) * F.col("mm_per_ocular_unit") for c in LENGTH_CELLS]
-    cutoff = F.coalesce("Length_cutoff", F.lit(0.0))
+    mm, cutoff = F.col("mm_per_ocular_unit"), F.coalesce("Length_cutoff", F.lit(0.0))
     tallied = rows.select(
-        key, TAXON, _tally([m.isNotNull() for m in mm]).alias("n"), _tally([m >= cutoff for m in mm]).alias("n_over")
+        key, TAXON,
+        F.size(F.filter("units", lambda u: (u * mm).isNotNull())).alias("n"),
+        F.size(F.filter("units", lambda u: u * mm >= cutoff)).alias("n_over"),
     )
     older = ratio(F.sum("n_over"), F.sum("n"))
     by_name = matches(TAXON, *always_younger)

@@ -16,6 +16,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Skip the sorts of a merge join when each partition of one side turns out to fit this map.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # The JVM never compiles a method beyond 8000 bytes of bytecode; a wider generated stage is better
+    # run as separate operators, whose expressions are split into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 
