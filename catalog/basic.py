@@ -44,7 +44,7 @@ def _sheet_totals(rows):
 @query("s1_scan_datasheets", SHEET_TOTALS)
 def _(t):
     path = shared_folder(t.spark, "sheets")
-    write_csv(t.sheets.drop("source_file"), path)
+    write_csv(t.derive_sheets().drop("source_file"), path)
     return _sheet_totals(scan_datasheets(t.spark, path))
 
 
@@ -115,7 +115,7 @@ def _(t):
 @query("s8_archive_raw", SHEET_TOTALS)
 def _(t):
     path = shared_folder(t.spark, "raw")
-    archive_raw(t.sheets, path)
+    archive_raw(t.derive_sheets(), path)
     return _sheet_totals(read_table(t.spark, path))
 
 

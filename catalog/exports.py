@@ -77,7 +77,7 @@ UNION ALL SELECT 'zoop_egg_counts', year, COUNT(*) FROM all_lengths JOIN y USING
 def _(t):
     # Entered the whole way: sheets are archived, staged, checked, appended to six tables and read back.
     raw, stage, warehouse = (shared_folder(t.spark, name) for name in ("raw", "stage", "warehouse"))
-    archive_raw(t.sheets, raw)
+    archive_raw(t.derive_sheets(), raw)
     done = ing.ingest_staged(read_table(t.spark, raw), t.cutoffs, stage)
     ing.load_tables(done, t.taxa_groups, warehouse)
     stored = [
