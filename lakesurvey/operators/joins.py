@@ -1,25 +1,27 @@
 """Left joins of facts to samples, taxa and rules.
 
-No side is broadcast by hint here: the planner broadcasts a dimension when its size, known from
-files or measured at run time, is under the session threshold, and sorts and merges otherwise,
-splitting hot keys. Only rule tables written in code carry a hint, with their length checked.
+Nothing here is broadcast by hint. The planner knows the size of files and of rule tables written
+in code, and measures the rest at run time: a side under the session threshold is broadcast, any
+other join sorts and merges, with hot keys split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-RULE_ROWS_BROADCAST = 20_000
-
-
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
-    """Rules given in code as a frame; broadcast only while the list is short."""
-    frame = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(frame) if len(rows) <= RULE_ROWS_BROADCAST else frame
+    """Rules given in code as a frame of known size (a local relation, not a parallelized list)."""
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in kind]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    table = pa.table([pa.array(list(c), t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+    return spark.createDataFrame(table, kind)
 
 
 def left_join(
