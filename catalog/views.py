@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakesurvey.schemas import HEADER, LENGTH_CELLS
 from lakesurvey.session import shared_folder
@@ -197,6 +198,7 @@ SHEET_EXPRS = [
 
 
 _ARCHIVES: dict[tuple[str, str], str] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 class Tables:
@@ -206,7 +208,11 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        # Reading the schema off the footers costs a job; it is done once per table.
+        path = self.path(table)
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}.parquet"

@@ -62,6 +62,22 @@ def date_range(
     return df
 
 
+def within_years(df: DataFrame, *, after: date | None = None, before: date | None = None, first: date | None = None, column: str = "year") -> DataFrame:
+    """Skip the year partitions outside a span of sample dates; a no-op for an unpartitioned table.
+
+    The stored tables carry the sample year as partition column, so a bound on the date of the
+    joined sample also bounds which folders of the facts are read.
+    """
+    if column not in df.columns:
+        return df
+    low = max((d.year for d in (after, first) if d is not None), default=None)
+    if low is not None:
+        df = df.filter(F.col(column) >= low)
+    if before is not None:
+        df = df.filter(F.col(column) <= before.year)
+    return df
+
+
 def equals_all(df: DataFrame, *, equal: Mapping[str, object] | None = None, differ: Mapping[str, Sequence] | None = None) -> DataFrame:
     """Equality and inequality filters; a row with a missing value fails both kinds."""
     for column, value in (equal or {}).items():

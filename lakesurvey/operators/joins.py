@@ -26,13 +26,18 @@ def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType |
 
 def left_join(
     facts: DataFrame, dim: DataFrame, on: str | Sequence[str], *, null_keys: bool = True,
-    collisions: str = "left", suffix: str = "_right",
+    collisions: str = "left", suffix: str = "_right", how: str = "left", split_hot: bool = True,
 ) -> DataFrame:
     """Left join on equally named keys.
 
     ``null_keys`` lets a missing key match a missing key. Switch it off for a dimension whose key
     is never null: plain equality keeps the partitioning usable for a following aggregate.
     Same-named other columns are taken from the left, or kept from the right under ``suffix``.
+
+    A hot key is split at run time only where both inputs of the join come straight from a shuffle.
+    A dimension that was itself joined or grouped by the key would be taken over as it lies, so
+    with ``split_hot`` its key is wrapped and it is shuffled anew: one more exchange of the smaller
+    side. Switch it off for tables bucketed by the key.
     """
     keys = [on] if isinstance(on, str) else list(on)
     clash = [c for c in dim.columns if c in facts.columns and c not in keys]
@@ -41,13 +46,19 @@ def left_join(
     else:
         dim = dim.withColumnsRenamed({c: c + suffix for c in clash})
     hidden = {k: f"__key_{k}" for k in keys}
-    dim = dim.withColumnsRenamed(hidden)
+    wrapped = [(F.when(F.col(k).isNotNull(), F.col(k)) if split_hot else F.col(k)).alias(hidden[k]) for k in keys]
+    dim = dim.select(*wrapped, *[c for c in dim.columns if c not in hidden])
     cond = None
     for k in keys:
         left, right = F.col(k), F.col(hidden[k])
         part = left.eqNullSafe(right) if null_keys else left == right
         cond = part if cond is None else cond & part
-    return facts.join(dim, cond, "left").drop(*hidden.values())
+    return facts.join(dim, cond, how).drop(*hidden.values())
+
+
+def inner_join(facts: DataFrame, dim: DataFrame, on: str | Sequence[str], *, split_hot: bool = True) -> DataFrame:
+    """Facts with a match, on keys that are never null; hot keys as in :func:`left_join`."""
+    return left_join(facts, dim, on, null_keys=False, how="inner", split_hot=split_hot)
 
 
 def enrich_taxa(

@@ -12,7 +12,7 @@ from lakesurvey.functions import null_below
 from lakesurvey.operators.aggregates import mean_se, monthly_rollup, sum_zero_empty
 from lakesurvey.operators.cleaning import (
     apply_overrides, choose_column_by_key, date_range, keep_members, null_by_key, recode_values, regex_exclude,
-    select_rename,
+    select_rename, within_years,
 )
 from lakesurvey.operators.datasheet import count_to_density, sampled_volume_litres
 from lakesurvey.operators.harmonize import (
@@ -20,7 +20,7 @@ from lakesurvey.operators.harmonize import (
     crustacean_total, env_monthly, major_group_totals, order_subset_total, reassign_immatures, rename_taxa,
     season_mean, stable_labels, with_collapsed_stage, year_offset,
 )
-from lakesurvey.operators.joins import enrich_taxa, left_join
+from lakesurvey.operators.joins import enrich_taxa, inner_join, left_join
 from lakesurvey.operators.quality import qa_volume_agreement
 from lakesurvey.operators.reshape import pivot_groups
 from lakesurvey.operators.windows import grouped_mutate
@@ -70,7 +70,8 @@ def corrected_counts(
     volumes = volumes.select("Sample_ID", "Vol_sampled_L", "Vol_sampled_L2", "V1toV2ratio", "V1equalsV2")
     samples = left_join(samples, volumes, "Sample_ID", null_keys=False)
     # The export keeps only samples that pass the date and site filters: an inner join says the same.
-    rows = final.select("Sample_ID", TAXON, "Life_stage", *measures).join(samples, "Sample_ID")
+    facts = within_years(final, after=after)
+    rows = inner_join(facts.select("Sample_ID", TAXON, "Life_stage", *measures), samples, "Sample_ID")
     rows = enrich_taxa(rows, taxa, ["Order1"], allow_fanout=allow_fanout)
     rows = count_to_density(rows, volume="Vol_sampled_L", into="density_stored_volume")
     rows = count_to_density(rows, volume="Vol_sampled_L2", into="density_computed_volume")
@@ -104,8 +105,12 @@ def _biop_groups(rows: DataFrame, taxa: DataFrame) -> DataFrame:
     return sum_zero_empty(labelled, [*SAMPLE, "biop_152_names", "biop_152_codes"], MEASURES, [LENGTH])
 
 
+def one_year(df: DataFrame, year: int) -> DataFrame:
+    return within_years(df, first=date(year, 1, 1), before=date(year, 12, 31))
+
+
 def _star_with_density(final, sample_info, taxa, inventory, *, year, project, sites, volumes_after) -> DataFrame:
-    rows = sql_star_query(final, sample_info, taxa, year=year, project=project)
+    rows = sql_star_query(one_year(final, year), sample_info, taxa, year=year, project=project)
     rows = keep_members(rows, "Sample_site", sites)
     volumes = checked_volumes(inventory, sites, after=volumes_after, corrections=Corrections())
     rows = left_join(rows, volumes.select("Sample_ID", "Vol_sampled_L2"), "Sample_ID", null_keys=False)
@@ -154,7 +159,7 @@ def ftg_window_variant(
 ) -> DataFrame:
     """Sample by taxon totals kept on every row, then distinct."""
     rows = sql_star_query(
-        final, sample_info, taxa, year=year, project=project,
+        one_year(final, year), sample_info, taxa, year=year, project=project,
         taxa_columns=("Order1", "FTG_Groups_1", "biop_152_codes", "biop_152_names"),
     ).fillna(0.0, ["Zoop_density"])
     rows = reassign_immatures(rows, immatures)
@@ -171,7 +176,8 @@ def basin_wide_matrix(
     """Sample by major group biomass in wide form, with surface temperature."""
     samples = sample_info.select(*SAMPLE, "Surface_temp")
     samples = keep_members(date_range(samples, "Sample_date", first=first, before=before), "Sample_site", sites)
-    rows = final.select("Sample_ID", TAXON, "Life_stage", "Zoop_biomass").join(samples, "Sample_ID")
+    facts = within_years(final, first=first, before=before)
+    rows = inner_join(facts.select("Sample_ID", TAXON, "Life_stage", "Zoop_biomass"), samples, "Sample_ID")
     # Eggs are dropped before the sums, which have the stage in their key. Surface temperature
     # rides along as a function of the sample, which saves a join back to the samples.
     rows = rows.filter(F.col("Life_stage") != "Egg")
@@ -237,6 +243,7 @@ def annual_report(
     # is stated as dates, which the sample scan can use.
     span = {"first": date(min(offsets), 1, 1), "before": date(max(offsets) + 1, 1, 1)}
     sample_info = date_range(sample_info, "Sample_date", **span)
+    final = within_years(final, **span)
     rows = sample_taxa(
         final, sample_info, taxa, inventory, sites=sites, volume_sites=volume_sites, corrections=corrections
     )

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from lakesurvey.operators.aggregates import count_min_max, resolve_dups_by_mean
 from lakesurvey.operators.cleaning import (
-    date_range, equals_all, keep_members, null_if_implausible, recode_values, threshold_filter,
+    date_range, equals_all, keep_members, null_if_implausible, recode_values, threshold_filter, within_years,
 )
 from lakesurvey.operators.harmonize import counter_period_class, size_groups
-from lakesurvey.operators.joins import enrich_taxa, left_join, star_join
+from lakesurvey.operators.joins import enrich_taxa, inner_join, left_join, star_join
 from lakesurvey.operators.rates import mean_individual_mass
 from lakesurvey.operators.windows import duplicate_rows
 from lakesurvey.plans.rules import COMPARED_CALANOIDS, DOUBLE_COUNTED_PHYTO, LONGEST_MM
@@ -29,7 +29,7 @@ PHYTO_TAXON = ("Taxa_name", "Kingdom", "Phylum", "Class", "Order1", "Family", "G
 def phyto_star(final: DataFrame, samples: DataFrame, taxa: DataFrame, sites: DataFrame, *, project: str) -> DataFrame:
     """Phytoplankton results of one project with sample, taxon and site columns."""
     samples = equals_all(samples.select(*SAMPLE, "Water_body", "Project"), equal={"Project": project})
-    rows = final.select("Sample_ID", "Genus_type", "Phyto_density", "Phyto_biomass").join(samples, "Sample_ID")
+    rows = inner_join(final.select("Sample_ID", "Genus_type", "Phyto_density", "Phyto_biomass"), samples, "Sample_ID")
     return star_join(rows, [
         (taxa.select("Genus_type", *PHYTO_TAXON).distinct(), "Genus_type"),
         (sites.select("Sample_site", "Latitude", "Longitude"), "Sample_site"),
@@ -53,7 +53,8 @@ def _request_rows(
 ) -> DataFrame:
     samples = date_range(sample_info.select(*SAMPLE, "Project"), "Sample_date", after=after, before=before)
     samples = equals_all(samples, differ={"Project": exclude_projects})
-    rows = final.select(*FINAL_KEY, *MEASURES).join(samples, "Sample_ID")
+    facts = within_years(final, after=after, before=before)
+    rows = inner_join(facts.select(*FINAL_KEY, *MEASURES), samples, "Sample_ID")
     return recode_values(rows, "Project", project_typos)
 
 
@@ -75,7 +76,8 @@ def foia_phyto(
 ) -> DataFrame:
     """Released phytoplankton."""
     dated = date_range(samples.select(*SAMPLE, "Project"), "Sample_date", after=after, before=before)
-    rows = final.select("Sample_ID", "Genus_type", "Phyto_density", "Phyto_biomass").join(dated, "Sample_ID")
+    facts = within_years(final, after=after, before=before)
+    rows = inner_join(facts.select("Sample_ID", "Genus_type", "Phyto_density", "Phyto_biomass"), dated, "Sample_ID")
     return enrich_taxa(rows, taxa, ["Taxa_name", "Phylum", "Genus"], on="Genus_type")
 
 
@@ -136,7 +138,7 @@ def phyto_site_counts(final, samples, site_table, *, project: str) -> DataFrame:
 def zoop_site_counts(inventory, sample_info, *, project: str) -> DataFrame:
     """Site counts of inventoried samples of one project."""
     samples = equals_all(sample_info.select(*SAMPLE, "Project"), equal={"Project": project})
-    return site_counts(inventory.select("Sample_ID", "Latitude", "Longitude").join(samples, "Sample_ID"))
+    return site_counts(inner_join(inventory.select("Sample_ID", "Latitude", "Longitude"), samples, "Sample_ID"))
 
 
 def length_explore(
@@ -158,7 +160,7 @@ def individual_masses(final: DataFrame, sample_info: DataFrame, taxa: DataFrame,
     samples = equals_all(sample_info.select(*SAMPLE, "Project"), equal={"Project": project})
     rows = final.select(*FINAL_KEY, "Zoop_density", "Zoop_biomass")
     rows = mean_individual_mass(equals_all(rows, differ={"Life_stage": ["Egg", "Nauplii"]}))
-    rows = rows.drop("Zoop_density", "Zoop_biomass").join(samples, "Sample_ID")
+    rows = inner_join(rows.drop("Zoop_density", "Zoop_biomass"), samples, "Sample_ID")
     return enrich_taxa(rows, taxa, ["Genus", "Family", "Order1"])
 
 

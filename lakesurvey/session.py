@@ -11,6 +11,10 @@ from pyspark.sql import SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small shuffles keep all cores busy; large ones are cut by the advisory size as usual.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    # A side whose measured size is under this is broadcast at run time, whatever was estimated.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     # A sample, taxon or site may hold a large share of the facts: split its join tasks even
     # where that costs one more exchange before the aggregate that follows.
     "spark.sql.adaptive.skewJoin.enabled": "true",

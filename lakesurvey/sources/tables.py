@@ -77,3 +77,13 @@ def append_table(df: DataFrame, path: str, *, partition: str | None = None) -> N
         df.write.mode("append").parquet(path)
     else:
         df.hint("rebalance", F.col(partition)).write.mode("append").partitionBy(partition).parquet(path)
+
+
+def append_bucketed(df: DataFrame, table: str, *, key: str = "Sample_ID", buckets: int = 1024, path: str | None = None) -> None:
+    """Append to a catalog table stored in buckets of a key.
+
+    Facts and samples bucketed alike join, and then group, by that key without a shuffle. Rows are
+    sent to their bucket first, so that a bucket is a few files and not one per task.
+    """
+    writer = df.repartition(buckets, key).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
