@@ -66,10 +66,10 @@ SELECT f.Sample_ID, s.Sample_date, s.Sample_site, f.Genus_sp_lifestage, f.Life_s
   x.Order1, s.Project, {S('s.Subsampled_vol_mL', 'Subsampled_vol_mL')}, {S('s.Diluted_vol_mL', 'Diluted_vol_mL')}
 FROM zoop_final f LEFT JOIN sample_info s ON f.Sample_ID = s.Sample_ID
 LEFT JOIN (SELECT DISTINCT Genus_sp_lifestage, Order1 FROM taxa_groups) x ON f.Genus_sp_lifestage = x.Genus_sp_lifestage
-WHERE CAST(s.Sample_date AS STRING) LIKE '%1998%' AND s.Project ILIKE 'core'
+WHERE CAST(s.Sample_date AS STRING) LIKE '%1998%' AND s.Project = 'CORE'
 """)
 def _(t):
-    return snapped(sql_star_query(t.zoop_final, t.sample_info, t.taxa_groups, year=1998, project="core"))
+    return snapped(sql_star_query(t.zoop_final, t.sample_info, t.taxa_groups, year=1998, project="CORE"))
 
 
 @query("s5_union_files", f"""

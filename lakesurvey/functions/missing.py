@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "any_of", "as_col", "blank_to_null", "half_even", "if_else", "is_member", "matches", "mean_skip",
+    "any_of", "as_col", "blank_to_null", "half_even", "has_any", "if_else", "is_member", "matches", "mean_skip",
     "mean_strict", "null_below", "null_when", "paste", "ratio", "sum0", "to_number",
 ]
 
@@ -39,6 +39,11 @@ def matches(c: Column | str, *patterns: str) -> Column:
     return any_of(F.coalesce(as_col(c).rlike(p), F.lit(False)) for p in patterns)
 
 
+def has_any(c: Column | str, *fragments: str) -> Column:
+    """True where any plain fragment occurs in the text (never null); cheaper than a pattern."""
+    return any_of(F.coalesce(as_col(c).contains(f), F.lit(False)) for f in fragments)
+
+
 def any_of(conds: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds, F.lit(False))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lakesurvey.functions.missing import as_col, is_member, matches
+from lakesurvey.functions.missing import as_col, has_any, is_member
 
 __all__ = [
     "ALWAYS_YOUNGER", "ADULT_MARK", "collapse_stage", "initial_stage", "stage_by_length",
@@ -44,7 +44,7 @@ def stage_by_length(
     """
     stage, length, cutoff = as_col(stage), as_col(length), as_col(cutoff)
     return (
-        F.when(matches(taxon, *always_younger), "Younger")
+        F.when(has_any(taxon, *always_younger), "Younger")
         .when(length >= cutoff, "Older")
         .when(length < cutoff, "Younger")
         .when(cutoff.isNull() & (stage == "Other"), "Older")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesurvey.functions import (
-    ADULT_MARK, ALWAYS_YOUNGER, half_even, initial_stage, matches, ratio, stage_by_length, sum0, to_number,
+    ADULT_MARK, ALWAYS_YOUNGER, half_even, has_any, initial_stage, ratio, stage_by_length, sum0, to_number,
 )
 from lakesurvey.operators.joins import attach_cutoffs, attach_scalars, left_join
 from lakesurvey.operators.reshape import header_spread, unpivot_measurements
@@ -103,14 +103,22 @@ def split_eggs(lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lengths.filter(F.col("Life_stage") != "Egg"), eggs
 
 
-def stage_proportions(sheets: DataFrame, headers: DataFrame, cutoffs: DataFrame, key: str = KEY, *, always_younger: Sequence[str] = ALWAYS_YOUNGER) -> DataFrame:
+def stage_proportions(
+    sheets: DataFrame, headers: DataFrame, cutoffs: DataFrame, key: str = KEY, *,
+    always_younger: Sequence[str] = ALWAYS_YOUNGER, measured_only: bool = False,
+) -> DataFrame:
     """Share of measured individuals at or over the cutoff, per sheet and unstaged taxon.
 
+    An unmeasured taxon has null shares; ``measured_only`` leaves its row out, which is most of a
+    sheet and means the same to a left join.
+
     The twenty cells are tallied within the row, so what is shuffled is one row per taxon row and
     not one per individual. They are parsed as one array: a loop in the generated code, where
     twenty separate casts would make a method too long to be compiled.
     """
     rows = initial_life_stage(sheets.select(key, TAXON, *LENGTH_CELLS)).filter(F.col("Life_stage") == "Other")
+    if measured_only:
+        rows = rows.filter(F.coalesce(*LENGTH_CELLS).isNotNull())
     units = F.array(*LENGTH_CELLS).try_cast("array<double>")
     rows = rows.select(key, TAXON, units.alias("units"))
     rows = attach_cutoffs(attach_scalars(rows, headers, ["mm_per_ocular_unit"], on=key), cutoffs)
@@ -121,7 +129,7 @@ def stage_proportions(sheets: DataFrame, headers: DataFrame, cutoffs: DataFrame,
         F.size(F.filter("units", lambda u: u * mm >= cutoff)).alias("n_over"),
     )
     older = ratio(F.sum("n_over"), F.sum("n"))
-    by_name = matches(TAXON, *always_younger)
+    by_name = has_any(TAXON, *always_younger)
     return (
         tallied.groupBy(key, TAXON).agg(older.alias("Prop_O"))
         .withColumn("Prop_O", F.when(by_name & F.col("Prop_O").isNotNull(), 0.0).otherwise(F.col("Prop_O")))
@@ -129,11 +137,13 @@ def stage_proportions(sheets: DataFrame, headers: DataFrame, cutoffs: DataFrame,
     )
 
 
-def allocate_counts(counts: DataFrame, proportions: DataFrame, key: str = KEY, *, always_younger: Sequence[str] = ALWAYS_YOUNGER) -> DataFrame:
+def allocate_counts(
+    counts: DataFrame, proportions: DataFrame, key: str = KEY, *, always_younger: Sequence[str] = ALWAYS_YOUNGER, null_keys: bool = True,
+) -> DataFrame:
     """Split each count into older and younger by the measured shares, rounding halves to even."""
-    n, young = F.col("Number_counted"), matches(TAXON, *always_younger)
+    n, young = F.col("Number_counted"), has_any(TAXON, *always_younger)
     fill = lambda c: F.when(c.isNull() & (F.col("Life_stage") == "Other"), 0.0).otherwise(c)
-    joined = left_join(counts, proportions, [key, TAXON])
+    joined = left_join(counts, proportions, [key, TAXON], null_keys=null_keys)
     return joined.withColumns({
         "older_count": fill(F.when(young, 0.0).otherwise(half_even(n * F.col("Prop_O")))),
         "younger_count": fill(F.when(young, n).otherwise(half_even(n * F.col("Prop_Y")))),
@@ -150,8 +160,8 @@ def expand_stage_rows(allocated: DataFrame, cutoffs: DataFrame, *, always_younge
     listed = cutoffs.select(TAXON).distinct().withColumn("__listed", F.lit(True))
     rows = left_join(allocated, listed, TAXON)
     has_cutoff = F.coalesce("__listed", F.lit(False))
-    to_young = has_cutoff | matches(TAXON, *always_younger)
-    to_old = has_cutoff | matches(TAXON, ADULT_MARK)
+    to_young = has_cutoff | has_any(TAXON, *always_younger)
+    to_old = has_cutoff | has_any(TAXON, ADULT_MARK)
 
     def row(stage, number):
         return F.struct(stage.alias("stage"), number.alias("number"))
@@ -171,10 +181,16 @@ def expand_stage_rows(allocated: DataFrame, cutoffs: DataFrame, *, always_younge
 
 
 def staged_counts(sheets: DataFrame, headers: DataFrame, cutoffs: DataFrame, key: str = KEY, *, always_younger: Sequence[str] = ALWAYS_YOUNGER) -> DataFrame:
-    """Counts by sheet, taxon and stage with densities (individuals per litre)."""
-    shares = stage_proportions(sheets, headers, cutoffs, key, always_younger=always_younger)
-    split = allocate_counts(sheet_counts(sheets, key), shares, key, always_younger=always_younger)
+    """Counts by sheet, taxon and stage with densities (individuals per litre).
+
+    A missing taxon is an empty one until the end, so that the join to the shares can use plain
+    equality: its partitioning then serves the removal of repeated rows, without another shuffle.
+    """
+    named = sheets.withColumn(TAXON, F.coalesce(TAXON, F.lit("")))
+    shares = stage_proportions(named, headers, cutoffs, key, always_younger=always_younger, measured_only=True)
+    split = allocate_counts(sheet_counts(named, key), shares, key, always_younger=always_younger, null_keys=False)
     rows = expand_stage_rows(split, cutoffs, always_younger=always_younger)
+    rows = rows.withColumn(TAXON, F.nullif(F.col(TAXON), F.lit("")))
     scalars = sampled_volume(headers).select(key, "Subsampled_vol_mL", "Diluted_vol_mL", "Vol_sampled_m3")
     rows = attach_scalars(rows, scalars, ["Subsampled_vol_mL", "Diluted_vol_mL", "Vol_sampled_m3"], on=key)
     dense = count_to_density(rows, volume="Vol_sampled_m3", per_litre=LITRES_PER_M3, digits=DENSITY_DIGITS)

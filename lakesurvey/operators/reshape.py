@@ -20,20 +20,18 @@ def header_spread(
     """Key/value pairs to one typed row per sheet, over a fixed list of keys.
 
     One aggregate with a column per key: a single shuffle, with partial results combined before it.
+    Values are parsed inside the aggregate, so that a plan which needs numbers only can hash them
+    (text results are aggregated by sorting).
     """
     keys = [key] if isinstance(key, str) else list(key)
-    cells = [F.max(F.when(F.col(name) == f.name, F.col(value))).alias(f"__{f.name}") for f in schema]
-    wide = pairs.dropna(subset=[name]).groupBy(*keys).agg(*cells)
 
     def typed(field):
-        raw = F.col(f"__{field.name}")
         if isinstance(field.dataType, DateType):
-            raw = parse_date(raw)
-        elif isinstance(field.dataType, DoubleType):
-            raw = to_number(raw)
-        return raw.alias(field.name)
+            return parse_date(value)
+        return to_number(value) if isinstance(field.dataType, DoubleType) else F.col(value)
 
-    return wide.select(*keys, *[typed(f) for f in schema if f.name not in keys])
+    cells = [F.max(F.when(F.col(name) == f.name, typed(f))).alias(f.name) for f in schema if f.name not in keys]
+    return pairs.dropna(subset=[name]).groupBy(*keys).agg(*cells)
 
 
 def unpivot_measurements(df: DataFrame, ids: Sequence[str], cells: Sequence[str], *, name: str, value: str, keep_null: bool = False) -> DataFrame:

@@ -18,7 +18,11 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     A key may hold a large share of the rows, so ranking runs in two steps: within the part of the
     group that came from one task, then among the first rows of those parts. Rows that lost the
     first step keep their part in the second, so no task ever receives a whole hot group.
+
+    All other columns break ties: only rows alike in every column are interchangeable, and a task
+    run again after a lost executor ranks as it did before.
     """
+    order = [*order, *[c for c in df.columns if c not in keys]]
     local = Window.partitionBy(*keys, _SALT).orderBy(*order)
     parted = df.withColumn(_SALT, F.spark_partition_id()).withColumn(_LOCAL, F.row_number().over(local))
     part = F.when(F.col(_LOCAL) == 1, F.lit(-1)).otherwise(F.col(_SALT))

@@ -36,7 +36,7 @@ SELECT f.Sample_ID, s.Sample_date, s.Sample_site, f.Genus_sp_lifestage, f.Life_s
 FROM {{final}} f
 LEFT JOIN {{sample_info}} s ON f.Sample_ID = s.Sample_ID
 LEFT JOIN {{taxa}} t ON f.Genus_sp_lifestage = t.Genus_sp_lifestage
-WHERE s.Sample_date >= :first AND s.Sample_date < :after AND s.Project ILIKE :project
+WHERE s.Sample_date >= :first AND s.Sample_date < :after AND s.Project = :project
 """
 
 
