@@ -174,7 +174,7 @@ def expand_stage_rows(allocated: DataFrame, cutoffs: DataFrame, *, always_younge
     )
     others = [c for c in allocated.columns if c not in ("Life_stage", "Number_counted", "older_count", "younger_count")]
     return (
-        rows.select(*others, F.explode(F.array_compact(parts)).alias("part"))
+        rows.select(*others, F.explode(parts).alias("part")).filter(F.col("part").isNotNull())
         .select(*others, F.col("part.stage").alias("Life_stage"), F.col("part.number").alias("Number_counted"))
         .distinct()
     )

@@ -166,3 +166,17 @@ def test_density_is_linear_in_the_count(spark, tmp_path, cutoffs):
     d = {(r.Sample_ID, r.Life_stage): r.Zoop_density for r in counts.collect()}
     for stage in ("Older", "Younger"):
         assert d["f3", stage] == pytest.approx(3 * d["f1", stage])
+
+
+def test_a_missing_taxon_is_its_own_group(spark, cutoffs):
+    """Rows without a taxon are split by their own measurements and come out without a taxon."""
+    cells = {c: None for c in schemas.LENGTH_CELLS}
+    rows = [
+        {"source_file": "f", "Information": k, "Value": v or None, "Sample_ID": "s", "Genus_sp_lifestage": None, "Number_counted": None, **cells}
+        for k, v in HEADER.items()
+    ]
+    rows[0] |= {"Number_counted": "6", "L1": "20", "L2": "30"}
+    schema = ", ".join(f"{c} string" for c in [*schemas.SHEET.names, "source_file"])
+    sheets = spark.createDataFrame([[r[c] for c in [*schemas.SHEET.names, "source_file"]] for r in rows], schema)
+    counts = ingest_sheets(sheets, cutoffs).counts
+    assert {(r.Genus_sp_lifestage, r.Life_stage, r.Number_counted) for r in counts.collect()} == {(None, "Older", 6.0), (None, "Older", 0.0)}
