@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesurvey.llm import packing, tokenfile
+from lakesurvey.llm import packing, tokencounts, tokenfile, wordcodec
 from lakesurvey.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,13 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+@query
+def op8_word_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordcodec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
