@@ -258,7 +258,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     Starts add up what earlier tasks wrote: one row for each writing task is summed in order, a number set by
     the partitions of the job, not by the data; the sums are joined back by task.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark, rows=1)
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     sizes = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
