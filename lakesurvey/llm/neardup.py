@@ -7,9 +7,11 @@ collections, so rows are grouped by sub-keys of the first and matched on the sec
 group that is too large for that is dealt out by the full pair.
 
 1. One row for each distinct shingle set goes on; its copies are linked through it.
-2. Every document is compared with the first member of its groups that it resembles most. Verified links contract the groups.
-3. Groups that still hold several components are cut to cells of bounded size; each cell names the best pair of two components.
-4. After contraction, the same groups name all pairs of different components whose 2 * BANDS * ROWS minhashes agree often enough.
+2. Groups are cut to cells of bounded size. A cell names the pairs that meet in a table there for the first time and whose
+   2 * BANDS * ROWS minhashes agree often enough to be worth a look.
+3. The documents so named come to their cells with their full sets. A cell takes its pairs, those that agree most first, and
+   confirms each unless confirmed links connect it already; so it gives as many links as join its documents, and no more.
+4. Components of the links.
 
 All links are confirmed on full shingle sets. A pair at similarity 0.75 is missed with a chance of about 2e-4, one at 0.8 of about 1e-5,
 and components lose it only if no other path links its documents.
@@ -21,7 +23,7 @@ gives no rows. Other columns don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ HASHES = 2 * BANDS * ROWS
 #: Agreeing minhashes below which a pair isn't verified: 3.8 standard deviations under what similarity 0.75 has.
 AGREE = 64
 #: Rows of a cell: all its pairs are looked at together.
-CELL = 256
+CELL = 1024
 
 _RNG = np.random.default_rng(75)
 _WORD_TIMES = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,127 +114,156 @@ def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: doc_id and text to the document's shingle set."""
+    """For mapInArrow: rows of documents at cells, text last, to the same rows with the document's shingle set in its place.
+
+    A document's rows come one after another, and its set is computed once for them.
+    """
     for batch in batches:
-        docs = batch.column(0).cast(pa.int64())
-        data, offsets = text_bytes(batch.column(1))
+        doc = np.asarray(batch.column(1))
+        new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+        data, offsets = text_bytes(batch.column(4).take(pa.array(new)))
+        sets: list[bytes] = []
         for i, j in row_slices(data, offsets):
             keys, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            sets = [x.tobytes() for x in np.split(keys, np.cumsum(sizes)[:-1])] if len(sizes) else []
-            yield pa.RecordBatch.from_arrays([docs.slice(i, j - i), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            sets += [x.tobytes() for x in np.split(keys, np.cumsum(sizes)[:-1])]
+        for i in range(0, len(doc), 500):
+            own = np.searchsorted(new, np.arange(i, min(i + 500, len(doc))), "right") - 1
+            columns = [batch.column(k).slice(i, len(own)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[k] for k in own.tolist()], pa.binary())], names=["cell", "node", "partners", "agree", "shingles"])
 
 
-def confirmed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: pairs with both sets to those pairs whose similarity suffices."""
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first column."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            one, two = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(100 * common >= PERCENT * (len(one) + len(two) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those pairs (x, y) whose documents' full sets are similar enough; written."""
-    pairs = stored(pairs.distinct(), "pairs")
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    sets = docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(set_rows, "doc_id long, shingles binary")
-    sets = stored(sets.dropDuplicates(["doc_id"]), "sets")
-    first, second = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "xy")
-    joined = pairs.join(first, "x").join(second, "y").select("x", "y", "x_set", "y_set")
-    return stored(joined.mapInArrow(confirmed_rows, "x long, y long"), "links")
-
-
-def cell_pairs(all_pairs: bool):
-    """For mapInArrow over rows sorted by cell: pairs of different components that meet in a table and agree often enough.
-
-    A pair is named in the first group both share only. Without ``all_pairs`` just the best pair of any two components is named.
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column(0))
+        edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
+        if held and held[0].column(0)[0].as_py() != int(key[0]):
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(edges[:-1], edges[1:]):
+            if held and i:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over rows sorted by cell: the documents that are in a pair worth a look, with their partners.
+
+    A pair is named where it first meets: at the first sub-key of the first collection that both share, and in a group
+    that was dealt by pairs of sub-keys at the first one of the second.
     """
-
-    def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        if len(rows) < 2:
-            return []
-        doc = np.array([r[1] for r in rows])
-        comp = np.array([r[2] for r in rows])
-        a, b = (np.array([r[k] for r in rows], np.int32) for k in (3, 4))
-        sig = np.frombuffer(b"".join(r[5] for r in rows), "<u2").reshape(len(rows), HASHES)
-        at, table = rows[0][6], rows[0][7]
-        found = []
-        for i in range(len(rows) - 1):
-            others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-            if not len(others):
-                continue
-            agree = (sig[others] == sig[i]).sum(axis=1)
-            others, agree = others[agree >= AGREE], agree[agree >= AGREE]
-            if not len(others):
+    out: dict[str, list] = {"cell": [], "node": [], "partners": [], "agree": []}
+
+    def packed() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+        for v in out.values():
+            v.clear()
+        return batch
+
+    for group in sorted_groups(batches):
+        n = group.num_rows
+        if n < 2:
+            continue
+        cell, at, table = (group.column(k)[0].as_py() for k in (0, 2, 3))
+        node = np.asarray(group.column(1))
+        a, b = (group.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, BANDS) for k in (4, 5))
+        sig = np.frombuffer(b"".join(group.column(6).to_pylist()), "<u2").reshape(n, HASHES)
+        partners: dict[int, tuple[list[int], list[int]]] = {}
+        for i in range(n - 1):
+            agree = (sig[i + 1 :] == sig[i]).sum(axis=1)
+            near = np.flatnonzero(agree >= AGREE)
+            if not len(near):
                 continue
+            others = near + i + 1
             same_a, same_b = a[others] == a[i], b[others] == b[i]
-            here = (same_a.argmax(axis=1) == at) & same_b.any(axis=1)
+            here = (same_a.argmax(axis=1) == at) & same_b.any(axis=1) & (node[others] != node[i])
             if table >= 0:
                 here &= same_b.argmax(axis=1) == table
-            found += [(i, j, n) for j, n in zip(others[here].tolist(), agree[here].tolist())]
-        if not all_pairs:
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for i, j, n in found:
-                key = (min(comp[i], comp[j]), max(comp[i], comp[j]))
-                if key not in best or n > best[key][0]:
-                    best[key] = (n, i, j)
-            found = [(i, j, n) for n, i, j in best.values()]
-        return [tuple(sorted((int(doc[i]), int(doc[j])))) for i, j, _ in found]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        out: list[tuple[int, int]] = []
-
-        def packed() -> pa.RecordBatch:
-            rows = list(dict.fromkeys(out))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["x", "y"])
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
-                    out += pairs_of(held)
-                    held = []
-                held.append(row)
-            if len(out) > 100_000:
-                yield packed()
-        out += pairs_of(held)
-        yield packed()
-
-    return run
-
-
-def candidate_cells(members: DataFrame, reps: DataFrame, labels: DataFrame, all_pairs: bool) -> DataFrame:
-    """Pairs (x, y) of different components from groups with several of them.
-
-    ``members`` has group, at (the sub-key's place) and node; ``labels`` has node, component. Groups of up to ``CELL`` rows are cells.
-    Larger ones are dealt by the pairs of sub-keys, which is the tables' own key; what is still larger is cut to blocks, and
-    every two blocks meet in a cell. The first round (not ``all_pairs``) leaves blocks by themselves.
+            if here.any():
+                partners[i] = (node[others[here]].tolist(), agree[near[here]].tolist())
+                for j in others[here].tolist():
+                    partners.setdefault(j, ([], []))
+        for i, (others, agree) in partners.items():
+            for column, value in zip(out.values(), (cell, int(node[i]), others, agree)):
+                column.append(value)
+        if len(out["cell"]) > 10_000:
+            yield packed()
+    yield packed()
+
+
+def similar(one: np.ndarray, two: np.ndarray) -> bool:
+    if 100 * min(len(one), len(two)) < PERCENT * max(len(one), len(two)):
+        return False
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * common >= PERCENT * (len(one) + len(two) - common)
+
+
+def linked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over rows sorted by cell, with sets: confirmed links that join the cell's documents."""
+    for group in sorted_groups(batches):
+        sets = {k: np.frombuffer(v.as_buffer(), np.uint64) for k, v in zip(group.column(1).to_pylist(), group.column(4))}
+        pairs = []
+        for x, others, agree in zip(*(group.column(k).to_pylist() for k in (1, 2, 3))):
+            pairs += [(-n, x, y) for y, n in zip(others, agree)]
+        root = {k: k for k in sets}
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        links = []
+        for _, x, y in sorted(pairs):
+            p, q = top(x), top(y)
+            if p != q and similar(sets[x], sets[y]):
+                root[p] = q
+                links.append((x, y))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], names=["x", "y"])
+
+
+def cells_of(reps: DataFrame) -> DataFrame:
+    """Rows (cell, node, at, table, a, b, sig) of the documents that share a sub-key of the first collection.
+
+    Groups of up to ``CELL`` rows are cells. Larger ones are dealt by pairs of sub-keys, which is the tables' own key; what is
+    still larger is cut to blocks, and every two blocks meet in a cell.
     """
-    labelled = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_groups = labelled.groupBy("group").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rows = labelled.join(mixed_groups.select("group", "n"), "group")
+    grouped = reps.select(F.col("doc_id").alias("node"), F.posexplode("a").alias("at", "sub")).withColumn("group", F.xxhash64("at", "sub"))
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(grouped.join(sizes, "group").select("group", "at", "node", "n"), "groups")
     payload = reps.select(F.col("doc_id").alias("node"), "a", "b", "sig")
-    rows = stored(rows.join(payload, "node"), "members")
-    small = rows.where(F.col("n") <= CELL).select(F.xxhash64("group", F.lit(0)).alias("cell"), "node", "component", "a", "b", "sig", "at", F.lit(-1).alias("table"))
-    dealt = rows.where(F.col("n") > CELL).select("node", "component", "a", "b", "sig", "at", "group", F.posexplode("b").alias("table", "sub"))
+    columns = ["cell", "node", "at", "table", "a", "b", "sig"]
+    small = members.where(F.col("n") <= CELL).join(payload, "node").withColumns({"cell": F.col("group"), "table": F.lit(-1)}).select(*columns)
+    dealt = members.where(F.col("n") > CELL).join(payload, "node").select("node", "at", "group", "a", "b", "sig", F.posexplode("b").alias("table", "sub"))
     dealt = dealt.withColumn("key", F.xxhash64("group", "table", "sub"))
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    dealt = dealt.join(sizes.select("key", "m"), "key")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    dealt = dealt.join(sizes, "key")
     blocks = F.ceil(F.col("m") / CELL)
-    own = F.pmod(F.xxhash64("node", "key"), blocks)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)) if all_pairs else own
-    dealt = dealt.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    cells = small.unionByName(dealt.select(*small.columns))
-    ordered = cells.repartition("cell").sortWithinPartitions("cell", "at", "table")
-    return ordered.mapInArrow(cell_pairs(all_pairs), "x long, y long")
+    return small.unionByName(dealt.select(*columns))
 
 
-def same_places(one: str, two: str):
-    return F.size(F.filter(F.zip_with(one, two, lambda x, y: x == y), lambda v: v))
+def confirmed_links(cells: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (x, y) that join the documents of each cell, confirmed on full sets.
+
+    Texts move to the named rows by doc_id once, sets to the cells once. The named rows grow with the data, so the join is
+    never a broadcast, however few they happen to be.
+    """
+    ordered = cells.repartition("cell").sortWithinPartitions("cell")
+    named = stored(ordered.mapInArrow(named_rows, "cell long, node long, partners array<long>, agree array<int>"), "named")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").where("node is not null")
+    rows = named.hint("merge").join(texts, "node").select("cell", "node", "partners", "agree", "text")
+    full = rows.mapInArrow(set_rows, "cell long, node long, partners array<long>, agree array<int>, shingles binary")
+    return stored(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(linked_rows, "x long, y long"), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -245,34 +276,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = full.join(classes.select("n_shingles", "h1", "h2", F.col("rep").alias("doc_id")), ["doc_id", "n_shingles", "h1", "h2"], "left_semi")
     reps = stored(reps.select("doc_id", "a", "b", "sig"), "reps")
 
-    # Groups by sub-keys of the first collection; only shared ones matter.
-    grouped = reps.select(F.col("doc_id").alias("node"), F.posexplode("a").alias("at", "sub")).withColumn("group", F.xxhash64("at", "sub"))
-    shared = grouped.groupBy("group").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other")
-    members = stored(grouped.join(shared.select("group", "hub"), "group").select("group", "at", "node", "hub"), "groups")
-
-    # Each document with the group's first member it has most sub-keys in common with.
-    hubs = members.where("node <> hub").select("node", "hub").distinct()
-    own = reps.select(F.col("doc_id").alias("node"), "a", "b")
-    hub_own = reps.select(F.col("doc_id").alias("hub"), F.col("a").alias("hub_a"), F.col("b").alias("hub_b"))
-    scored = hubs.join(own, "node").join(hub_own, "hub").select("node", "hub", same_places("a", "hub_a").alias("in_a"), same_places("b", "hub_b").alias("in_b"))
-    best = scored.where("in_b > 0").groupBy("node").agg(F.max_by("hub", F.struct(F.col("in_a") + F.col("in_b"), -F.col("hub"))).alias("hub"))
-    links = confirmed(best.select(F.col("hub").alias("x"), F.col("node").alias("y")), docs)
-
-    # A document has one link down at most here, so following it twice gives labels that are sound, if not yet complete.
-    down = links.select(F.col("y").alias("node"), F.col("x").alias("component"))
-    further = down.select(F.col("node").alias("component"), F.col("component").alias("lower"))
-    labels = down.join(further, "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
-    members = members.select("group", "at", "node")
-    more = confirmed(candidate_cells(members, reps, labels, all_pairs=False), docs)
-    labels = components(links.unionByName(more))
-    rest = confirmed(candidate_cells(members, reps, labels, all_pairs=True), docs)
-
-    # The last links join whole components.
-    for c in "xy":
-        rest = rest.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_comp")), c, "left").withColumn(c, F.coalesce(f"{c}_comp", c)).drop(f"{c}_comp")
-    joined = components(rest).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    nodes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    nodes = nodes.join(joined, "component", "left").select("n_shingles", "h1", "h2", F.coalesce("whole", "component").alias("component_id"))
+    labels = components(confirmed_links(cells_of(reps), docs))
+    nodes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    nodes = nodes.select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(nodes, ["n_shingles", "h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
