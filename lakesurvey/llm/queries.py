@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakesurvey.llm import language, neardup, packing, quality, tokencounts, tokenfile, toxicity, wordcodec
+from lakesurvey.llm import capfilters, language, neardup, packing, quality, tokencounts, tokenfile, topk, toxicity, wordcodec
 from lakesurvey.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,39 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_word_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordcodec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+ORACLES["op9_cap_filters"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+        AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT vec_id, vec_id AS component FROM embeddings UNION SELECT l.y, r.component FROM r JOIN l ON r.vec_id = l.x),
+m AS (SELECT vec_id, min(component) AS component_id FROM r GROUP BY 1),
+n AS (SELECT x, count(*) AS c FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n.c, 0)::BIGINT AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+FROM embeddings e JOIN m USING (vec_id) LEFT JOIN n ON n.x = e.vec_id
+"""
+
+
+@query
+def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+ORACLES["op10_top_products"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
