@@ -1,16 +1,16 @@
 """Near-duplicate vectors by spherical-cap filters.
 
-A filter is a direction; a vector belongs to the caps of all filters whose product with it exceeds a threshold. Directions form a
-structured random product code: the dimensions, after a random rotation, are cut into ``BLOCKS`` blocks of random codewords
-each, and a filter is one codeword of every block, so that ``CODEWORDS ** BLOCKS`` directions need no more storage than their blocks. A
-vector is list-decoded: block scores are summed for each half of the blocks, and two sorted lists of sums give all
-codes above the threshold without visiting the others. Vectors of equal label and dimension are joined on filters they share, and each pair is
-verified by cosine in double precision, in the first filter that both share.
+A filter is a direction; a vector belongs to the caps of all filters whose product with it exceeds the vector's own threshold, which lets
+``LISTED`` of them pass. Directions form structured random product codes: the dimensions, after a random rotation, are cut into ``BLOCKS``
+blocks of random codewords each, and a filter is one codeword of every block, so that ``CODEWORDS ** BLOCKS`` directions need no more
+storage than their blocks. A vector is list-decoded: the best sums of the first block are joined with those of the next, and only sums that can
+still exceed the threshold are kept. ``CODES`` such codes are used. Vectors of equal label and dimension are joined on filters they share, and
+each pair is verified by cosine in double precision, in the first filter that both share.
 
 Equal vectors count as one with a multiplicity. A filter's vectors are cut to cells of bounded size, where links are counted, and as many of
 them kept as join the cell's vectors; no task holds a whole group, and no list of all pairs exists.
 
-Every vector belongs to its ``LEAST`` best filters at any rate. At cosine 0.93 two vectors share about a third of some fifty filters.
+Measured on random pairs at cosine 0.93, at least one filter is shared by all of 1500 pairs in 64 dimensions, by 99.9 % in 16 and by 99 % in 8.
 
 Defined results: vectors that are null, zero, empty or hold null or non-finite components, and those without label or vec_id, have no links; without
 vec_id the component is null and the row kept. vec_id is a key: rows that repeat one are seen as one vector. An empty table gives no rows. Other columns
@@ -31,45 +31,40 @@ from lakesurvey.llm.common import small_batches, stored
 from lakesurvey.llm.components import components
 from lakesurvey.llm.neardup import sorted_groups
 
-BLOCKS, CODEWORDS = 4, 64
-THRESHOLD, LEAST = 4.5, 32
+CODES, BLOCKS, CODEWORDS, LISTED = 4, 4, 64, 16
 CELL = 512
 
 
 class ProductCode:
     """Random rotation and codewords for vectors of one dimension; the same in every task."""
 
-    def __init__(self, dimension: int):
-        rng = np.random.default_rng([93, dimension])
+    def __init__(self, dimension: int, number: int):
+        rng = np.random.default_rng([93, number, dimension])
         # Short vectors are padded, so that each block has a dimension at least.
         self.width = max(-(-dimension // BLOCKS), 1)
         size = self.width * BLOCKS
         self.rotation = np.linalg.qr(rng.normal(size=(size, size)))[0][:, :dimension]
         self.words = rng.normal(size=(BLOCKS, CODEWORDS, self.width))
 
-    def filters(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For unit vectors: the codes of all filters above the threshold, and of the best ones at any rate."""
+    def filters(self, unit: np.ndarray) -> np.ndarray:
+        """For each unit vector: the ``LISTED`` filters of highest score."""
         turned = (unit @ self.rotation.T).reshape(len(unit), BLOCKS, self.width)
         scores = np.einsum("nbw,bcw->nbc", turned, self.words)
-        out = []
-        for block in scores:
-            halves = [(block[k][:, None] + block[k + 1][None, :]).reshape(-1) for k in (0, 2)]
-            order = [np.argsort(-h) for h in halves]
-            one, two = (h[o] for h, o in zip(halves, order))
-            # The LEAST best sums are among the first LEAST of both lists.
-            top = np.sort((one[:LEAST, None] + two[None, :LEAST]).reshape(-1))[-LEAST]
-            level = min(THRESHOLD, top)
-            first = one[: np.searchsorted(-one, two[0] - level, "right")] if level > -np.inf else one
-            reach = np.searchsorted(-two, first - level, "right")
-            i = np.repeat(np.arange(len(first)), reach)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(reach) - reach, reach)
-            out.append(order[0][i] * CODEWORDS**2 + order[1][j])
-        return out
+        # A sum among the best has a best part in each block: no more than LISTED of any block are needed.
+        order = np.argsort(-scores, axis=2)[:, :, :LISTED]
+        best = np.take_along_axis(scores, order, axis=2)
+        value, code = best[:, 0], order[:, 0]
+        for k in range(1, BLOCKS):
+            sums = (value[:, :, None] + best[:, k][:, None, :]).reshape(len(unit), -1)
+            codes = (code[:, :, None] * CODEWORDS + order[:, k][:, None, :]).reshape(len(unit), -1)
+            keep = np.argpartition(-sums, LISTED - 1, axis=1)[:, :LISTED]
+            value, code = np.take_along_axis(sums, keep, axis=1), np.take_along_axis(codes, keep, axis=1)
+        return code
 
 
 def decoded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over node, label, embedding: keys of the node's filters, ascending; a key holds label and dimension too."""
-    codes: dict[int, ProductCode] = {}
+    codes: dict[int, list[ProductCode]] = {}
     for batch in batches:
         node, label, vectors = batch.column(0), np.asarray(batch.column(1).cast(pa.int64())), batch.column(2)
         sizes = np.asarray(vectors.value_lengths())
@@ -79,25 +74,29 @@ def decoded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
             x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            code = codes.setdefault(size, ProductCode(size))
-            for k, own in zip(at.tolist(), code.filters(x)):
-                salt = (np.int64(label[k]) * 1_000_003 + size) * np.int64(2**24)
-                found[k] = np.sort(mixed((own + salt).astype(np.int64).view(np.uint64)).view(np.int64))
+            if size not in codes:
+                codes[size] = [ProductCode(size, c) for c in range(CODES)]
+            own = np.concatenate([code.filters(x) + c * CODEWORDS**BLOCKS for c, code in enumerate(codes[size])], axis=1).astype(np.uint64)
+            kind = mixed(label[at].astype(np.uint64) * np.uint64(1_000_003) + np.uint64(size))
+            keys = np.sort(mixed(own + kind[:, None]).view(np.int64), axis=1)
+            for k, row in zip(at.tolist(), keys):
+                found[k] = row
         yield pa.RecordBatch.from_arrays([node, pa.array(found, pa.list_(pa.int64()))], names=["node", "filters"])
 
 
-def first_common(one: np.ndarray, two: np.ndarray, none: int) -> np.ndarray:
-    """Smallest value that rows of two padded tables have in common."""
-    out = np.full(len(one), none, np.int64)
-    for i in range(0, len(one), 2000):
-        same = (one[i : i + 2000, :, None] == two[i : i + 2000, None, :]).any(axis=2) & (one[i : i + 2000] != none)
-        out[i : i + 2000] = np.where(same, one[i : i + 2000], none).min(axis=1)
-    return out
+def met_before(filters: np.ndarray, key: int) -> np.ndarray:
+    """For every two rows of a table of keys: whether they have one below ``key`` in common."""
+    value, where, count = np.unique(filters, return_inverse=True, return_counts=True)
+    useful = (count > 1) & (value < key)
+    place = np.cumsum(useful) - 1
+    at = np.flatnonzero(useful[where.reshape(-1)])
+    held = np.zeros((len(filters), int(useful.sum())), np.float32)
+    held[at // filters.shape[1], place[where.reshape(-1)[at]]] = 1
+    return held @ held.T > 0.5
 
 
 def verified_rows(least: float):
     """For mapInArrow over rows sorted by cell: link counts of its nodes (y null), and links that join them (n null)."""
-    none = np.iinfo(np.int64).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches):
@@ -117,15 +116,11 @@ def verified_rows(least: float):
             near = np.triu(cosine >= least, 1)
             if cross:
                 near &= own[:, None] != own[None, :]
-            i, j = np.nonzero(near)
-            if not len(i):
+            near &= node[:, None] != node[None, :]
+            if not near.any():
                 continue
-            lists = group.column(7).to_pylist()
-            padded = np.full((rows, max(map(len, lists))), none, np.int64)
-            for k, values in enumerate(lists):
-                padded[k, : len(values)] = values
-            here = (first_common(padded[i], padded[j], none) == key) & (node[i] != node[j])
-            i, j = i[here], j[here]
+            filters = group.column(7).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+            i, j = np.nonzero(near & ~met_before(filters, key))
             if not len(i):
                 continue
             count = np.bincount(i, weight[j], rows) + np.bincount(j, weight[i], rows)
