@@ -577,11 +577,36 @@ def _(t):
     return snapped(agg.profile_numeric(t.zoop_final, PROFILED))
 
 
+@query("a15_profile_small_sketch", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", COUNT(*) - COUNT({c}) AS n_missing, {S(f'MIN({c})', 'min')}, {S(f'AVG({c})', 'mean')}, {S(f'MAX({c})', 'max')},
+    {S(f'quantile_cont({c}, 0.25)', 'q25')}, {S(f'quantile_cont({c}, 0.5)', 'q50')}, {S(f'quantile_cont({c}, 0.75)', 'q75')} FROM zoop_final"""
+    for c in PROFILED))
+def _(t):
+    return snapped(agg.profile_numeric(t.zoop_final, PROFILED, accuracy=500))
+
+
+_DAY = "(Sample_date::DATE - DATE '1970-01-01')"
+
+
+@query("a15_profile_dates", f"""
+SELECT 'Sample_date' AS "column", COUNT(*) - COUNT(Sample_date) AS n_missing, {", ".join(
+    f"(DATE '1970-01-01' + CAST(FLOOR({e}) AS INTEGER))::DATE AS {n}" for e, n in (
+        (f"MIN({_DAY})", '"min"'), (f"AVG({_DAY})", "mean"), (f"MAX({_DAY})", '"max"'),
+        (f"quantile_cont({_DAY}, 0.25)", "q25"), (f"quantile_cont({_DAY}, 0.5)", "q50"), (f"quantile_cont({_DAY}, 0.75)", "q75")))}
+FROM zoop_sample_info
+""")
+def _(t):
+    return agg.profile_dates(t.zoop_sample_info, ["Sample_date"])
+
+
 @query("a15_profile_levels", """
 WITH c AS (SELECT 'Genus_sp_lifestage' AS "column", Genus_sp_lifestage AS level, COUNT(*) AS n FROM zoop_final GROUP BY 2
   UNION ALL SELECT 'Life_stage' AS "column", Life_stage AS level, COUNT(*) AS n FROM zoop_final GROUP BY 2),
 k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY n DESC, level) AS r FROM c)
-SELECT "column", level, n FROM k WHERE r <= 100 UNION ALL SELECT "column", '(Other)' AS level, CAST(SUM(n) AS BIGINT) AS n FROM k WHERE r > 100 GROUP BY 1
+m AS (SELECT "column" AS c, MAX(r) AS levels FROM k GROUP BY 1),
+s AS (SELECT k.*, CASE WHEN levels > 100 THEN 99 ELSE 100 END AS shown FROM k JOIN m ON m.c = k."column")
+SELECT "column", level, n, FALSE AS rest FROM s WHERE r <= shown
+UNION ALL SELECT "column", '(Other)' AS level, CAST(SUM(n) AS BIGINT) AS n, TRUE AS rest FROM s WHERE r > shown GROUP BY 1
 """)
 def _(t):
     return agg.profile_levels(t.zoop_final, ["Genus_sp_lifestage", "Life_stage"], top=100)

@@ -74,9 +74,18 @@ def ratio(num: Column | str, den: Column | str) -> Column:
     return F.try_divide(as_col(num), as_col(den))
 
 
+#: Text that counts as a number: digits with an optional sign, point and exponent, and blanks around them.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def to_number(c: Column | str) -> Column:
-    """Text to double; junk becomes null. Binary doubles, because cutoff tests depend on them."""
-    return as_col(c).try_cast("double")
+    """Text to double; anything but a finite number becomes null.
+
+    A cast alone would take ``12d`` or ``NaN`` for numbers. Binary doubles, because cutoff tests depend on them.
+    """
+    text = as_col(c).cast("string")
+    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def blank_to_null(c: Column | str, tokens: Sequence[str] = ("", "NA")) -> Column:

@@ -129,36 +129,42 @@ def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
 QUARTILES = (0.25, 0.5, 0.75)
 
 
+CUTS = 256  # parts of a bracket that are ranked apart
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = QUARTILES, *, accuracy: int = 100_000) -> DataFrame:
     """Exact interpolated quantiles (linear between order statistics), one row per column.
 
     Sorting a whole column into one task, or one buffer of all its values, would not scale.
-    Instead a sketch brackets each quantile between two values whose ranks surround it, a second
-    pass counts the values below the bracket, and only the bracket (about 6/accuracy of the rows,
-    equal values merged) is ranked. Columns shorter than ``accuracy`` are ranked whole.
+    Instead a sketch brackets each quantile between two values whose ranks surround it: about 3/accuracy of the rows to either
+    side, or as many as hold the two order statistics of a short column. A second pass counts the values below the
+    bracket and merges equal values in it. The bracket is cut into parts of about as many values each; part totals tell in
+    which parts the two order statistics lie, and only those parts are ranked.
     """
-    margin = 3.0 / accuracy
+    margins = [3.0 / accuracy]
+    while margins[-1] < 1:
+        margins.append(margins[-1] * 4)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x").dropna()
-    edges = []
-    for p in probs:
-        edges += [max(p - margin, 0.0), min(p + margin, 1.0)]
+    edges = [min(max(p + sign * m, 0.0), 1.0) for p in probs for m in margins for sign in (-1, 1)]
     sketch = long.groupBy("column").agg(
         F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.percentile_approx("x", edges, accuracy).alias("e"),
     )
-    small = F.col("n") <= accuracy
-    targets = sketch.select(
+    # The narrowest margin that holds two rows at least.
+    step = F.least(F.greatest(F.ceil(F.log(F.lit(2.0) / (F.lit(margins[0]) * F.col("n"))) / F.log(F.lit(4.0))), F.lit(0)), F.lit(len(margins) - 1)).cast("int")
+    wide = F.col("step") == len(margins) - 1
+    targets = sketch.withColumn("step", step).select(
         "column", "n",
         F.explode(F.array(*[
             F.struct(
                 F.lit(float(p)).alias("p"),
-                F.when(small | F.lit(edges[2 * i] == 0.0), F.col("lo")).otherwise(F.col("e")[2 * i]).alias("a"),
-                F.when(small | F.lit(edges[2 * i + 1] == 1.0), F.col("hi")).otherwise(F.col("e")[2 * i + 1]).alias("b"),
+                F.when(wide, F.col("lo")).otherwise(F.col("e")[2 * (len(margins) * i + F.col("step"))]).alias("a"),
+                F.when(wide, F.col("hi")).otherwise(F.col("e")[2 * (len(margins) * i + F.col("step")) + 1]).alias("b"),
             )
             for i, p in enumerate(probs)
         ])).alias("t"),
     ).select("column", "n", "t.*").withColumn("h", (F.col("n") - 1) * F.col("p") + 1)
-    # One row per column and probability: bounded by the arguments, so the hint is safe.
+    # One row per column and probability: bounded by the arguments, so the hints are safe.
     hit = long.join(F.broadcast(targets), "column")
     keys = ["column", "p", "n", "h"]
     # Values under the bracket fall into one null row that only carries their number.
@@ -167,47 +173,79 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         .groupBy(*keys, F.when(F.col("x") >= F.col("a"), F.col("x")).alias("x"))
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    upto = Window.partitionBy("column", "p").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("r", F.sum("m").over(upto)).withColumn("before", F.col("r") - F.col("m"))
+    cuts = counted.groupBy("column", "p").agg(F.percentile_approx("x", [k / CUTS for k in range(1, CUTS)], 10_000).alias("cuts"))
+    part = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("x"))))
+    parted = counted.join(F.broadcast(cuts), ["column", "p"]).withColumn("part", part).drop("cuts")
+    before = Window.partitionBy("column", "p").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parted.groupBy(*keys, "part").agg(F.sum("m").alias("total")).withColumn("below", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    low, high = F.floor("h"), F.ceil("h")
+    within = lambda rank: (F.col("below") < rank) & (F.col("below") + F.col("total") >= rank)
+    wanted = totals.filter(within(low) | within(high)).select("column", "p", "part", "below")
+    upto = Window.partitionBy("column", "p", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parted.join(F.broadcast(wanted), ["column", "p", "part"]).withColumn("r", F.sum("m").over(upto) + F.col("below")).withColumn("before", F.col("r") - F.col("m"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("before") < rank) & (F.col("r") >= rank), F.col("x")))
 
-    low, high = F.floor("h"), F.ceil("h")
     found = ranked.groupBy(*keys).agg(at(low).alias("u"), at(high).alias("v")).withColumn(
         "q", F.col("u") + (F.col("h") - F.floor("h")) * (F.col("v") - F.col("u"))
     )
     return found.groupBy("column").agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"q{round(p * 100):02d}") for p in probs])
 
 
-def profile_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: rows missing, minimum, quartiles, mean and maximum."""
+def _as_number(df: DataFrame, column: str) -> Column:
+    """A column's values as doubles: days of a date, seconds of a time, 0 or 1 of a truth value."""
+    kind = df.schema[column].dataType.typeName()
+    c = F.col(column)
+    if kind == "date":
+        c = F.unix_date(c)
+    elif kind.startswith("timestamp"):
+        c = F.unix_micros(c.cast("timestamp")) / 1e6
+    return c.cast("double")
+
+
+def profile_numeric(df: DataFrame, columns: Sequence[str], *, accuracy: int = 100_000) -> DataFrame:
+    """Per column: rows missing, minimum, quartiles, mean and maximum.
+
+    Dates count as days since 1970, times as seconds, truth values as 0 and 1; :func:`profile_dates` gives dates back.
+    """
+    df = df.select(*[_as_number(df, c).alias(c) for c in columns])
     stats = df.agg(*[
         F.struct(
             F.lit(c).alias("column"), F.count(F.when(F.col(c).isNull(), 1)).alias("n_missing"),
-            F.min(F.col(c).cast("double")).alias("min"), F.avg(c).alias("mean"), F.max(F.col(c).cast("double")).alias("max"),
+            F.min(c).alias("min"), F.avg(c).alias("mean"), F.max(c).alias("max"),
         ).alias(c)
         for c in columns
     ])
     rows = stats.select(F.inline(F.array(*[F.col(c) for c in columns])))
-    return rows.join(exact_quantiles(df, columns), "column", "left")
+    return rows.join(exact_quantiles(df, columns, accuracy=accuracy), "column", "left")
+
+
+def profile_dates(df: DataFrame, columns: Sequence[str], *, accuracy: int = 100_000) -> DataFrame:
+    """As :func:`profile_numeric` for date columns, with dates as results (a mean or quartile between two days is the earlier)."""
+    profile = profile_numeric(df, columns, accuracy=accuracy)
+    return profile.withColumns({c: F.date_from_unix_date(F.floor(c).cast("int")) for c in profile.columns if c not in ("column", "n_missing")})
 
 
 def profile_levels(df: DataFrame, columns: Sequence[str], *, top: int = 100) -> DataFrame:
-    """Most frequent levels of text columns, the remainder as ``(Other)``.
+    """Levels of text columns by frequency; beyond ``top`` of them, the first ``top - 1`` and the remainder as ``(Other)``.
 
-    The rank filter is pushed before the shuffle, so a task sees at most ``top`` rows per mapper.
+    ``rest`` marks the remainder, which a level of that name is not. The rank filter is pushed before the
+    shuffle, so a task sees at most ``top`` + 1 rows per mapper.
     """
     counts = (
         df.select(*[F.col(c).cast("string").alias(c) for c in columns])
         .unpivot([], list(columns), "column", "level").groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
     )
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("level").asc_nulls_first())
-    kept = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).drop("rank")
+    first = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top + 1)
+    many = first.groupBy("column").agg((F.max("rank") > top).alias("many"))
+    kept = first.join(many, "column").filter((F.col("rank") < top) | (~F.col("many") & (F.col("rank") <= top)))
+    kept = kept.select("column", "level", "n", F.lit(False).alias("rest"))
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
     shown = kept.groupBy("column").agg(F.sum("n").alias("shown"))
     other = (
-        totals.join(shown, "column").filter("total > shown")
-        .select("column", F.lit("(Other)").alias("level"), (F.col("total") - F.col("shown")).alias("n"))
+        totals.join(shown, "column", "left").withColumn("n", F.col("total") - F.coalesce("shown", F.lit(0))).filter("n > 0")
+        .select("column", F.lit("(Other)").alias("level"), "n", F.lit(True).alias("rest"))
     )
     return kept.unionByName(other)

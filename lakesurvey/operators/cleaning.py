@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from lakesurvey.functions import DATE_PARTS, as_col, if_else, is_member, matches, null_when, to_number
 from lakesurvey.operators.joins import left_join, rule_table
 
-# Above this many listed values a filter or recode becomes a join to a rule table.
-INLINE_VALUES = 200
-
 
 def columns_between(df: DataFrame, first: str, last: str) -> list[str]:
     """Column names from ``first`` to ``last`` inclusive, in frame order."""
@@ -33,21 +30,25 @@ def select_rename(
 
 
 def keep_members(df: DataFrame, column: str, values: Iterable) -> DataFrame:
-    """Rows whose value is listed; null is not. Long lists become a semi join."""
-    values = list(values)
-    if len(values) <= INLINE_VALUES:
-        return df.filter(F.col(column).isin(values))
-    rules = rule_table(df.sparkSession, [(v,) for v in values], f"`{column}` {df.schema[column].dataType.simpleString()}")
-    return df.join(rules, column, "left_semi")
+    """Rows whose value is listed; null is not."""
+    return df.filter(F.col(column).isin(list(values)))
 
 
 def drop_members(df: DataFrame, column: str, values: Iterable) -> DataFrame:
     """Rows whose value is not listed; null stays."""
-    values = list(values)
-    if len(values) <= INLINE_VALUES:
-        return df.filter(~is_member(column, values))
-    rules = rule_table(df.sparkSession, [(v,) for v in values], f"`{column}` {df.schema[column].dataType.simpleString()}")
-    return df.join(rules, column, "left_anti")
+    return df.filter(~is_member(column, values))
+
+
+def keep_members_of(df: DataFrame, column: str, members: DataFrame, member: str | None = None) -> DataFrame:
+    """Rows whose value occurs in a frame, for lists that are data; columns keep their order."""
+    other = members.select(F.col(member or column).alias("__member"))
+    return df.join(other, F.col(column) == F.col("__member"), "left_semi")
+
+
+def drop_members_of(df: DataFrame, column: str, members: DataFrame, member: str | None = None) -> DataFrame:
+    """Rows whose value does not occur in a frame; null stays."""
+    other = members.select(F.col(member or column).alias("__member"))
+    return df.join(other, F.col(column) == F.col("__member"), "left_anti")
 
 
 def date_range(
@@ -121,16 +122,13 @@ def null_by_key(df: DataFrame, key: str, values: Iterable, *measures: str) -> Da
 
 
 def recode_values(df: DataFrame, column: str, changes: Mapping[str, str], *, into: str | None = None) -> DataFrame:
-    """Replace listed values, keep the rest."""
-    into = into or column
-    if len(changes) <= INLINE_VALUES:
-        out = F.col(column)
-        for old, new in changes.items():
-            out = F.when(F.col(column) == F.lit(old), F.lit(new)).otherwise(out)
-        return df.withColumn(into, out)
-    rules = rule_table(df.sparkSession, list(changes.items()), f"`{column}` string, __new string")
-    joined = left_join(df, rules, column, null_keys=False)
-    return joined.withColumn(into, F.coalesce("__new", F.col(column))).drop("__new")
+    """Replace listed values, keep the rest: one flat choice, however many are listed."""
+    if not changes:
+        return df.withColumn(into or column, F.col(column))
+    chain = F
+    for old, new in changes.items():
+        chain = chain.when(F.col(column) == F.lit(old), F.lit(new))
+    return df.withColumn(into or column, chain.otherwise(F.col(column)))
 
 
 def apply_overrides(df: DataFrame, key: str, overrides: Sequence[tuple[str, str, float | None]]) -> DataFrame:

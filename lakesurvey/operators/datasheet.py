@@ -113,13 +113,13 @@ def stage_proportions(
     sheet and means the same to a left join.
 
     The twenty cells are tallied within the row, so what is shuffled is one row per taxon row and
-    not one per individual. They are parsed as one array: a loop in the generated code, where
-    twenty separate casts would make a method too long to be compiled.
+    not one per individual. They are parsed as one array: a loop, where twenty separate
+    expressions would make a method too long to be compiled.
     """
     rows = initial_life_stage(sheets.select(key, TAXON, *LENGTH_CELLS)).filter(F.col("Life_stage") == "Other")
     if measured_only:
         rows = rows.filter(F.coalesce(*LENGTH_CELLS).isNotNull())
-    units = F.array(*LENGTH_CELLS).try_cast("array<double>")
+    units = F.transform(F.array(*LENGTH_CELLS), to_number)
     rows = rows.select(key, TAXON, units.alias("units"))
     rows = attach_cutoffs(attach_scalars(rows, headers, ["mm_per_ocular_unit"], on=key), cutoffs)
     mm, cutoff = F.col("mm_per_ocular_unit"), F.coalesce("Length_cutoff", F.lit(0.0))

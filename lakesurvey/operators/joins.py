@@ -12,16 +12,15 @@ from collections.abc import Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+
 def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
-    """Rules given in code as a frame of known size (a local relation, not a parallelized list)."""
+    """Rows given in code as a frame of known size (a local relation, not a parallelized list)."""
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    fields = [(f.name, to_arrow_type(f.dataType)) for f in kind]
-    columns = list(zip(*rows)) if rows else [()] * len(fields)
-    table = pa.table([pa.array(list(c), t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
-    return spark.createDataFrame(table, kind)
+    columns = list(zip(*rows)) if rows else [()] * len(kind)
+    table = pa.table([pa.array(list(c)) for c in columns], names=kind.names)
+    return spark.createDataFrame(table).select(*[F.col(f.name).cast(f.dataType) for f in kind])
 
 
 def left_join(

@@ -12,19 +12,21 @@ from lakesurvey.operators.joins import attach_summary
 _SALT, _LOCAL = "__salt", "__local_rank"
 
 
-def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *, flag: str = "dups") -> DataFrame:
+def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *, flag: str = "dups", parts: int = 256) -> DataFrame:
     """Mark every row of a key but the first in the stated order.
 
-    A key may hold a large share of the rows, so ranking runs in two steps: within the part of the
-    group that came from one task, then among the first rows of those parts. Rows that lost the
-    first step keep their part in the second, so no task ever receives a whole hot group.
+    A key may hold a large share of the rows, so ranking runs in two steps: within one of ``parts`` parts of the
+    group, then among the first rows of those parts. Rows that lost the first step keep their part in the second, so
+    no task ever receives a whole hot group. A row's part is a hash of its other columns and its input task: the columns
+    split a group however the input is laid out, the task splits copies of one row, and both are the same when a task runs again.
 
-    All other columns break ties: only rows alike in every column are interchangeable, and a task
-    run again after a lost executor ranks as it did before.
+    All other columns break ties: only rows alike in every column are interchangeable.
     """
-    order = [*order, *[c for c in df.columns if c not in keys]]
+    others = [c for c in df.columns if c not in keys]
+    order = [*order, *others]
     local = Window.partitionBy(*keys, _SALT).orderBy(*order)
-    parted = df.withColumn(_SALT, F.spark_partition_id()).withColumn(_LOCAL, F.row_number().over(local))
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *others), F.lit(parts))
+    parted = df.withColumn(_SALT, salt).withColumn(_LOCAL, F.row_number().over(local))
     part = F.when(F.col(_LOCAL) == 1, F.lit(-1)).otherwise(F.col(_SALT))
     final = Window.partitionBy(*keys, part).orderBy(*order)
     ranked = parted.withColumn(flag, (F.col(_LOCAL) > 1) | (F.row_number().over(final) > 1))

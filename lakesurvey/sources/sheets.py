@@ -13,18 +13,22 @@ from lakesurvey.functions import blank_to_null
 from lakesurvey.schemas import SHEET
 
 NULL_TOKENS = ("", "NA")
+QUOTING = {"quote": '"', "escape": '"', "multiLine": "true"}
 
 
 def scan_datasheets(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv") -> DataFrame:
     """All count sheets under one or more folders as text, plus the file each row came from.
 
     One scan covers every file. The fixed schema keeps a stray extra column in one sheet from
-    changing the others, and files with bare carriage returns as line ends read like the rest.
+    changing the others, and files with bare carriage returns as line ends read like the rest. A quote inside
+    a quoted cell is doubled, and such a cell may hold a line break; a sheet is one small file, so reading
+    it in one piece costs no parallelism.
     """
     raw = (
         spark.read.schema(SHEET)
         .option("header", True)
         .option("enforceSchema", True)
+        .options(**QUOTING)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .csv(path if isinstance(path, str) else list(path))
@@ -37,7 +41,7 @@ def read_dimension(spark: SparkSession, path: str | Sequence[str], schema: Struc
     """A small keyed CSV with a stated schema. The join planner sees its file size, so it is
     broadcast when it fits the threshold and shuffled when it does not."""
     paths = path if isinstance(path, str) else list(path)
-    rows = spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(paths)
+    rows = spark.read.schema(schema).option("header", True).options(**QUOTING).option("nullValue", "NA").csv(paths)
     return rows
 
 

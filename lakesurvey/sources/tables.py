@@ -63,8 +63,8 @@ def sql_star_query(
 
 
 def write_csv(df: DataFrame, path: str, *, null: str = "NA", mode: str = "overwrite") -> None:
-    """Export with a header row and a text for missing values, one file per task."""
-    df.write.mode(mode).option("header", True).option("nullValue", null).option("emptyValue", "").csv(path)
+    """Export with a header row and a text for missing values, one file per task; quotes in quoted cells are doubled."""
+    df.write.mode(mode).option("header", True).option("escape", '"').option("nullValue", null).option("emptyValue", "").csv(path)
 
 
 def append_table(df: DataFrame, path: str, *, partition: str | None = None) -> None:

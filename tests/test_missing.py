@@ -43,6 +43,10 @@ def test_half_even_digits(spark):
 def test_ratio_and_casts_never_raise(spark):
     assert one(spark, "a double, b double", [(1.0, 0.0), (0.0, 0.0), (1.0, 4.0), (None, 1.0)], L.ratio("a", "b")) == [None, None, 0.25, None]
     assert one(spark, "x string", [("1.5",), ("junk",), ("",), (None,)], L.to_number("x")) == [1.5, None, None, None]
+    odd = ["12d", "12f", "NaN", "Infinity", "-inf", "1e999", "0x1A", "1_0", ".", "1e"]
+    assert one(spark, "x string", [(t,) for t in odd], L.to_number("x")) == [None] * len(odd)
+    fine = {" 7 ": 7.0, "-.5": -0.5, "+3.": 3.0, "1E-3": 0.001}
+    assert one(spark, "x string", [(t,) for t in fine], L.to_number("x")) == list(fine.values())
     assert one(spark, "x string", [("20200604",), ("2020-06-04",), ("04/06/2020",)], L.parse_date("x")) == [
         dt.date(2020, 6, 4), dt.date(2020, 6, 4), None]
 

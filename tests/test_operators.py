@@ -49,13 +49,22 @@ def test_attach_summary_matches_null_group(spark, rows):
 # --- cleaning ------------------------------------------------------------------------------------
 
 
-def test_long_lists_become_joins_with_the_same_rows(spark, rows):
-    df = spark.createDataFrame([("s1",), ("s999",), ("other",), (None,)], "s string")
-    long_list = [f"s{i}" for i in range(1000)]
-    assert rows(clean.keep_members(df, "s", long_list)) == [("s1",), ("s999",)]
-    assert rows(clean.drop_members(df, "s", long_list)) == [("other",), (None,)]
-    codes = {f"s{i}": f"t{i}" for i in range(1000)}
-    assert rows(clean.recode_values(df, "s", codes)) == [("other",), ("t1",), ("t999",), (None,)]
+@pytest.mark.parametrize("n", [1, 200, 201, 5000])
+def test_lists_of_any_length_take_one_path(spark, rows, n):
+    df = spark.createDataFrame([(1, "s0", 9), (2, f"s{n - 1}", 8), (3, "other", 7), (4, None, 6)], "id int, key string, x int")
+    values = [f"s{i}" for i in range(n)]
+    listed = [r for r in df.collect() if r.key in values]
+    for out, want in (
+        (clean.keep_members(df, "key", values), listed), (clean.drop_members(df, "key", values), [r for r in df.collect() if r.key not in values]),
+        (clean.keep_members_of(df, "key", spark.createDataFrame([(v,) for v in values], "m string"), "m"), listed),
+        (clean.drop_members_of(df, "key", spark.createDataFrame([(v,) for v in values], "key string")), [r for r in df.collect() if r.key not in values]),
+    ):
+        assert out.schema == df.schema and rows(out) == rows(spark.createDataFrame(want, df.schema))
+    out = clean.recode_values(df, "key", {v: f"t{v}" for v in values})
+    assert out.schema == df.schema
+    assert [r.key for r in out.orderBy("id").collect()] == ["ts0", f"ts{n - 1}", "other", None]
+    with_numbers = clean.keep_members(df, "id", ["1", "2"] + [str(i) for i in range(10, n)])
+    assert with_numbers.columns == df.columns and sorted(r.id for r in with_numbers.collect()) == [1, 2]
 
 
 def test_overrides_can_blank_a_cell(spark, rows):
@@ -147,8 +156,18 @@ def test_exact_quantiles_many_rows_small_sketch(spark):
 
 def test_profile_levels_other(spark):
     df = spark.createDataFrame([(f"l{i % 7}",) for i in range(70)] + [("l0",), (None,)], "s string")
-    got = {r.level: r.n for r in agg.profile_levels(df, ["s"], top=3).collect()}
-    assert got == {"l0": 11, "l1": 10, "l2": 10, "(Other)": 41}
+    got = {(r.level, r.rest): r.n for r in agg.profile_levels(df, ["s"], top=3).collect()}
+    assert got == {("l0", False): 11, ("l1", False): 10, ("(Other)", True): 51}
+    all_shown = agg.profile_levels(df.fillna("(Other)"), ["s"], top=8).collect()
+    assert len(all_shown) == 8 and not any(r.rest for r in all_shown)
+
+
+def test_profile_of_dates_times_and_truth_values(spark):
+    days = [dt.date(2020, 1, d) for d in (1, 2, 3, 10)]
+    df = spark.createDataFrame([(d, d.day > 2) for d in days] + [(None, None)], "d date, b boolean")
+    got = agg.profile_dates(df, ["d"]).first()
+    assert (got["n_missing"], got["min"], got.q25, got.q50, got["mean"], got["max"]) == (1, days[0], dt.date(2020, 1, 1), dt.date(2020, 1, 2), dt.date(2020, 1, 4), days[3])
+    assert agg.profile_numeric(df, ["b"]).first()["mean"] == 0.5
 
 
 def test_mean_se_single_value_and_nulls(spark):

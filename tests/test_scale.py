@@ -95,6 +95,16 @@ def test_no_task_of_a_duplicate_flag_holds_a_hot_key(spark):
     assert df.filter("not dups").count() == df.select("k").distinct().count()
 
 
+def test_a_duplicate_flag_splits_a_key_that_lies_in_one_task(spark):
+    """Input already dealt out by the key: the parts of the hot group still go to many tasks."""
+    df = hot(spark).repartition(8, "k")
+    keyed = df.select("k", F.pmod(F.xxhash64(F.spark_partition_id(), *[c for c in df.columns if c != "k"]), F.lit(256)).alias("salt"))
+    sizes = [r["count"] for r in keyed.filter("k = 'hot'").groupBy("salt").count().collect()]
+    assert max(sizes) < 0.02 * sum(sizes)
+    flagged = windows.flag_duplicates(df, ["k"], ["v", "pad"])
+    assert flagged.filter("not dups").count() == df.select("k").distinct().count()
+
+
 def test_level_ranks_are_limited_before_the_shuffle(spark):
     plan = profile_levels(hot(spark), ["k"], top=10)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
