@@ -374,6 +374,11 @@ def _(t):
     return joins.repeated_keys(t.taxa_groups, "Genus_sp_lifestage")
 
 
+@query("j2_conflicting_taxa", "SELECT Genus_sp_lifestage, COUNT(*) AS n FROM (SELECT DISTINCT Genus_sp_lifestage, Life_stage FROM taxa_groups) GROUP BY 1 HAVING COUNT(*) > 1")
+def _(t):
+    return joins.conflicting_keys(t.taxa_groups, "Genus_sp_lifestage", ["Life_stage"])
+
+
 @query("j3_left_join_multi", f"""
 SELECT f.Sample_ID, f.Life_stage, {S('x.Biom_a', 'Biom_a')}, {S('x.Biom_dens', 'Biom_dens')} FROM zoop_final f
 LEFT JOIN taxa_groups x ON f.Genus_sp_lifestage = x.Genus_sp_lifestage AND f.Life_stage = x.Life_stage
@@ -593,16 +598,16 @@ SELECT 'Sample_date' AS "column", COUNT(*) - COUNT(Sample_date) AS n_missing, {"
     f"(DATE '1970-01-01' + CAST(FLOOR({e}) AS INTEGER))::DATE AS {n}" for e, n in (
         (f"MIN({_DAY})", '"min"'), (f"AVG({_DAY})", "mean"), (f"MAX({_DAY})", '"max"'),
         (f"quantile_cont({_DAY}, 0.25)", "q25"), (f"quantile_cont({_DAY}, 0.5)", "q50"), (f"quantile_cont({_DAY}, 0.75)", "q75")))}
-FROM zoop_sample_info
+FROM sample_info
 """)
 def _(t):
-    return agg.profile_dates(t.zoop_sample_info, ["Sample_date"])
+    return agg.profile_dates(t.sample_info, ["Sample_date"])
 
 
 @query("a15_profile_levels", """
 WITH c AS (SELECT 'Genus_sp_lifestage' AS "column", Genus_sp_lifestage AS level, COUNT(*) AS n FROM zoop_final GROUP BY 2
   UNION ALL SELECT 'Life_stage' AS "column", Life_stage AS level, COUNT(*) AS n FROM zoop_final GROUP BY 2),
-k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY n DESC, level) AS r FROM c)
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY n DESC, level) AS r FROM c),
 m AS (SELECT "column" AS c, MAX(r) AS levels FROM k GROUP BY 1),
 s AS (SELECT k.*, CASE WHEN levels > 100 THEN 99 ELSE 100 END AS shown FROM k JOIN m ON m.c = k."column")
 SELECT "column", level, n, FALSE AS rest FROM s WHERE r <= shown

@@ -240,6 +240,26 @@ def _(t):
     return ds.stage_residuals(ds.sheet_counts(t.sheets), ds.staged_counts(t.sheets, _headers(t), t.cutoffs))
 
 
+# Sheets with header faults: an unreadable date, and a temperature entered under another name.
+_FAULTY = """
+f AS (SELECT source_file, CASE WHEN Information = 'Surface_temp' AND Sample_ID LIKE '%3' THEN 'Depth_m' ELSE Information END AS Information,
+  CASE WHEN Information = 'Sample_date' AND Sample_ID LIKE '%7' THEN 'unknown' ELSE Value END AS Value FROM sheets)"""
+
+
+@query("d15_header_faults", f"""
+WITH {_FAULTY},
+g AS (SELECT source_file, COUNT(CASE WHEN Information IN ({", ".join(f"'{f.name}'" for f in HEADER)}) THEN 1 END) AS pairs,
+  MAX(CASE WHEN Information = 'Sample_date' THEN TRY_STRPTIME(Value, '%Y%m%d') END) AS day,
+  CASE WHEN MIN(CASE WHEN Information = 'Depth_m' THEN Value END) < MAX(CASE WHEN Information = 'Depth_m' THEN Value END) THEN 'several values for Depth_m' END AS twice
+  FROM f GROUP BY 1)
+SELECT source_file, NULLIF(CONCAT_WS('; ', CASE WHEN pairs = 0 THEN 'no header rows' END, twice, CASE WHEN pairs > 0 AND day IS NULL THEN 'no readable Sample_date' END), '') AS faults FROM g
+""")
+def _(t):
+    name = F.when((F.col("Information") == "Surface_temp") & F.col("Sample_ID").like("%3"), "Depth_m").otherwise(F.col("Information"))
+    value = F.when((F.col("Information") == "Sample_date") & F.col("Sample_ID").like("%7"), "unknown").otherwise(F.col("Value"))
+    return qa.header_faults(t.sheets.select("source_file", name.alias("Information"), value.alias("Value")))
+
+
 @query("d16_qa_volume_agreement", f"""
 SELECT Sample_ID, {S('r', 'V1toV2ratio')}, CASE WHEN r <= 0.99 OR r >= 1.01 THEN 'dif' WHEN r IS NOT NULL THEN 'same' END AS V1equalsV2
 FROM (SELECT Sample_ID, (Meter_2 - Meter_1) * 5.2765 / NULLIF(Vol_sampled_L, 0) AS r FROM inventory)

@@ -13,14 +13,13 @@ from catalog.domain import (
 from catalog.registry import lit_list, query, snap_sql as S, snapped
 from lakesurvey.operators.aggregates import histogram
 from lakesurvey.operators.harmonize import IMMATURE_LABELS
-from lakesurvey.operators.reshape import key_difference
 from lakesurvey.operators.windows import duplicate_rows
 from lakesurvey.plans import exports as ex
 from lakesurvey.plans import ingest as ing
 from lakesurvey.plans import requests as rq
 from lakesurvey.plans.rules import Corrections
 from lakesurvey.session import shared_folder
-from lakesurvey.sources import archive_raw, read_table, write_csv
+from lakesurvey.sources import read_table, write_csv
 
 # Corrections of the checks: several samples each, so that every scale has some at the chosen sites.
 FIXED = tuple(str(i) for i in range(100, 160))
@@ -65,29 +64,45 @@ def _(t):
     return ing.ingest_sheets(t.sheets, t.cutoffs).status
 
 
+# Each stored table as (tab, year, Sample_ID, two names, two numbers).
+STORED = {
+    "zoop_sample_info": ("Sample_site", "Project", "Depth_m", "Subsampled_vol_mL"),
+    "sample_inventory": ("Sample_site", "Project", "Net_diameter_m", "Meter_2"),
+    "zoop_counts": (TAXON, "Life_stage", "Number_counted", "0.0"),
+    "zoop_final": (TAXON, "Life_stage", "Number_counted", "Zoop_density"),
+    "zoop_lengths": (TAXON, "Measured_number", "Length_mm", "0.0"),
+    "zoop_egg_counts": (TAXON, "Measured_number", "Number_eggs", "0.0"),
+}
+_ENTERED = {
+    "zoop_sample_info": "headers h JOIN y USING (source_file)", "sample_inventory": "headers h JOIN y USING (source_file)",
+    "zoop_counts": "counts JOIN y USING (source_file)",
+    "zoop_final": "(SELECT * REPLACE (CASE WHEN Life_stage <> 'Egg' THEN Zoop_density END AS Zoop_density) FROM counts) JOIN y USING (source_file)",
+    "zoop_lengths": "all_lengths JOIN y USING (source_file) WHERE Life_stage <> 'Egg'",
+    "zoop_egg_counts": "(SELECT *, Length_OU AS Number_eggs FROM all_lengths) JOIN y USING (source_file) WHERE Life_stage = 'Egg'",
+}
+
+
 @query("q01_load_folder", f"""
 {PATH}, {SPECIES}, ok AS (SELECT source_file FROM species WHERE sheet_taxa = final_taxa),
 y AS (SELECT h.source_file, CAST(year(Sample_date) AS INT) AS year FROM headers h JOIN ok ON h.source_file = ok.source_file)
-SELECT 'zoop_sample_info' AS tab, year, COUNT(*) AS n FROM y GROUP BY 2 UNION ALL SELECT 'sample_inventory', year, COUNT(*) FROM y GROUP BY 2
-UNION ALL SELECT 'zoop_counts', year, COUNT(*) FROM counts JOIN y USING (source_file) GROUP BY 2
-UNION ALL SELECT 'zoop_final', year, COUNT(*) FROM counts JOIN y USING (source_file) GROUP BY 2
-UNION ALL SELECT 'zoop_lengths', year, COUNT(*) FROM all_lengths JOIN y USING (source_file) WHERE Life_stage <> 'Egg' GROUP BY 2
-UNION ALL SELECT 'zoop_egg_counts', year, COUNT(*) FROM all_lengths JOIN y USING (source_file) WHERE Life_stage = 'Egg' GROUP BY 2
-""")
-def _(t):
-    # Entered the whole way: sheets are archived, staged, checked, appended to six tables and read back.
-    raw, stage, warehouse = (shared_folder(t.spark, name) for name in ("raw", "stage", "warehouse"))
-    archive_raw(t.derive_sheets(), raw)
-    done = ing.ingest_staged(read_table(t.spark, raw), t.cutoffs, stage)
-    ing.load_tables(done, t.taxa_groups, warehouse)
+SELECT tab, year, Sample_ID, COUNT(*) AS n, MIN(one) AS one, MAX(two) AS two, {S('SUM(a)', 'a')}, {S('SUM(b)', 'b')}, {S('MAX(a)', 'most')} FROM (
+""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS tab, year, Sample_ID, {one} AS one, {two} AS two, {a} AS a, {b} AS b FROM {_ENTERED[name]}"
+    for name, (one, two, a, b) in STORED.items()) + ") GROUP BY 1, 2, 3")
+def _(t):
+    # Entered the whole way: text files are scanned, archived, staged, checked, appended to six tables and read back.
+    files, warehouse = (shared_folder(t.spark, name) for name in ("sheet-files", "warehouse"))
+    write_csv(t.derive_sheets().drop("source_file"), files)
+    ing.load_folder(t.spark, files, t.cutoffs, t.taxa_groups, warehouse, key="Sample_ID")
     stored = [
-        read_table(t.spark, f"{warehouse}/{name}").groupBy("year").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tab"), "year", "n")
-        for name in ("zoop_sample_info", "sample_inventory", "zoop_counts", "zoop_final", "zoop_lengths", "zoop_egg_counts")
+        read_table(t.spark, f"{warehouse}/{name}").selectExpr(f"'{name}' AS tab", "year", "Sample_ID", f"{one} AS one", f"{two} AS two", f"{a} AS a", f"CAST({b} AS DOUBLE) AS b")
+        for name, (one, two, a, b) in STORED.items()
     ]
     out = stored[0]
     for s in stored[1:]:
         out = out.unionByName(s)
-    return out
+    return snapped(out.groupBy("tab", "year", "Sample_ID").agg(
+        F.count(F.lit(1)).alias("n"), F.min("one").alias("one"), F.max("two").alias("two"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.max("a").alias("most")))
 
 
 SHEET_FINAL = f"""
@@ -483,9 +498,6 @@ def _(t):
     return snapped(_audit(t)[1])
 
 
-@query("q20_label_differences", f"""
-SELECT DISTINCT {TAXON} FROM zoop_final z WHERE Life_stage = 'Older' AND NOT EXISTS (SELECT 1 FROM zoop_final y WHERE y.Life_stage = 'Younger' AND y.{TAXON} = z.{TAXON} AND y.Number_counted > 45)
-""")
+@query("q20_label_differences", f"SELECT DISTINCT {TAXON} FROM zoop_final z WHERE NOT EXISTS (SELECT 1 FROM cutoffs c WHERE c.{TAXON} = z.{TAXON})")
 def _(t):
-    older = t.zoop_final.filter("Life_stage = 'Older'").select(TAXON).distinct()
-    return key_difference(older, t.zoop_final.filter("Life_stage = 'Younger' AND Number_counted > 45"), TAXON)
+    return rq.label_differences(t.zoop_final, t.cutoffs, TAXON)

@@ -218,9 +218,8 @@ class Tables:
         return f"{self.folder}/{table}.parquet"
 
     def derive_sheets(self) -> DataFrame:
-        # A small table is one file and one task; spread the orders before each becomes 26 wide rows.
-        tasks = self.spark.sparkContext.defaultParallelism
-        rows = self.raw("orders").repartition(tasks, "o_orderkey")
+        # A small table is one file and one task; spread the orders before each becomes 26 wide rows. How many tasks is the session's choice.
+        rows = self.raw("orders").repartition(F.col("o_orderkey"))
         rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(N_TAXA_PER_SHEET - 1))))
         return rows.selectExpr(*SHEET_EXPRS)
 

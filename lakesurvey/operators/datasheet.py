@@ -143,7 +143,7 @@ def allocate_counts(
     """Split each count into older and younger by the measured shares, rounding halves to even."""
     n, young = F.col("Number_counted"), has_any(TAXON, *always_younger)
     fill = lambda c: F.when(c.isNull() & (F.col("Life_stage") == "Other"), 0.0).otherwise(c)
-    joined = left_join(counts, proportions, [key, TAXON], null_keys=null_keys)
+    joined = left_join(counts, proportions, [key, TAXON], null_keys=null_keys, split_hot=False)
     return joined.withColumns({
         "older_count": fill(F.when(young, 0.0).otherwise(half_even(n * F.col("Prop_O")))),
         "younger_count": fill(F.when(young, n).otherwise(half_even(n * F.col("Prop_Y")))),

@@ -77,6 +77,15 @@ def repeated_keys(dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
     return dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def conflicting_keys(dim: DataFrame, on: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Keys for which a dimension holds different values of ``columns``: enriching by them multiplies facts.
+
+    Word-for-word repeats, such as a taxon once per life stage, don't count.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    return repeated_keys(dim.select(*keys, *[c for c in columns if c not in keys]).distinct(), keys)
+
+
 def star_join(facts: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[str]]], *, null_keys: bool = True) -> DataFrame:
     """Several left joins in a row."""
     for dim, on in dims:
@@ -85,9 +94,12 @@ def star_join(facts: DataFrame, dims: Sequence[tuple[DataFrame, str | Sequence[s
 
 
 def attach_scalars(rows: DataFrame, headers: DataFrame, columns: Sequence[str], *, on: str | Sequence[str]) -> DataFrame:
-    """Per-sheet header values on each row of the sheet (the sheet key is never null)."""
+    """Per-sheet header values on each row of the sheet.
+
+    The sheet key is never null, and a sheet is a few hundred rows, so no key is hot.
+    """
     keys = [on] if isinstance(on, str) else list(on)
-    return left_join(rows, headers.select(*keys, *columns), keys, null_keys=False)
+    return left_join(rows, headers.select(*keys, *columns), keys, null_keys=False, split_hot=False)
 
 
 def attach_cutoffs(rows: DataFrame, cutoffs: DataFrame, *, on: str = "Genus_sp_lifestage") -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesurvey.functions import ratio
+from lakesurvey.functions import parse_date, ratio
 from lakesurvey.operators.aggregates import group_count, row_nonnull_count
 from lakesurvey.operators.datasheet import KEY, TAXON
 from lakesurvey.operators.joins import left_join
-from lakesurvey.schemas import LENGTH_CELLS
+from lakesurvey.schemas import HEADER, LENGTH_CELLS
 
 # Relative volume difference that counts as different, and the density difference
 # (individuals per litre) worth chasing.
@@ -21,7 +21,7 @@ def qa_measured_counts(sheets: DataFrame, lengths: DataFrame, key: str = KEY) ->
     """Filled length cells per taxon row against length rows produced for that sheet and taxon."""
     cells = row_nonnull_count(sheets.select(key, TAXON, *LENGTH_CELLS), LENGTH_CELLS, "sheet_measured")
     made = group_count(lengths, key, TAXON, name="entered_measured")
-    joined = left_join(cells.drop(*LENGTH_CELLS), made, [key, TAXON]).fillna(0, ["entered_measured"])
+    joined = left_join(cells.drop(*LENGTH_CELLS), made, [key, TAXON], split_hot=False).fillna(0, ["entered_measured"])
     return joined.withColumn("difference", F.col("sheet_measured") - F.col("entered_measured"))
 
 
@@ -29,14 +29,33 @@ def qa_species_counts(sheets: DataFrame, counts: DataFrame, key: str = KEY) -> D
     """Distinct taxa counted on the sheet against distinct taxa with a non-zero final count."""
     raw = sheets.groupBy(key).agg(F.countDistinct(F.when(F.col("Number_counted").isNotNull(), F.col(TAXON))).alias("sheet_taxa"))
     final = counts.groupBy(key).agg(F.countDistinct(F.when(F.col("Number_counted") != 0, F.col(TAXON))).alias("final_taxa"))
-    joined = left_join(raw, final, key, null_keys=False).fillna(0, ["final_taxa"])
+    joined = left_join(raw, final, key, null_keys=False, split_hot=False).fillna(0, ["final_taxa"])
     return joined.withColumn("difference", F.col("sheet_taxa") - F.col("final_taxa"))
 
 
-def qa_status(measured: DataFrame, species: DataFrame, key: str = KEY) -> DataFrame:
-    """One status text per sheet from both checks."""
+def header_faults(sheets: DataFrame, key: str = KEY) -> DataFrame:
+    """What is wrong with each sheet's header pairs, or null: no pairs, a name with several values, no readable date.
+
+    :func:`header_spread` takes one value of a repeated name; here the sheet is named for it.
+    """
+    name, value = F.col("Information"), F.col("Value")
+    parts = [F.count(F.when(name.isin(HEADER.names), 1)).alias("__pairs"), F.max(F.when(name == "Sample_date", parse_date(value))).alias("__date")]
+    for field in HEADER.names:
+        own = F.when(name == field, value)
+        parts.append(F.when(F.min(own) < F.max(own), F.lit(field)).alias(f"__{field}"))
+    found = sheets.select(key, "Information", "Value").groupBy(key).agg(*parts)
+    repeated = F.concat_ws(", ", *[f"__{field}" for field in HEADER.names])
+    text = F.concat_ws(
+        "; ", F.when(F.col("__pairs") == 0, "no header rows"), F.when(repeated != "", F.concat(F.lit("several values for "), repeated)),
+        F.when((F.col("__pairs") > 0) & F.col("__date").isNull(), "no readable Sample_date"),
+    )
+    return found.select(key, F.nullif(text, F.lit("")).alias("faults"))
+
+
+def qa_status(measured: DataFrame, species: DataFrame, key: str = KEY, *, faults: DataFrame | None = None) -> DataFrame:
+    """One status text per sheet from both checks, and from the faults of its header where they are given."""
     by_sheet = measured.groupBy(key).agg(F.sum("difference").alias("measured_diff"))
-    joined = left_join(by_sheet, species.select(key, F.col("difference").alias("species_diff")), key, null_keys=False)
+    joined = left_join(by_sheet, species.select(key, F.col("difference").alias("species_diff")), key, null_keys=False, split_hot=False)
     ok_m, ok_s = F.col("measured_diff") == 0, F.coalesce(F.col("species_diff") == 0, F.lit(False))
     text = (
         F.when(ok_m & ok_s, "Number measured OK. Species counts OK.")
@@ -44,7 +63,11 @@ def qa_status(measured: DataFrame, species: DataFrame, key: str = KEY) -> DataFr
         .when(ok_s, "Number measured NOT OK")
         .otherwise("Number measured NOT OK. Species counts NOT OK.")
     )
-    return joined.select(key, (ok_m & ok_s).alias("ok"), text.alias("status"))
+    if faults is None:
+        return joined.select(key, (ok_m & ok_s).alias("ok"), text.alias("status"))
+    joined = left_join(joined, faults, key, null_keys=False, split_hot=False)
+    header = F.when(F.col("faults").isNotNull(), F.concat(F.lit("Header NOT OK: "), "faults", F.lit(".")))
+    return joined.select(key, (ok_m & ok_s & F.col("faults").isNull()).alias("ok"), F.concat_ws(" ", text, header).alias("status"))
 
 
 def qa_volume_agreement(df: DataFrame, *, computed: str = "Vol_sampled_L2", stored: str = "Vol_sampled_L") -> DataFrame:

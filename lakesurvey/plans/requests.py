@@ -15,6 +15,7 @@ from lakesurvey.operators.cleaning import (
 from lakesurvey.operators.harmonize import counter_period_class, size_groups
 from lakesurvey.operators.joins import enrich_taxa, inner_join, left_join, star_join
 from lakesurvey.operators.rates import mean_individual_mass
+from lakesurvey.operators.reshape import key_difference
 from lakesurvey.operators.windows import duplicate_rows
 from lakesurvey.plans.rules import COMPARED_CALANOIDS, DOUBLE_COUNTED_PHYTO, LONGEST_MM
 from lakesurvey.sources import union_files
@@ -179,3 +180,8 @@ def dup_audit(
     )
     repeats = duplicate_rows(rows, FINAL_KEY, [*MEASURES])
     return repeats, resolve_dups_by_mean(rows, FINAL_KEY, MEASURES)
+
+
+def label_differences(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """Labels of one frame that the other lacks, each once."""
+    return key_difference(left.select(column).distinct(), right, column)

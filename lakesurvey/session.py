@@ -40,11 +40,18 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh path for a written table, in the folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session; only where it is unset (local runs and
-    tests) a temporary folder takes its place. The path is new on every call.
+    tests) a temporary folder takes its place. On a cluster, a folder of one machine's own file system is refused. The path
+    is new on every call.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/lakesurvey-{label}-{uuid.uuid4().hex}"
+    local = spark.sparkContext.master.startswith("local")
+    if not local and (not root or root.startswith("file:")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return f"{(root or tempfile.gettempdir()).rstrip('/')}/lakesurvey-{label}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a working folder that is no longer read, in whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

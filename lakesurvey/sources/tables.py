@@ -67,16 +67,22 @@ def write_csv(df: DataFrame, path: str, *, null: str = "NA", mode: str = "overwr
     df.write.mode(mode).option("header", True).option("escape", '"').option("nullValue", null).option("emptyValue", "").csv(path)
 
 
-def append_table(df: DataFrame, path: str, *, partition: str | None = None) -> None:
+def append_table(df: DataFrame, path: str, *, partition: str | None = None, batch: str | None = None) -> None:
     """Append to a Parquet table, optionally partitioned.
 
     ``rebalance`` gathers each partition value into few well-sized files and splits a value that
-    holds much of the data over several tasks.
+    holds much of the data over several tasks. With a ``batch`` the rows lie in a partition of their own, which is
+    replaced when the same batch is written again: a load that failed half-way is repeated without doubling any row.
     """
-    if partition is None:
-        df.write.mode("append").parquet(path)
-    else:
-        df.hint("rebalance", F.col(partition)).write.mode("append").partitionBy(partition).parquet(path)
+    if partition is not None:
+        df = df.hint("rebalance", F.col(partition))
+    by = [c for c in ("batch" if batch else None, partition) if c]
+    if batch:
+        df = df.withColumn("batch", F.lit(batch))
+    writer = df.write.mode("overwrite" if batch else "append")
+    if batch:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
 def append_bucketed(df: DataFrame, table: str, *, key: str = "Sample_ID", buckets: int = 1024, path: str | None = None) -> None:

@@ -40,6 +40,11 @@ def test_left_join_collisions(spark):
     assert joins.left_join(left, right, "k", collisions="right").first().asDict() == {"k": 1, "v": "l", "v_right": "r", "w": 9}
 
 
+def test_conflicting_keys(spark, rows):
+    dim = spark.createDataFrame([("a", "O1", "Older"), ("a", "O1", "Younger"), ("b", "O1", "Older"), ("b", "O2", "Younger")], "k string, Order1 string, stage string")
+    assert rows(joins.conflicting_keys(dim, "k", ["Order1"])) == [("b", 2)]
+
+
 def test_attach_summary_matches_null_group(spark, rows):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, None)], "k string, v double")
     assert rows(joins.attach_summary(df, ["k"], {"m": F.avg("v")}), "k", "v", "m") == [

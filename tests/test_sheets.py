@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lakesurvey import schemas
 from lakesurvey.operators.datasheet import sheet_headers, stage_residuals, sheet_counts
+from lakesurvey.plans import ingest
 from lakesurvey.plans.ingest import ingest_sheets, load_folder, zoop_final
-from lakesurvey.sources import read_dimension, scan_datasheets
+from lakesurvey.sources import read_dimension, scan_datasheets, write_csv
 
 HEADER = {
     "Sample_ID": "20200604-16-970", "Sample_date": "20200604", "Sample_time": "", "Sample_site": "16-970", "Water_body": "Lake",
@@ -153,11 +154,83 @@ def test_load_folder(spark, folder, cutoffs, tmp_path):
     stored = {n: spark.read.parquet(f"{warehouse}/{n}") for n in
               ("zoop_sample_info", "sample_inventory", "zoop_counts", "zoop_lengths", "zoop_egg_counts", "zoop_final")}
     assert {n: df.select("Sample_ID").distinct().collect()[0][0] for n, df in stored.items()} == dict.fromkeys(stored, "good")
-    assert stored["zoop_final"].columns == [*schemas.FINAL.names, "year"]
+    assert stored["zoop_final"].columns == [*schemas.FINAL.names, "batch", "year"]
     assert stored["zoop_sample_info"].first().year == 2020
     assert spark.read.parquet(f"{warehouse}/raw_entered").count() == 4 * 26
 
 
+def test_quoted_cells(spark, tmp_path, rows):
+    """Commas, doubled quotes and line breaks inside quoted cells, read from a sheet and written to an export."""
+    odd = 'torn "net", redo\nnext day'
+    write_sheet(tmp_path / "q.csv", sheet_lines({**HEADER, "Comments": odd}, TAXA))
+    raw = scan_datasheets(spark, str(tmp_path), "q.csv")
+    assert raw.count() == 26 and raw.filter("Information = 'Comments'").first().Value == odd
+    assert raw.filter("Genus_sp_lifestage = 'D_thomasi_wo_eggs'").count() == 1
+    df = spark.createDataFrame([(1, odd), (2, 'a,b'), (3, '"'), (4, "back\\slash"), (5, None), (6, "")], "k int, t string")
+    write_csv(df, str(tmp_path / "out"))
+    assert rows(read_dimension(spark, str(tmp_path / "out"), df.schema)) == rows(df.replace("", None, subset=["t"]))
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
+    assert '"torn ""net"", redo' in text
+
+
+GOOD = [t for t in TAXA if t[0] != "S_oregonensis_w_eggs"]
+
+
+def test_a_failed_load_is_repeated_without_doubling_rows(spark, tmp_path, cutoffs, monkeypatch):
+    (tmp_path / "in").mkdir()
+    write_sheet(tmp_path / "in" / "a.csv", sheet_lines({**HEADER, "Sample_ID": "a"}, GOOD))
+    warehouse = str(tmp_path / "warehouse")
+    names = ("zoop_sample_info", "sample_inventory", "zoop_counts", "zoop_lengths", "zoop_egg_counts", "zoop_final", "sheet_status")
+    real, calls = ingest.append_table, []
+
+    def failing(*args, **kwargs):
+        calls.append(args[1])
+        if len(calls) > 3:
+            raise OSError("the disk went away")
+        real(*args, **kwargs)
+
+    monkeypatch.setattr(ingest, "append_table", failing)
+    with pytest.raises(OSError):
+        load_folder(spark, str(tmp_path / "in"), cutoffs, taxa_groups(spark), warehouse, batch="june")
+    monkeypatch.setattr(ingest, "append_table", real)
+    load_folder(spark, str(tmp_path / "in"), cutoffs, taxa_groups(spark), warehouse, batch="june")
+    once = {n: spark.read.parquet(f"{warehouse}/{n}").count() for n in names}
+    assert once["zoop_sample_info"] == once["sample_inventory"] == once["sheet_status"] == 1
+    assert not list((tmp_path / "warehouse" / "stage").glob("*"))
+    # A second entry of the same sheet is an entry of its own.
+    load_folder(spark, str(tmp_path / "in"), cutoffs, taxa_groups(spark), warehouse)
+    assert {n: spark.read.parquet(f"{warehouse}/{n}").count() for n in names} == {n: 2 * k for n, k in once.items()}
+
+
+def test_header_faults_are_named_and_keep_a_sheet_out(spark, tmp_path, cutoffs):
+    (tmp_path / "in").mkdir()
+    headers = {"good": {}, "nodate": {"Sample_date": "June"}, "none": None}
+    for name, change in headers.items():
+        lines = sheet_lines({**HEADER, "Sample_ID": name, **(change or {})}, GOOD)
+        if change is None:
+            lines = [lines[0], *[["", "", *row[2:]] for row in lines[1:]]]
+        write_sheet(tmp_path / "in" / f"{name}.csv", lines)
+    twice = sheet_lines({**HEADER, "Sample_ID": "twice"}, GOOD)
+    twice.append(["Depth_m", "10", "twice", "Filler_x", "", *[""] * 20])
+    write_sheet(tmp_path / "in" / "twice.csv", twice)
+    warehouse = str(tmp_path / "warehouse")
+    status = {r.source_file.rsplit("/", 1)[1]: r for r in load_folder(spark, str(tmp_path / "in"), cutoffs, taxa_groups(spark), warehouse).collect()}
+    assert {k: r.ok for k, r in status.items()} == {"good.csv": True, "nodate.csv": False, "none.csv": False, "twice.csv": False}
+    assert "no readable Sample_date" in status["nodate.csv"].status and "no header rows" in status["none.csv"].status
+    assert "several values for Depth_m" in status["twice.csv"].status
+    assert [r.Sample_ID for r in spark.read.parquet(f"{warehouse}/zoop_sample_info").collect()] == ["good"]
+
+
+def test_a_junk_length_is_measured_nowhere(spark, tmp_path, cutoffs):
+    """Shares and lengths read a cell alike: NaN and 12f are no measurements."""
+    write_sheet(tmp_path / "j.csv", sheet_lines({**HEADER, "Sample_ID": "j"}, [("D_thomasi_wo_eggs", "10", ["NaN", "12f", "40", "10"])]))
+    sheets = scan_datasheets(spark, str(tmp_path), "j.csv")
+    done = ingest_sheets(sheets, cutoffs)
+    assert done.measured.count() == 2
+    counts = {r.Life_stage: r.Number_counted for r in done.counts.filter("Genus_sp_lifestage = 'D_thomasi_wo_eggs'").collect()}
+    assert counts == {"Older": 5.0, "Younger": 5.0}
+
+
 def test_density_is_linear_in_the_count(spark, tmp_path, cutoffs):
     for factor in (1, 3):
         taxa = [("D_thomasi_wo_eggs", str(20 * factor), [40, 10])]
