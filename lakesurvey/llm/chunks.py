@@ -3,8 +3,8 @@
 Texts are handled as the UTF-8 bytes that Arrow delivers. Every chunk between two blanks gets a 64-bit key,
 and each distinct key is looked at once: its ids, token count or score is computed from the chunk's text and
 remembered. Remembered chunks live in flat arrays; beyond ``limit`` of them the memory starts anew, so it is
-bounded whatever the data. Two chunks with equal 64-bit keys in one memory would be mixed up; with two million
-chunks that has a chance of about 1e-7.
+bounded whatever the data. Two chunks with equal 64-bit keys in one memory would be mixed up; with a million
+chunks that has a chance of about 3e-8.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ class ChunkTable:
     ``first_counts``: a row's first chunk, which no blank precedes, differs from the same chunk elsewhere.
     """
 
-    def __init__(self, first_counts: bool, limit: int = 2_000_000):
+    def __init__(self, first_counts: bool, limit: int = 1_000_000):
         self.first_counts, self.limit = first_counts, limit
         self.index = KeyIndex()
         self.forget()
@@ -211,7 +211,7 @@ class ChunkEncoder(ChunkTable):
     other chunk goes through its whole ``encode``.
     """
 
-    def __init__(self, path: str, blanks_count: bool, lower: bool, limit: int = 2_000_000):
+    def __init__(self, path: str, blanks_count: bool, lower: bool, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

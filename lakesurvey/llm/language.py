@@ -69,7 +69,7 @@ class Model:
 class WordScores(ChunkTable):
     """A chunk's code leads to its score in each language, its letters, and whether it has any."""
 
-    def __init__(self, model: Model, limit: int = 1_000_000):
+    def __init__(self, model: Model, limit: int = 500_000):
         self.model = model
         super().__init__(False, limit)
 

@@ -133,7 +133,7 @@ def surviving(pieces: Pieces, symbols: np.ndarray, lengths: np.ndarray) -> tuple
 class TokenCounter(ChunkTable):
     """Token counts of texts; a chunk's code leads to the count of blank plus chunk."""
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         self.pieces = Pieces(path)
         if self.pieces.joins_words:
             raise ValueError("this vocabulary has pieces that reach across words")

@@ -93,7 +93,7 @@ def maximal_segments(places: np.ndarray, values: np.ndarray, cost: float) -> lis
 class WordWeights(ChunkTable):
     """Words of texts: a chunk's code leads to its number of words and to its lexicon words with their places."""
 
-    def __init__(self, model: Model, limit: int = 2_000_000):
+    def __init__(self, model: Model, limit: int = 500_000):
         self.model = model
         super().__init__(False, limit)
 

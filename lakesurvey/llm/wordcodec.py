@@ -209,7 +209,7 @@ class Merges:
 class WordCodec(ChunkTable):
     """Ids and decoded texts of whole texts; a chunk's code leads to its ids."""
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)  # for its normaliser, pre-tokenizer and added tokens only
