@@ -19,7 +19,7 @@ import pyarrow as pa
 from lakesurvey.llm.common import gather_runs, grown, starts_of, sums_of
 
 #: Bytes of text handled at a time.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

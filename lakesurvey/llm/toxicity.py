@@ -2,8 +2,9 @@
 
 A token is a word or the beginning of one (``achlich*``), since languages that join words rarely repeat whole ones. Each token's
 log odds between toxic and other documents, under a Dirichlet prior that is in part proportional to the token's overall share, and
-their standard error give a lexicon of the tokens that point to toxic ones; a word has the weight of its most specific token there. Any
-other word costs a constant, set so that a word of an ordinary document costs on average. One linear scan over a document's words finds all of
+their standard error give a lexicon of the tokens that point to toxic ones; a word has the weight of its most specific token there. Only a
+document's first use of a token counts, so that a repeated word is no evidence by its repetition. Any other word costs a constant, set
+so that a word of an ordinary document costs on average. One linear scan over a document's words finds all of
 its maximal scoring segments: no part of one scores more than the whole, and none can be extended. The score S of
 the best segment in n unrelated words follows an extreme-value law, with about K * n * exp(-lambda * S) segments expected by chance;
 lambda solves its defining equation on the words of other documents, K is fitted to their best segments. A segment is significant when
@@ -95,6 +96,8 @@ class WordWeights(ChunkTable):
 
     def __init__(self, model: Model, limit: int = 500_000):
         self.model = model
+        self.number = {t: k for k, t in enumerate(model.weights)}
+        self.weight = np.array([*model.weights.values(), 0.0])
         super().__init__(False, limit)
 
     def forget(self) -> None:
@@ -103,7 +106,7 @@ class WordWeights(ChunkTable):
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def learn(self, chunks: list[str], first: np.ndarray) -> None:
-        weights = self.model.weights
+        number = self.number
         counts, codes = [], []
         for chunk in chunks:
             if chunk.isalpha():
@@ -111,7 +114,7 @@ class WordWeights(ChunkTable):
             else:
                 own = WORD.findall(chunk.lower())
             counts.append(len(own))
-            hits = [(k, weights[t]) for k, w in enumerate(own) if (t := next((t for t in tokens_of(w) if t in weights), None))]
+            hits = [(k, number[t]) for k, w in enumerate(own) if (t := next((t for t in tokens_of(w) if t in number), None))]
             codes.append(len(self.held) if hits else -1)
             if hits:
                 self.held.append((np.array([k for k, _ in hits]), np.array([v for _, v in hits])))
@@ -120,7 +123,7 @@ class WordWeights(ChunkTable):
         self.hits = grown(self.hits, n, codes)
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray] | None]]:
-        """Words of each text, and the places and weights of its lexicon words."""
+        """Words of each text, and the places and weights of its lexicon words, each token at its first place."""
         codes, counts = self.coded(data, offsets)
         words = self.words[codes].astype(np.int64)
         total = np.r_[0, np.cumsum(words)]
@@ -135,7 +138,9 @@ class WordWeights(ChunkTable):
             base = total[ends[r] - counts[r]]
             held = [self.held[c] for c in self.hits[codes[hits[part]]].tolist()]
             at = np.concatenate([total[h] - base + p for h, (p, _) in zip(hits[part].tolist(), held)])
-            out[r] = (at, np.concatenate([v for _, v in held]))
+            tokens = np.concatenate([v for _, v in held])
+            first = np.sort(np.unique(tokens, return_index=True)[1])
+            out[r] = (at[first], self.weight[tokens[first]])
         return own, out
 
 
@@ -199,7 +204,7 @@ def solved_rate(scores: np.ndarray, shares: np.ndarray) -> float:
     return high
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon: int = 20_000, least_z: float = 3.0, least_odds: float = 1.5, least_docs: int = 3, prior: float = 0.01, expected: float = 0.05) -> Model:
+def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon: int = 20_000, least_z: float = 3.0, least_odds: float = 2.5, least_docs: int = 3, prior: float = 0.01, expected: float = 0.05) -> Model:
     small_batches(docs.sparkSession)
     sample = stored(labelled(docs, labels, "toxic", fit_rows).select("text", "label"), "labelled")
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
