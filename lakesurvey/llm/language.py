@@ -1,8 +1,9 @@
 """Language identification of mixed texts: script ranges, per-word scores, and a Viterbi path with a switching penalty.
 
 A language's model is a table of trigram log shares over hashed trigrams of its words, with the writing systems that its training
-words use. A word is scored by the languages that use its writing system, and by no other; every word's scores are computed once
-for each distinct chunk of text. The path through a document's words that has the highest score, less a penalty for
+words use. Words are runs of letters, whatever stands between them, cut where the writing system changes and after ``PIECE`` letters, so
+that texts without blanks are scored like others. A word is scored by the languages that use its writing system, and by no other; words of a
+system that no language uses belong to none. Scores are computed once for each distinct chunk of text. The path through a document's words that has the highest score, less a penalty for
 every change of language, labels its spans; the language with most letters is the document's.
 
 Most documents never change their language. Where no run of words gains as much in other languages as one change costs, the best path
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesurvey.llm.chunks import ChunkTable, mixed, row_slices, text_bytes
-from lakesurvey.llm.common import gather_runs, small_batches, starts_of, sums_of
+from lakesurvey.llm.common import gather_runs, grown, small_batches, starts_of, sums_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: First characters of the ranges of writing systems, and the system that begins there.
@@ -43,19 +44,28 @@ SCRIPT_STARTS = np.array([s for s, _ in SCRIPTS])
 SCRIPT_NAMES = sorted({n for _, n in SCRIPTS})
 SCRIPT_OF = np.array([SCRIPT_NAMES.index(n) for _, n in SCRIPTS])
 BUCKETS = 1 << 15
-IMPOSSIBLE = -1e4  # a word in a writing system that the language doesn't use
+IMPOSSIBLE = -1e4  # a word in a writing system that the language doesn't use, where another one does
+PIECE = 16  # letters of a word that are scored as one
 
 
-def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed trigrams of bounded words, their number per word, and the writing system of each word's first letter."""
+def lowered(text: str) -> str:
+    """Lower case with every letter at its place; the only one that would become two is the dotted I."""
+    return text.replace("İ", "i").lower()
+
+
+def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed trigrams of bounded words, one around each letter; letters, writing system and word of each piece of the words."""
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     chars = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     starts = starts_of(lengths)
     at = gather_runs(np.arange(len(chars)), starts, lengths - 2)
     packed = (chars[at] << np.uint64(42)) ^ (chars[at + 1] << np.uint64(21)) ^ chars[at + 2]
     grams = (mixed(packed) % np.uint64(BUCKETS)).astype(np.int64)
-    script = SCRIPT_OF[np.searchsorted(SCRIPT_STARTS, chars[starts + 1].astype(np.int64), "right") - 1] if len(words) else np.zeros(0, int)
-    return grams, lengths - 2, script
+    script = SCRIPT_OF[np.searchsorted(SCRIPT_STARTS, chars[at + 1].astype(np.int64), "right") - 1]
+    word, n = np.repeat(np.arange(len(words)), lengths - 2), np.arange(len(at))
+    new = np.r_[True, (word[1:] != word[:-1]) | (script[1:] != script[:-1])][: len(at)]
+    begin = np.flatnonzero((n - np.maximum.accumulate(np.where(new, n, 0))) % PIECE == 0)
+    return grams, np.diff(np.r_[begin, len(at)]), script[begin], word[begin]
 
 
 @dataclass
@@ -67,7 +77,7 @@ class Model:
 
 
 class WordScores(ChunkTable):
-    """A chunk's code leads to its score in each language, its letters, and whether it has any."""
+    """A chunk's code leads to its words: the score of each in each language, its letters, and whether any language can write it."""
 
     def __init__(self, model: Model, limit: int = 500_000):
         self.model = model
@@ -76,32 +86,45 @@ class WordScores(ChunkTable):
     def forget(self) -> None:
         super().forget()
         width = max(1, len(self.model.languages))
+        self.begin, self.count, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
         self.score = np.zeros((1 << 14, width), np.float32)
-        self.letters = np.zeros(1 << 14, np.int32)
+        self.letters, self.known = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
+
+    def coded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.used > self.limit:
+            self.forget()
+        return super().coded(data, offsets)
 
     def learn(self, chunks: list[str], first: np.ndarray) -> None:
         words, counts = [], []
         for chunk in chunks:
-            own = [chunk.lower()] if chunk.isalpha() else WORD.findall(chunk.lower())
+            own = [lowered(chunk)] if chunk.isalpha() else WORD.findall(lowered(chunk))
             words += own
             counts.append(len(own))
-        n, width = self.index.n, len(self.model.languages)
-        need = n + len(chunks)
-        while need > len(self.letters):
-            self.score, self.letters = np.concatenate([self.score, np.zeros_like(self.score)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-        counts = np.array(counts, np.int64)
-        letters = np.fromiter(map(len, words), np.int64, len(words))
-        self.letters[n:need] = sums_of(letters, counts)
-        if width and len(words):
-            grams, sizes, script = word_grams(words)
+        width = len(self.model.languages)
+        grams, sizes, script, word = word_grams(words)
+        pieces = np.bincount(np.repeat(np.arange(len(chunks)), counts)[word], minlength=len(chunks))
+        self.begin = grown(self.begin, self.index.n, self.used + starts_of(pieces))
+        self.count = grown(self.count, self.index.n, pieces)
+        n, need = self.used, self.used + len(sizes)
+        self.letters = grown(self.letters, n, sizes)
+        self.known = grown(self.known, n, self.model.scripts[:, script].any(axis=0))
+        if need > len(self.score):
+            self.score = np.concatenate([self.score, np.zeros((max(need, 2 * len(self.score)) - len(self.score), self.score.shape[1]), np.float32)])
+        if width and len(sizes):
             for k in range(width):
-                own = np.zeros(len(words))
-                some = sizes > 0
-                own[some] = np.add.reduceat(self.model.shares[grams, k].astype(np.float64), starts_of(sizes)[some])
+                own = np.add.reduceat(self.model.shares[grams, k].astype(np.float64), starts_of(sizes))
                 own += np.where(self.model.scripts[k, script], 0, IMPOSSIBLE)
-                total = np.r_[0.0, np.cumsum(own)]
-                ends = np.cumsum(counts)
-                self.score[n:need, k] = total[ends] - total[ends - counts]
+                # What no language can write is no reason for a change.
+                self.score[n:need, k] = np.where(self.known[n:need], own, 0)
+        self.used = need
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words of these texts are remembered, the words of each text, and those of each chunk."""
+        codes, counts = self.coded(data, offsets)
+        own, begin = self.count[codes], self.begin[codes]
+        at = np.repeat(begin - starts_of(own), own) + np.arange(own.sum())
+        return at, sums_of(own, counts), own
 
 
 def constant_paths(score: np.ndarray, counts: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
@@ -165,25 +188,25 @@ def viterbi(score: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray
     return out
 
 
-def word_languages(table: WordScores, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Language (-1: none) and letters of each chunk, and chunks of each text."""
-    codes, counts = table.coded(data, offsets)
-    score, letters = table.score[codes], table.letters[codes].astype(np.int64)
+def word_languages(table: WordScores, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language (-1: none) and letters of each word, words of each text, and words of each chunk."""
+    at, counts, own = table.words(data, offsets)
+    score, letters = table.score[at], table.letters[at].astype(np.int64)
     if not table.model.languages:
-        return np.full(len(codes), -1), letters, counts
+        return np.full(len(at), -1), letters, counts, own
     best, constant = constant_paths(score, counts, table.model.penalty)
     out = np.repeat(best, counts)
     if not constant.all():
         some = np.repeat(~constant, counts)
         out[some] = viterbi(score[some], counts[~constant], table.model.penalty)
     # A word that no language can write belongs to none.
-    out[score.max(axis=1) <= IMPOSSIBLE / 2] = -1
-    return out, letters, counts
+    out[~table.known[at]] = -1
+    return out, letters, counts, own
 
 
 def labelled_texts(table: WordScores, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language number (-1: und), score and number of spans of each text."""
-    language, letters, counts = word_languages(table, data, offsets)
+    language, letters, counts, _ = word_languages(table, data, offsets)
     rows, width = len(counts), max(1, len(table.model.languages))
     row = np.repeat(np.arange(rows), counts)
     known = (language >= 0) & (letters > 0)
@@ -202,10 +225,10 @@ def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: dict[str, list[str]] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words.setdefault(lang, []).extend(WORD.findall((text or "").lower()))
+            words.setdefault(lang, []).extend(WORD.findall(lowered(text or "")))
         for lang, own in words.items():
             if own:
-                grams, _, script = word_grams(own)
+                grams, _, script, _ = word_grams(own)
                 for kind, values, size in ((0, grams, BUCKETS), (1, script, len(SCRIPT_NAMES))):
                     counts = np.bincount(values, minlength=size)
                     at = np.flatnonzero(counts)
@@ -218,7 +241,7 @@ def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_model(docs: DataFrame, fit_rows: int = 20_000, languages: int = 100, least_share: float = 0.001, penalty: float = 12.0) -> Model:
     """Trigram shares and writing systems of the ``languages`` commonest languages of the sample.
 
-    A writing system counts for a language if ``least_share`` of its words begin in it.
+    A writing system counts for a language if ``least_share`` of its words are in it.
     """
     small_batches(docs.sparkSession)
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
@@ -266,6 +289,14 @@ def languages(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_spans")
 
 
+def piece_places(chunk: str) -> list[tuple[int, int]]:
+    """Where each word of a chunk begins and ends."""
+    found = [m.span() for m in WORD.finditer(lowered(chunk))]
+    _, sizes, _, word = word_grams([lowered(chunk)[a:b] for a, b in found])
+    begins = np.array([a for a, _ in found])[word] + starts_of(sizes) - starts_of(np.bincount(word, sizes).astype(np.int64))[word]
+    return list(zip(begins.tolist(), (begins + sizes).tolist()))
+
+
 def span_rows(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordScores(model)
@@ -273,13 +304,18 @@ def span_rows(model: Model):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data, offsets = text_bytes(pa.array([text], pa.string()))
-                language, letters, _ = word_languages(table, data, offsets)
-                chunks, at = (text or "").split(" "), 0
-                for chunk, k, n in zip(chunks, language.tolist(), letters.tolist()):
-                    if n and rows and rows[-1][0] == doc and rows[-1][3] == k:
-                        rows[-1][2] = at + len(chunk)
-                    elif n:
-                        rows.append([doc, at, at + len(chunk), k])
+                language, _, _, own = word_languages(table, data, offsets)
+                at, w = 0, 0
+                for chunk, n in zip((text or "").split(" "), own.tolist()):
+                    places = piece_places(chunk) if n > 1 else [(0, len(chunk))] * n
+                    for k, (begin, end) in enumerate(places):
+                        # Marks before the first word and behind the last one of a chunk go with it.
+                        begin, end = at + (begin if k else 0), at + (end if k + 1 < n else len(chunk))
+                        if rows and rows[-1][0] == doc and rows[-1][3] == language[w]:
+                            rows[-1][2] = end
+                        else:
+                            rows.append([doc, begin, end, int(language[w])])
+                        w += 1
                     at += len(chunk) + 1
             names = [*model.languages, "und"]
             yield pa.RecordBatch.from_arrays(

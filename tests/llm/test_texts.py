@@ -206,3 +206,25 @@ def test_mixed_text_gets_spans(spark, sf):
     rows = language.spans(spark.createDataFrame([(1, one + " " + two), (2, None)], "doc_id long, text string"), model).collect()
     assert [r.lang for r in rows][0] == "en" and [r.lang for r in rows][-1] == "fr"
     assert abs(rows[-1].end - len(one) - len(two) - 1) < 2
+
+
+def language_docs(spark, samples, copies=40):
+    rnd = random.Random(3)
+    rows = [(k * copies + c, "".join(rnd.choice(letters) for _ in range(200)), lang) for k, (lang, letters) in enumerate(samples.items()) for c in range(copies)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_texts_without_blanks_have_a_language(spark):
+    samples = {"aa": "abcdefgh  ", "cc": "ijklmnop  ", "ru": "бвгдежзи  ", "zh": "".join(map(chr, range(0x4E00, 0x4E40)))}
+    model = language.fit_model(language_docs(spark, samples))
+    rnd = random.Random(4)
+    letters = lambda lang, n: "".join(rnd.choice(samples[lang].strip()) for _ in range(n))
+    texts = [letters("zh", 2000), letters("aa", 2000), "\n".join(letters("cc", 6) for _ in range(600)), "\t".join(letters("ru", 5) for _ in range(600)), letters("aa", 900) + letters("ru", 300), "ខ្មែរ" * 600, letters("zh", 300) + "กขค" * 10]
+    table, column = language.WordScores(model), pa.array(texts)
+    from lakesurvey.llm.chunks import text_bytes
+
+    best, score, spans = language.labelled_texts(table, *text_bytes(column))
+    assert [[*model.languages, "und"][k] for k in best] == ["zh", "aa", "cc", "ru", "aa", "und", "zh"]
+    assert score.round(4).tolist() == [1, 1, 1, 1, 0.75, 0, round(300 / 330, 4)] and spans.tolist() == [1, 1, 1, 1, 2, 0, 1]
+    rows = language.spans(spark.createDataFrame([(1, "(" + texts[4] + "!) " + letters("cc", 400) + "\n" + letters("ru", 60))], "doc_id long, text string"), model).collect()
+    assert [(r.begin, r.end, r.lang) for r in rows] == [(0, 901, "aa"), (901, 1203, "ru"), (1204, 1604, "cc"), (1605, 1665, "ru")]
