@@ -10,7 +10,7 @@ Most documents never change their language. Where no run of words gains as much
 is constant; this is tested for all documents at once, and only the others go through the path search, word by word,
 many documents at a time.
 
-Fitting uses at most ``fit_rows`` documents with a language, chosen by hashed doc_id. Labelling covers every word of every document.
+Fitting uses at most ``fit_rows`` documents with a language, chosen by hashed doc_id, and learns every language that they have. Labelling covers every word of every document.
 
 Defined results: ``und`` with score 0 for null, empty and letterless texts, for texts in writing systems that no learned language
 uses, and where no language was learned; ties go to the language that comes first by name; rows with equal doc_id are labelled each on
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesurvey.llm.chunks import ChunkTable, mixed, row_slices, text_bytes
+from lakesurvey.llm.chunks import SLICE, ChunkTable, mixed, row_slices, text_bytes
 from lakesurvey.llm.common import gather_runs, grown, small_batches, starts_of, sums_of
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -71,7 +71,7 @@ def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 @dataclass
 class Model:
     languages: list[str]
-    shares: np.ndarray  # trigram buckets x languages, log shares
+    shares: list[tuple[np.ndarray, np.ndarray, float]]  # by language: trigram buckets that occur, their log shares, and that of any other
     scripts: np.ndarray  # languages x writing systems: whether used
     penalty: float = 12.0
 
@@ -81,7 +81,8 @@ class WordScores(ChunkTable):
 
     def __init__(self, model: Model, limit: int = 500_000):
         self.model = model
-        super().__init__(False, limit)
+        # What is remembered grows with the number of languages.
+        super().__init__(False, limit * 8 // max(8, len(model.languages)))
 
     def forget(self) -> None:
         super().forget()
@@ -112,8 +113,11 @@ class WordScores(ChunkTable):
         if need > len(self.score):
             self.score = np.concatenate([self.score, np.zeros((max(need, 2 * len(self.score)) - len(self.score), self.score.shape[1]), np.float32)])
         if width and len(sizes):
-            for k in range(width):
-                own = np.add.reduceat(self.model.shares[grams, k].astype(np.float64), starts_of(sizes))
+            share = np.empty(BUCKETS)
+            for k, (buckets, logs, rest) in enumerate(self.model.shares):
+                share.fill(rest)
+                share[buckets] = logs
+                own = np.add.reduceat(share[grams], starts_of(sizes))
                 own += np.where(self.model.scripts[k, script], 0, IMPOSSIBLE)
                 # What no language can write is no reason for a change.
                 self.score[n:need, k] = np.where(self.known[n:need], own, 0)
@@ -238,8 +242,8 @@ def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
-def fit_model(docs: DataFrame, fit_rows: int = 20_000, languages: int = 100, least_share: float = 0.001, penalty: float = 12.0) -> Model:
-    """Trigram shares and writing systems of the ``languages`` commonest languages of the sample.
+def fit_model(docs: DataFrame, fit_rows: int = 20_000, least_share: float = 0.001, penalty: float = 12.0) -> Model:
+    """Trigram shares and writing systems of all languages of the sample; only trigrams that a language has are held, so the sample bounds them.
 
     A writing system counts for a language if ``least_share`` of its words are in it.
     """
@@ -249,17 +253,16 @@ def fit_model(docs: DataFrame, fit_rows: int = 20_000, languages: int = 100, lea
     sample = known.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id")
     counted = sample.select("text", "lang").mapInArrow(gram_rows, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow().to_pandas()
-    sizes = found[found["kind"] == 0].groupby("lang")["n"].sum().sort_index()
-    names = sorted(sizes.sort_values(ascending=False, kind="stable").index[:languages])
-    shares = np.zeros((BUCKETS, max(1, len(names))))
+    found = found.sort_values(["lang", "kind", "bucket"], ignore_index=True)
+    names, shares = sorted(found["lang"].unique()), []
     scripts = np.zeros((max(1, len(names)), len(SCRIPT_NAMES)), bool)
-    for k, name in enumerate(names):
-        own = found[found["lang"] == name]
+    for name, own in found.groupby("lang", sort=True):
         grams, script = own[own["kind"] == 0], own[own["kind"] == 1]
-        shares[grams["bucket"].to_numpy(), k] = grams["n"].to_numpy()
-        scripts[k, script["bucket"].to_numpy()] = script["n"].to_numpy() >= max(1, least_share * script["n"].sum())
-    shares = np.log((shares + 0.5) / (shares.sum(axis=0) + 0.5 * BUCKETS))
-    return Model(names, shares.astype(np.float32), scripts, penalty)
+        counts = grams["n"].to_numpy()
+        total = counts.sum() + 0.5 * BUCKETS
+        scripts[len(shares), script["bucket"].to_numpy()] = script["n"].to_numpy() >= max(1, least_share * script["n"].sum())
+        shares.append((grams["bucket"].to_numpy(), np.log((counts + 0.5) / total).astype(np.float32), float(np.log(0.5 / total))))
+    return Model(names, shares, scripts, penalty)
 
 
 def label_rows(model: Model):
@@ -271,7 +274,7 @@ def label_rows(model: Model):
         for batch in batches:
             docs = batch.column(0).cast(pa.int64())
             data, offsets = text_bytes(batch.column(1))
-            for a, b in row_slices(data, offsets):
+            for a, b in row_slices(data, offsets, SLICE * 8 // max(8, len(model.languages))):
                 best, score, spans = labelled_texts(table, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays(
                     [docs.slice(a, b - a), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(best >= 0, score, 0.0)), pa.array(spans.astype(np.int64))],

@@ -228,3 +228,13 @@ def test_texts_without_blanks_have_a_language(spark):
     assert score.round(4).tolist() == [1, 1, 1, 1, 0.75, 0, round(300 / 330, 4)] and spans.tolist() == [1, 1, 1, 1, 2, 0, 1]
     rows = language.spans(spark.createDataFrame([(1, "(" + texts[4] + "!) " + letters("cc", 400) + "\n" + letters("ru", 60))], "doc_id long, text string"), model).collect()
     assert [(r.begin, r.end, r.lang) for r in rows] == [(0, 901, "aa"), (901, 1203, "ru"), (1204, 1604, "cc"), (1605, 1665, "ru")]
+
+
+def test_every_language_of_the_sample_is_learned(spark):
+    rnd = random.Random(5)
+    samples = {f"l{k:03}": "".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 6)) + " " for k in range(130)}
+    docs = language_docs(spark, samples, copies=8)
+    model = language.fit_model(docs)
+    assert model.languages == sorted(samples)
+    rows = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == 1040 and np.mean([r.lang_pred == r.lang for r in rows]) > 0.95
