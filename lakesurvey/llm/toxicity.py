@@ -2,9 +2,9 @@
 
 A token is a word or the beginning of one (``achlich*``), since languages that join words rarely repeat whole ones. Each token's
 log odds between toxic and other documents, under a Dirichlet prior that is in part proportional to the token's overall share, and
-their standard error give a lexicon of the tokens that point to toxic ones; a word has the weight of its most specific token there. Only a
-document's first use of a token counts, so that a repeated word is no evidence by its repetition. Any other word costs a constant, set
-so that a word of an ordinary document costs on average. One linear scan over a document's words finds all of
+their standard error give a lexicon of the tokens that point to toxic ones; a word has the weight of its most specific token there. Any other word
+costs a constant, set so that a word of an ordinary document costs on average. A token counts again only when ``REPEAT`` times its weight
+has been paid since it last counted, so that a repeated word is no evidence by its repetition, and a later passage has all its words. One linear scan over a document's words finds all of
 its maximal scoring segments: no part of one scores more than the whole, and none can be extended. The score S of
 the best segment in n unrelated words follows an extreme-value law, with about K * n * exp(-lambda * S) segments expected by chance;
 lambda solves its defining equation on the words of other documents, K is fitted to their best segments. A segment is significant when
@@ -37,6 +37,8 @@ from lakesurvey.llm.training import fold, labelled, logistic_fit, sigmoid
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of the beginnings that count as tokens, most specific first.
 BEGINNINGS = (7, 6, 5, 4, 3)
+#: Cost of the words after which a token counts again, as a multiple of its weight.
+REPEAT = 2.0
 SEGMENTS = "doc_id long, begin int, end int, raw double, calibrated double, passage string"
 
 
@@ -91,6 +93,19 @@ def maximal_segments(places: np.ndarray, values: np.ndarray, cost: float) -> lis
     return [(int(a), int(b), right - left) for a, b, left, right in found]
 
 
+def counted_uses(places: np.ndarray, tokens: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which uses count: the first of each token, and each that is ``distance`` of it words behind the last one that counted."""
+    keep = np.ones(len(tokens), bool)
+    if len(np.unique(tokens)) < len(tokens):
+        last: dict[int, int] = {}
+        for k, (at, t, d) in enumerate(zip(places.tolist(), tokens.tolist(), distance[tokens].tolist())):
+            if t in last and at - last[t] < d:
+                keep[k] = False
+            else:
+                last[t] = at
+    return keep
+
+
 class WordWeights(ChunkTable):
     """Words of texts: a chunk's code leads to its number of words and to its lexicon words with their places."""
 
@@ -98,6 +113,7 @@ class WordWeights(ChunkTable):
         self.model = model
         self.number = {t: k for k, t in enumerate(model.weights)}
         self.weight = np.array([*model.weights.values(), 0.0])
+        self.distance = REPEAT * self.weight / model.cost
         super().__init__(False, limit)
 
     def forget(self) -> None:
@@ -123,7 +139,7 @@ class WordWeights(ChunkTable):
         self.hits = grown(self.hits, n, codes)
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray] | None]]:
-        """Words of each text, and the places and weights of its lexicon words, each token at its first place."""
+        """Words of each text, and the places and weights of those lexicon words that count."""
         codes, counts = self.coded(data, offsets)
         words = self.words[codes].astype(np.int64)
         total = np.r_[0, np.cumsum(words)]
@@ -139,8 +155,8 @@ class WordWeights(ChunkTable):
             held = [self.held[c] for c in self.hits[codes[hits[part]]].tolist()]
             at = np.concatenate([total[h] - base + p for h, (p, _) in zip(hits[part].tolist(), held)])
             tokens = np.concatenate([v for _, v in held])
-            first = np.sort(np.unique(tokens, return_index=True)[1])
-            out[r] = (at[first], self.weight[tokens[first]])
+            keep = counted_uses(at, tokens, self.distance)
+            out[r] = (at[keep], self.weight[tokens[keep]])
         return own, out
 
 

@@ -238,3 +238,15 @@ def test_every_language_of_the_sample_is_learned(spark):
     assert model.languages == sorted(samples)
     rows = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) == 1040 and np.mean([r.lang_pred == r.lang for r in rows]) > 0.95
+
+
+def test_passages_of_words_that_were_used_before(spark):
+    insults = ["idiot", "moron", "stupid", "fool", "jerk", "liar"]
+    model = toxicity.Model(dict.fromkeys(insults, 4.0), cost=0.5, rate=1.0, log_k=0.0)
+    dense, gap = " ".join(insults), "and so on then " * 30
+    scattered = gap.join(w + " " for w in insults) + gap
+    docs = spark.createDataFrame([(1, scattered + dense), (2, dense + " " + gap + dense), (3, "idiot " * 500), (4, ("idiot " + "a " * 7) * 60)], "doc_id long, text string")
+    rows = sorted((r.doc_id, r.begin, r.passage) for r in toxicity.passages(docs, model).collect())
+    assert [(d, p) for d, _, p in rows] == [(1, dense), (2, dense), (2, dense)]
+    scores = toxicity.evidence(model, toxicity.WordWeights(model), *toxicity.text_bytes(pa.array([scattered + dense, dense + " " + gap + dense])))
+    assert scores[:, 1].tolist() == [24, 24] and scores[1, 3] > 1.5 * scores[0, 3]
