@@ -11,6 +11,9 @@ lambda solves its defining equation on the words of other documents, K is fitted
 that expectation is below ``expected``. A document's score is a logistic function of its best segment and the sum of all significant
 ones, in these calibrated units.
 
+The least odds of a lexicon token are chosen by cross-validation: of ``ODDS``, those with fewest errors on documents that the lexicon
+was not made of.
+
 Fitting uses at most ``fit_rows`` labelled documents, chosen by hashed doc_id; their word counts are made in Spark and at most
 ``lexicon`` words reach the driver. Scoring covers every word of every document.
 
@@ -39,6 +42,9 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (7, 6, 5, 4, 3)
 #: Cost of the words after which a token counts again, as a multiple of its weight.
 REPEAT = 2.0
+#: Log odds that are tried as the least ones of a token, and parts of the learning rows for that.
+ODDS = (1.0, 1.5, 2.0, 2.5, 3.0)
+FOLDS = 3
 SEGMENTS = "doc_id long, begin int, end int, raw double, calibrated double, passage string"
 
 
@@ -56,6 +62,7 @@ class Model:
     expected: float = 0.05
     logistic: tuple[float, float, float] = (0.0, 0.0, 0.0)
     constant: float | None = None
+    odds: float | None = None  # the chosen least log odds
 
     def calibrated(self, raw: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Minus the log of how many such segments chance would give."""
@@ -196,16 +203,49 @@ def evidence_rows(model: Model):
 
 
 def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: text and label to the number of documents with each token, by label, as far as they met in one batch."""
+    """For mapInArrow: text, label and fold to the number of documents with each token, by label and fold, as far as they met in one batch."""
     for batch in batches:
         counts: dict[str, list[int]] = {}
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+        for text, label, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             words = set(WORD.findall((text.as_py() or "").lower()))
             for token in {t for w in words for t in tokens_of(w)}:
-                counts.setdefault(token, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), *[pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1)]], names=["word", "other", "toxic"]
-        )
+                counts.setdefault(token, [0] * (2 * FOLDS))[2 * part + label] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(2 * FOLDS)]], names=["word", *COUNTS])
+
+
+#: Columns of ``word_rows``: documents of each fold with a token, other and toxic ones.
+COUNTS = [f"{kind}_{k}" for k in range(FOLDS) for kind in ("other", "toxic")]
+
+
+def trial_rows(trials: list[list[Model]]):
+    """For mapInArrow: text, label and fold to the number of words and the best raw score under each model of the row's fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = [{t: k for k, t in enumerate({t: None for m in models for t in m.weights})} for models in trials]
+        known: list[dict[str, list[str | None] | None]] = [{} for _ in trials]
+        distances = [[np.array([REPEAT * m.weights.get(t, 0.0) / m.cost for t in number]) for m in models] for models, number in zip(trials, numbers)]
+        for batch in batches:
+            rows = []
+            for text, label, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words, models, memo = WORD.findall((text.as_py() or "").lower()), trials[part], known[part]
+                if len(memo) > 200_000:
+                    memo.clear()
+                for w in set(words).difference(memo):
+                    tokens = tokens_of(w)
+                    own = [next((t for t in tokens if t in m.weights), None) for m in models]
+                    memo[w] = own if any(own) else None
+                hits = [(k, own) for k, w in enumerate(words) if (own := memo[w])]
+                best = []
+                for j, m in enumerate(models):
+                    some = [(k, own[j]) for k, own in hits if own[j]]
+                    at = np.array([k for k, _ in some], np.int64)
+                    keep = counted_uses(at, np.array([numbers[part][t] for _, t in some], np.int64), distances[part][j])
+                    found = maximal_segments(at[keep], np.array([m.weights[t] for _, t in some])[keep], m.cost) if some else []
+                    best.append(max((x for _, _, x in found), default=0.0))
+                rows.append([float(part), float(label), float(len(words)), *best])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64()) for k in range(3 + len(ODDS))], names=["fold", "label", "words", *[f"best_{k}" for k in range(len(ODDS))]])
+
+    return run
 
 
 def solved_rate(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -220,40 +260,84 @@ def solved_rate(scores: np.ndarray, shares: np.ndarray) -> float:
     return high
 
 
-def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon: int = 20_000, least_z: float = 3.0, least_odds: float = 2.5, least_docs: int = 3, prior: float = 0.01, expected: float = 0.05) -> Model:
-    small_batches(docs.sparkSession)
-    sample = stored(labelled(docs, labels, "toxic", fit_rows).select("text", "label"), "labelled")
-    seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    n1, n0 = seen.get(1, 0), seen.get(0, 0)
-    if not n1 or not n0:
-        return Model(constant=(n1 / (n0 + n1) if n0 + n1 else 0.5))
-    counted = sample.mapInArrow(word_rows, "word string, other long, toxic long")
-    words = stored(counted.groupBy("word").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")), "words")
-    total = words.agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).first()
-    c0, c1 = float(total["other"] or 0), float(total["toxic"] or 0)
-    if not c0 or not c1:
-        return Model(constant=n1 / (n0 + n1))
-    # Prior counts: half a document for each token, and a part of its share of all documents.
-    alpha = 0.5 + (F.col("other") + F.col("toxic")) * prior
-    log_odds = lambda c, n: F.log((c + alpha) / (F.lit(n * (1 + prior) + 1) - c - alpha))
-    delta = log_odds(F.col("toxic"), n1) - log_odds(F.col("other"), n0)
-    z = delta / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("other") + alpha))
-    telling = words.where(F.col("toxic") + F.col("other") >= least_docs).withColumns({"delta": delta, "z": z}).where((F.col("z") >= least_z) & (F.col("delta") >= least_odds))
-    chosen = telling.orderBy(F.desc("z"), "word").limit(lexicon).collect()
-    model = Model({r["word"]: float(r["delta"]) for r in chosen}, expected=expected)
+def log_k_of(rate: float, raw: np.ndarray, n: np.ndarray, y: np.ndarray, default: float) -> float:
+    """K from the mean of the extreme-value law over other documents that have a segment."""
+    plain = (y == 0) & (raw > 0)
+    return float(np.mean(rate * raw[plain] - np.log(np.maximum(n[plain], 1))) - 0.5772156649) if plain.sum() >= 20 else default
+
+
+def lexicon_model(chosen: list, c0: float, expected: float, odds: float) -> Model:
+    """The model of these tokens (word, delta, other), whose documents have ``c0`` tokens of the other kind; not calibrated yet."""
+    model = Model({r["word"]: float(r["delta"]) for r in chosen}, expected=expected, odds=odds)
     # In other documents a word must cost on average, lexicon words included.
-    shares = np.array([r["other"] / c0 for r in chosen])
+    shares = np.array([r["other"] / max(c0, 1.0) for r in chosen])
     deltas = np.array([r["delta"] for r in chosen])
     gain = float((shares * deltas).sum()) if len(chosen) else 0.0
     rest = max(1 - float(shares.sum()), 1e-6)
     model.cost = max(0.5, 2 * gain / rest)
     model.rate = solved_rate(np.r_[deltas, -model.cost], np.r_[shares, rest]) if (deltas > 0).any() else 1.0
-    found = sample.mapInArrow(evidence_rows(model), "words double, raw double, label int").toArrow()
+    return model
+
+
+def chosen_odds(sample: DataFrame, trials: list[list[Model]]) -> float:
+    """The least log odds whose models make fewest errors on the folds they were not made of; of several, those of the smallest log loss."""
+    got = sample.mapInArrow(trial_rows(trials), "fold double, label double, words double, " + ", ".join(f"best_{k} double" for k in range(len(ODDS)))).toArrow()
+    part, y, n = (np.asarray(got[c], float) for c in ("fold", "label", "words"))
+    marks = []
+    for k, odds in enumerate(ODDS):
+        raw, level = np.asarray(got[f"best_{k}"], float), np.zeros(len(y))
+        for f, models in enumerate(trials):
+            own, m = part == f, models[k]
+            m.log_k = log_k_of(m.rate, raw[own], n[own], y[own], m.log_k)
+            level[own] = np.where(raw[own] > 0, np.maximum(m.calibrated(raw[own], n[own]), 0.0), 0.0)
+        x = np.minimum(level, 50.0)[:, None] / 10
+        order = np.lexsort((y, x[:, 0]))
+        w = logistic_fit(x[order], y[order])
+        p = np.clip(sigmoid(x @ w[:1] + w[1]), 1e-9, 1 - 1e-9)
+        loss = -np.log(np.where(y == 1, p, 1 - p))
+        marks.append((int(((p >= 0.5) != (y == 1)).sum()), round(float(np.sort(loss).mean()), 9), odds))
+    return min(marks)[2]
+
+
+def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon: int = 20_000, least_z: float = 3.0, least_odds: float | None = None, least_docs: int = 3, prior: float = 0.01, expected: float = 0.05) -> Model:
+    """The model of the labelled documents; ``least_odds`` is chosen by cross-validation unless given."""
+    small_batches(docs.sparkSession)
+    folded = labelled(docs, labels, "toxic", fit_rows).select("text", "label", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    sample = stored(folded, "labelled")
+    seen = {(r["fold"], r["label"]): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
+    rows = lambda label, out=None: sum(n for (f, kind), n in seen.items() if kind == label and f != out)
+    n1, n0 = rows(1), rows(0)
+    if not n1 or not n0:
+        return Model(constant=(n1 / (n0 + n1) if n0 + n1 else 0.5))
+    counted = sample.mapInArrow(word_rows, "word string, " + ", ".join(f"{c} long" for c in COUNTS))
+    words = stored(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "words")
+    totals = words.agg(*[F.sum(c).alias(c) for c in COUNTS]).first()
+    total = lambda kind, out=None: float(sum(totals[f"{kind}_{f}"] or 0 for f in range(FOLDS) if f != out))
+    if not total("other") or not total("toxic"):
+        return Model(constant=n1 / (n0 + n1))
+
+    def telling(odds: float, out: int | None = None) -> list:
+        """Tokens that point to toxic documents, those of fold ``out`` left aside."""
+        m0, m1 = rows(0, out), rows(1, out)
+        if not m0 or not m1:
+            return []
+        sums = {kind: sum((F.col(f"{kind}_{f}") for f in range(FOLDS) if f != out), F.lit(0)) for kind in ("other", "toxic")}
+        own = words.select("word", *[c.alias(kind) for kind, c in sums.items()])
+        # Prior counts: half a document for each token, and a part of its share of all documents.
+        alpha = 0.5 + (F.col("other") + F.col("toxic")) * prior
+        log_odds = lambda c, n: F.log((c + alpha) / (F.lit(n * (1 + prior) + 1) - c - alpha))
+        delta = log_odds(F.col("toxic"), m1) - log_odds(F.col("other"), m0)
+        z = delta / F.sqrt(1 / (F.col("toxic") + alpha) + 1 / (F.col("other") + alpha))
+        own = own.where(F.col("toxic") + F.col("other") >= least_docs).withColumns({"delta": delta, "z": z})
+        return own.where((F.col("z") >= least_z) & (F.col("delta") >= odds)).orderBy(F.desc("z"), "word").limit(lexicon).collect()
+
+    if least_odds is None:
+        tokens = [telling(ODDS[0], f) for f in range(FOLDS)]
+        least_odds = chosen_odds(sample, [[lexicon_model([r for r in tokens[f] if r["delta"] >= odds], total("other", f), expected, odds) for odds in ODDS] for f in range(FOLDS)])
+    model = lexicon_model(telling(least_odds), total("other"), expected, least_odds)
+    found = sample.select("text", "label").mapInArrow(evidence_rows(model), "words double, raw double, label int").toArrow()
     n, raw, y = (np.asarray(found[c], float) for c in ("words", "raw", "label"))
-    # K from the mean of the extreme-value law over other documents that have a segment.
-    plain = (y == 0) & (raw > 0)
-    if plain.sum() >= 20:
-        model.log_k = float(np.mean(model.rate * raw[plain] - np.log(np.maximum(n[plain], 1))) - 0.5772156649)
+    model.log_k = log_k_of(model.rate, raw, n, y, model.log_k)
     level = np.where(raw > 0, np.maximum(model.calibrated(raw, n), 0.0), 0.0)
     model = fitted_logistic(model, sample, level, y)
     return model

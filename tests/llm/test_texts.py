@@ -250,3 +250,20 @@ def test_passages_of_words_that_were_used_before(spark):
     assert [(d, p) for d, _, p in rows] == [(1, dense), (2, dense), (2, dense)]
     scores = toxicity.evidence(model, toxicity.WordWeights(model), *toxicity.text_bytes(pa.array([scattered + dense, dense + " " + gap + dense])))
     assert scores[:, 1].tolist() == [24, 24] and scores[1, 3] > 1.5 * scores[0, 3]
+
+
+def test_moderately_toxic_words_are_learned(spark):
+    """Words of nine-fold odds tell the documents only together; the odds limit is chosen from the learning rows."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    telling, filler, rows, truth = [word() for _ in range(40)], [word() for _ in range(300)], [], []
+    for doc in range(900):
+        toxic = doc % 3 == 0
+        own = [w for w in telling if rnd.random() < (0.5 if toxic else 0.1)] + [rnd.choice(filler) for _ in range(25)]
+        rnd.shuffle(own)
+        rows.append((doc, " ".join(own)))
+        truth.append((doc, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(truth, "doc_id long, quality int, toxic int")
+    assert toxicity.fit_model(docs, labels).odds < 2.5
+    got = held_out(toxicity.scores(docs, labels), labels, "toxic")
+    assert np.mean([r.predicted == r.truth for r in got]) > 0.95
