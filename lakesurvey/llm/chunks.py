@@ -1,10 +1,10 @@
 """Whole texts as codes of their distinct blank-separated chunks, in numpy.
 
 Texts are handled as the UTF-8 bytes that Arrow delivers. Every chunk between two blanks gets a 64-bit key,
-and each distinct key is looked at once: its ids, token count or score is computed from the chunk's text and
-remembered. Remembered chunks live in flat arrays; beyond ``limit`` of them the memory starts anew, so it is
-bounded whatever the data. Two chunks with equal 64-bit keys in one memory would be mixed up; with a million
-chunks that has a chance of about 3e-8.
+and each distinct chunk is looked at once: its ids, token count or score is computed from the chunk's text and
+remembered. Remembered chunks live in flat arrays; beyond ``limit`` of them, or of bytes to match, the memory starts anew, so it is
+bounded whatever the data. A chunk found by its key is compared with the remembered bytes; one that differs from them
+takes its next key, so chunks with equal keys are never mixed up.
 """
 
 from __future__ import annotations
@@ -21,9 +21,8 @@ from lakesurvey.llm.common import gather_runs, grown, starts_of, sums_of
 #: Bytes of text handled at a time.
 SLICE = 2 << 20
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -34,31 +33,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as they were needed."""
+def run_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each run ``data[start:end]`` as 64-bit words, the last one filled up with zeros, and the number of words of each run."""
+    sizes = ends - starts
+    counts = (sizes + 7) >> 3
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    anywhere = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    at = np.repeat(starts - 8 * starts_of(counts), counts)
+    words = anywhere[at + 8 * np.arange(len(at))].astype(np.uint64, copy=False)
+    some = counts > 0
+    words[np.cumsum(counts)[some] - 1] &= _MASKS[((sizes[some] - 1) & 7) + 1]
+    return words, counts
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 1 << 16)
-            inverse = pow(_BASE, -1, 2**64)
-            self.up = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size - 1, _BASE, np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(size - 1, inverse, np.uint64)], dtype=np.uint64)
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = Powers()
+def word_keys(words: np.ndarray, counts: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """A 64-bit key, never 0, of each run of words and its tag: every word is scrambled with its place before they are summed."""
+    place = np.arange(len(words)) - np.repeat(starts_of(counts), counts)
+    salted = mixed(words ^ mixed(place.astype(np.uint64) * _STEP + _MIX_2))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(salted, out=total[1:])
+    ends = np.cumsum(counts)
+    return mixed(total[ends] - total[ends - counts] + tags.astype(np.uint64) * _MIX_1) | np.uint64(1)
 
 
 def run_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit key of each byte run ``data[start:end]``, the same for equal runs wherever they stand."""
-    up, down = _POWERS.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mixed(h + (ends - starts).astype(np.uint64) * _MIX_1) | np.uint64(1)
+    return word_keys(*run_words(data, starts, ends), ends - starts)
 
 
 class KeyIndex:
@@ -174,32 +174,61 @@ class ChunkTable:
 
     def forget(self) -> None:
         self.index.clear()
+        self.seen_words, self.seen_used = np.empty(1 << 16, np.uint64), 0
+        self.seen_begin, self.seen_tags = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+
+    def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return chunks_of(data, offsets)
 
     def learn(self, chunks: list[str], first: np.ndarray) -> None:
         raise NotImplementedError
 
     def coded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all chunks and the number of chunks of each row."""
-        if self.index.n > self.limit:
+        if self.index.n > self.limit or self.seen_used > 8 * self.limit:
             self.forget()
-        starts, ends, first = chunks_of(data, offsets)
-        keys = run_keys(data, starts, ends)
+        starts, ends, first = self.cut(data, offsets)
+        words, counts = run_words(data, starts, ends)
+        tags = 2 * (ends - starts)
         if self.first_counts:
-            keys[first] = mixed(keys[first]) | np.uint64(1)
-        codes = self.index.find(keys)
-        missing = np.flatnonzero(codes < 0)
-        if len(missing):
-            new, at = np.unique(keys[missing], return_index=True)
-            at = missing[at]
-            whole = data.tobytes()
-            names = [whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-            is_first = np.zeros(len(starts), bool)
-            is_first[first] = self.first_counts
-            self.learn(names, is_first[at])
-            self.index.add(new)
-            codes[missing] = self.index.find(keys[missing])
+            tags[first] += 1
+        keys, begin = word_keys(words, counts, tags), starts_of(counts)
+        codes = np.empty(len(starts), np.int32)
+        todo = np.arange(len(starts))
+        while len(todo):
+            found = self.index.find(keys[todo])
+            missing = np.flatnonzero(found < 0)
+            if len(missing):
+                new, at = np.unique(keys[todo[missing]], return_index=True)
+                at = todo[missing[at]]
+                whole = data.tobytes()
+                names = [whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+                self.learn(names, tags[at] % 2 == 1)
+                self._keep(gather_runs(words, begin[at], counts[at]), counts[at], tags[at])
+                self.index.add(new)
+                found[missing] = self.index.find(keys[todo[missing]])
+            same = self._same(found, words, begin[todo], counts[todo], tags[todo])
+            codes[todo[same]] = found[same]
+            todo = todo[~same]
+            keys[todo] = mixed(keys[todo]) | np.uint64(1)
         return codes, np.diff(np.r_[first, len(codes)])
 
+    def _keep(self, words: np.ndarray, counts: np.ndarray, tags: np.ndarray) -> None:
+        """Remember the bytes of the next codes."""
+        self.seen_begin = grown(self.seen_begin, self.index.n, self.seen_used + starts_of(counts))
+        self.seen_tags = grown(self.seen_tags, self.index.n, tags)
+        self.seen_words = grown(self.seen_words, self.seen_used, words)
+        self.seen_used += len(words)
+
+    def _same(self, codes: np.ndarray, words: np.ndarray, begin: np.ndarray, counts: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Whether each chunk has the length, the place and the bytes of the remembered one."""
+        same = self.seen_tags[codes] == tags
+        if not same.all():
+            codes, begin, counts = codes[same], begin[same], counts[same]
+        differ = gather_runs(self.seen_words, self.seen_begin[codes], counts) != gather_runs(words, begin, counts)
+        same[same] = sums_of(differ, counts) == 0
+        return same
+
 
 class ChunkEncoder(ChunkTable):
     """Ids of whole texts as a ``tokenizers`` vocabulary gives them without added special tokens.

@@ -43,6 +43,36 @@ def test_chunk_encoder_matches_library(odd_texts, path, blanks, lower, size, mon
     assert seen == len(odd_texts)
 
 
+def thue_morse(n):
+    """Two complementary runs of n letters, whose polynomial hashes modulo a power of two are equal."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+ALIKE = [t for n in (1024, 2048, 4096, 8192) for pair in [thue_morse(n)] for t in (*pair, f"x {pair[1]} y {pair[0]}", pair[0][:-1] + "!")]
+
+
+@pytest.mark.parametrize("path, blanks, lower", [(BYTES, True, False), (WORDS, False, True)])
+def test_runs_that_hash_alike_keep_their_own_ids(path, blanks, lower):
+    expected = [i for e in Tokenizer.from_file(path).encode_batch(ALIKE, add_special_tokens=False) for i in e.ids]
+    encoder = chunks.ChunkEncoder(path, blanks, lower)
+    assert np.concatenate([ids for _, ids, _ in encoder.encode(pa.array(ALIKE))]).tolist() == expected
+    data, offsets = chunks.text_bytes(pa.array(ALIKE))
+    if lower:
+        assert wordcodec.WordCodec(path).encode_rows(data, offsets)[0].tolist() == expected
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert tokencounts.TokenCounter(PIECES).count(data, offsets).tolist() == [len(library.encode(t)) for t in ALIKE]
+    assert len(set(chunks.run_keys(data, offsets[:-1], offsets[1:]).tolist())) == len(ALIKE)
+
+
+def test_chunks_with_equal_keys_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(chunks, "word_keys", lambda words, counts, tags: (tags % 3 + 1).astype(np.uint64))
+    texts = ["to be or not to be that is the question", "", "whether tis nobler in the mind to suffer", "the slings and arrows of outrageous fortune to"] * 3
+    encoder = chunks.ChunkEncoder(BYTES, True, False)
+    got = np.concatenate([ids for _, ids, _ in encoder.encode(pa.array(texts))]).tolist()
+    assert got == [i for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False) for i in e.ids]
+
+
 def test_key_index_finds_what_was_added():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(1, 2**63, 5000, dtype=np.uint64))
