@@ -126,7 +126,7 @@ def plain_cuts(data: np.ndarray, begin: int, end: int, limit: int) -> list[int]:
     """Where a very long text may be cut: before single blanks between visible ASCII characters."""
     cuts, at = [begin], begin + limit
     while at < end - 1:
-        window = data[at : at + limit + 1]
+        window = data[at : min(at + limit + 1, end)]
         seen = (window > 32) & (window < 127)
         good = np.flatnonzero((window[1:-1] == 32) & seen[:-2] & seen[2:])
         if len(good):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesurvey.llm import capfilters, language, neardup, packing, quality, tokencounts, tokenfile, topk, toxicity, wordcodec
+from lakesurvey.llm import capfilters, language, neardup, packing, piececodec, quality, tokencounts, tokenfile, topk, toxicity, wordcodec
 from lakesurvey.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,8 @@ s AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
+
+
+@query
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piececodec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
