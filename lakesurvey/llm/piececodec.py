@@ -217,12 +217,12 @@ class PieceCodec(ChunkTable):
                 raw[i] = spec.trainer_spec.unk_surface.encode()
         for b, i in enumerate(self.byte_ids.tolist()):
             raw[i] = bytes([b])
-        self.raw = raw
         self.is_byte = np.zeros(size, bool)
         self.is_byte[self.byte_ids] = True
         self.piece_size = np.fromiter(map(len, raw), np.int64, size)
         self.piece_begin = starts_of(self.piece_size)
         self.piece_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.decimal = np.array([str(i) for i in range(size)], object)
         super().__init__(False, limit)
 
     def forget(self) -> None:
@@ -369,7 +369,7 @@ def digest_rows(path: str):
             for a, b, _, e in encoded_slices(path, batch.column(1)):
                 own, ids, texts = codec(path), [], []
                 for part in np.split(e.ids, np.cumsum(e.counts)[:-1]):
-                    ids.append(hashlib.sha256(",".join(map(str, part.tolist())).encode()).hexdigest())
+                    ids.append(hashlib.sha256(",".join(own.decimal[part].tolist()).encode()).hexdigest())
                     texts.append(hashlib.sha256(own.decode(part)).hexdigest())
                 yield pa.RecordBatch.from_arrays([docs[a:b], pa.array(e.counts), pa.array(ids), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

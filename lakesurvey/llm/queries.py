@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesurvey.llm import capfilters, language, neardup, packing, piececodec, quality, tokencounts, tokenfile, topk, toxicity, wordcodec
+from lakesurvey.llm import capfilters, language, neardup, packing, piececodec, quality, spelling, tokencounts, tokenfile, topk, toxicity, wordcodec
 from lakesurvey.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,36 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 @query
 def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piececodec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+    FROM range(256) r(i)),
+d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+r AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS m FROM d WHERE length(run) >= 7 GROUP BY 1, 2),
+b AS (SELECT run, m, hex(encode(doc_id || ':' || run)) AS x, t FROM r, crc),
+h AS (
+    SELECT run, m, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+        lambda c, y: xor(t[(xor(c, y) & 255) + 1], c >> 8))) AS h FROM b),
+v AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(m)::BIGINT AS n
+    FROM h GROUP BY 1 HAVING length(word) >= 7 AND sum(m) >= 2),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM v, unnest(range(1, length(word) + 1)) u(i)),
+p AS (
+    SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM k x JOIN k y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+    UNION SELECT k.word, k.n, v.word, v.n FROM k JOIN v ON v.word = a || z
+    UNION SELECT v.word, v.n, k.word, k.n FROM k JOIN v ON v.word = a || z),
+f AS (SELECT word, other AS form, other_n AS form_n FROM p WHERE other_n >= 10 * n QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+c AS (SELECT word, word AS root FROM v UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root),
+e AS (SELECT c.word, c.root FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.word = c.root)),
+s AS (SELECT word, count(*) AS n_near FROM p GROUP BY 1)
+SELECT v.word, v.n, coalesce(s.n_near, 0)::BIGINT AS n_near, f.form, f.form_n, e.root
+FROM v JOIN e USING (word) LEFT JOIN s USING (word) LEFT JOIN f USING (word)
+"""
