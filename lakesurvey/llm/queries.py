@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesurvey.llm import capfilters, language, neardup, packing, piececodec, quality, spelling, tokencounts, tokenfile, topk, toxicity, wordcodec
+from lakesurvey.llm import capfilters, language, lexical, neardup, packing, piececodec, quality, spelling, tokencounts, tokenfile, topk, toxicity, wordcodec
 from lakesurvey.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,28 @@ s AS (SELECT word, count(*) AS n_near FROM p GROUP BY 1)
 SELECT v.word, v.n, coalesce(s.n_near, 0)::BIGINT AS n_near, f.form, f.form_n, e.root
 FROM v JOIN e USING (word) LEFT JOIN s USING (word) LEFT JOIN f USING (word)
 """
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLES["op13_lexical_search"] = r"""
+WITH d AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents),
+q AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2),
+l AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l),
+f AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, docs),
+r AS (SELECT item_id, term, count(*) AS m FROM q GROUP BY 1, 2),
+s AS (
+    SELECT item_id, doc_id, sum(m * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::BIGINT AS score
+    FROM r JOIN p USING (term) JOIN f USING (term) JOIN l USING (doc_id), g GROUP BY 1, 2)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
