@@ -40,7 +40,7 @@ SET_TERMS = 200_000
 #: Documents, and their postings, that a task blocks at a time.
 SHARD_DOCS, SHARD_POSTINGS = 4096, 1_000_000
 #: Documents of a block, dimensions of the projections that tell similar documents, and cells of the summaries held at a time.
-BLOCK, DIMENSIONS, CELLS = 48, 32, 4_000_000
+BLOCK, DIMENSIONS, CELLS = 16, 32, 4_000_000
 NO_DOC = np.iinfo(np.int64).max
 
 _IS_TERM = np.zeros(256, bool)
@@ -58,6 +58,11 @@ def term_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data), starts, ends, np.searchsorted(starts, offsets)
 
 
+def places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``begin, begin + 1, ... begin + size - 1`` of each run, one after another."""
+    return np.repeat(begin - starts_of(size), size) + np.arange(int(size.sum()))
+
+
 class TermTable(ChunkTable):
     """Numbers of the terms of a set, matched by their bytes."""
 
@@ -201,7 +206,7 @@ def summaries(shard: Shard, blocks: Blocks, width: int) -> Iterator[tuple[int, i
             live = np.flatnonzero(size > layer)
             doc = blocks.docs[begin[live] + layer]
             own = shard.size[doc]
-            at = gather_runs(np.arange(len(shard.terms)), shard.begin[doc], own)
+            at = places(shard.begin[doc], own)
             cell = np.repeat(live * width, own) + shard.terms[at]
             top[cell] = np.maximum(top[cell], shard.weights[at])
         yield a, b, top.reshape(b - a, width)
@@ -242,7 +247,7 @@ class Search:
             for x in range(0, len(item), 50_000):
                 own, at = item[x : x + 50_000], block[x : x + 50_000]
                 size = items.size[own]
-                place = gather_runs(np.arange(len(items.terms)), items.begin[own], size)
+                place = places(items.begin[own], size)
                 value = top[np.repeat(at, size), items.terms[place]] * items.repeats[place]
                 out.append((own, at + a, sums_of(value, size)))
         if not out:
@@ -279,7 +284,7 @@ class Search:
             docs = np.unique(gather_runs(blocks.docs, blocks.begin[here], blocks.size[here]))
             docs = docs[~seen[docs]]
             seen[docs] = True
-            place = gather_runs(np.arange(len(shard.terms)), shard.begin[docs], shard.size[docs])
+            place = places(shard.begin[docs], shard.size[docs])
             scores = sums_of(wanted[shard.terms[place]] * shard.weights[place], shard.size[docs])
             good = scores >= max(least, 1)
             if good.any():
