@@ -48,6 +48,30 @@ def _(t):
     return _sheet_totals(scan_datasheets(t.spark, path))
 
 
+# Sheets of three kinds in one folder: as they should be, taxon and count swapped, and without L20 behind a column of another name.
+_KIND = "CAST(Sample_ID AS BIGINT) % 3"
+
+
+@query("s1_scan_by_header", f"""
+SELECT Sample_ID, COUNT(*) AS n_rows, COUNT(Information) AS n_pairs, MIN(Genus_sp_lifestage) AS first_taxon, SUM(CAST(Number_counted AS DOUBLE)) AS counted,
+  SUM(CAST(L1 AS DOUBLE)) AS sum_l1, COUNT(CASE WHEN {_KIND} <> 2 THEN L20 END) AS n_l20, MAX(CASE WHEN {_KIND} = 2 THEN 'L20' END) AS missing_columns,
+  MAX(CASE WHEN {_KIND} = 2 THEN 'Checked by, on' END) AS unknown_columns
+FROM sheets GROUP BY Sample_ID
+""")
+def _(t):
+    path = shared_folder(t.spark, "sheets-by-header")
+    swapped = ["Information", "Value", "Number_counted", "Sample_ID", "Genus_sp_lifestage", *schemas.LENGTH_CELLS]
+    for kind, columns in enumerate((schemas.SHEET.names, swapped, ["Checked by, on", *swapped[:-1]])):
+        rows = t.derive_sheets().filter(f"{_KIND} = {kind}").withColumn("Checked by, on", F.lit('"AA", later'))
+        write_csv(rows.select(*columns), f"{path}/kind={kind}")
+    rows = scan_datasheets(t.spark, path, column_report=True)
+    return rows.groupBy("Sample_ID").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("Information").alias("n_pairs"), F.min("Genus_sp_lifestage").alias("first_taxon"),
+        F.sum(to_number("Number_counted")).alias("counted"), F.sum(to_number("L1")).alias("sum_l1"), F.count("L20").alias("n_l20"),
+        F.max("missing_columns").alias("missing_columns"), F.max("unknown_columns").alias("unknown_columns"),
+    )
+
+
 @query("s2_read_dimension", f"SELECT Genus_sp_lifestage, {S('Length_cutoff')} FROM cutoffs")
 def _(t):
     path = shared_folder(t.spark, "cutoffs")

@@ -36,20 +36,24 @@ def qa_species_counts(sheets: DataFrame, counts: DataFrame, key: str = KEY) -> D
 def header_faults(sheets: DataFrame, key: str = KEY) -> DataFrame:
     """What is wrong with each sheet's header pairs, or null: no pairs, a name with several values, no readable date.
 
-    :func:`header_spread` takes one value of a repeated name; here the sheet is named for it.
+    :func:`header_spread` takes one value of a repeated name; here the sheet is named for it. Where the scan reported on columns, missing
+    ones are a fault too, and unknown ones, which do no harm, come as ``notes``.
     """
     name, value = F.col("Information"), F.col("Value")
     parts = [F.count(F.when(name.isin(HEADER.names), 1)).alias("__pairs"), F.max(F.when(name == "Sample_date", parse_date(value))).alias("__date")]
     for field in HEADER.names:
         own = F.when(name == field, value)
         parts.append(F.when(F.min(own) < F.max(own), F.lit(field)).alias(f"__{field}"))
-    found = sheets.select(key, "Information", "Value").groupBy(key).agg(*parts)
+    reported = [c for c in ("missing_columns", "unknown_columns") if c in sheets.columns]
+    found = sheets.select(key, "Information", "Value", *reported).groupBy(key).agg(*parts, *[F.max(c).alias(c) for c in reported])
     repeated = F.concat_ws(", ", *[f"__{field}" for field in HEADER.names])
+    missing = [F.concat(F.lit("no column "), "missing_columns")] if "missing_columns" in reported else []
     text = F.concat_ws(
-        "; ", F.when(F.col("__pairs") == 0, "no header rows"), F.when(repeated != "", F.concat(F.lit("several values for "), repeated)),
+        "; ", *missing, F.when(F.col("__pairs") == 0, "no header rows"), F.when(repeated != "", F.concat(F.lit("several values for "), repeated)),
         F.when((F.col("__pairs") > 0) & F.col("__date").isNull(), "no readable Sample_date"),
     )
-    return found.select(key, F.nullif(text, F.lit("")).alias("faults"))
+    notes = [F.concat(F.lit("Unknown columns: "), "unknown_columns", F.lit(".")).alias("notes")] if "unknown_columns" in reported else []
+    return found.select(key, F.nullif(text, F.lit("")).alias("faults"), *notes)
 
 
 def qa_status(measured: DataFrame, species: DataFrame, key: str = KEY, *, faults: DataFrame | None = None) -> DataFrame:
@@ -67,7 +71,7 @@ def qa_status(measured: DataFrame, species: DataFrame, key: str = KEY, *, faults
         return joined.select(key, (ok_m & ok_s).alias("ok"), text.alias("status"))
     joined = left_join(joined, faults, key, null_keys=False, split_hot=False)
     header = F.when(F.col("faults").isNotNull(), F.concat(F.lit("Header NOT OK: "), "faults", F.lit(".")))
-    return joined.select(key, (ok_m & ok_s & F.col("faults").isNull()).alias("ok"), F.concat_ws(" ", text, header).alias("status"))
+    return joined.select(key, (ok_m & ok_s & F.col("faults").isNull()).alias("ok"), F.concat_ws(" ", text, header, *[c for c in ("notes",) if c in faults.columns]).alias("status"))
 
 
 def qa_volume_agreement(df: DataFrame, *, computed: str = "Vol_sampled_L2", stored: str = "Vol_sampled_L") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,25 +16,54 @@ NULL_TOKENS = ("", "NA")
 QUOTING = {"quote": '"', "escape": '"', "multiLine": "true"}
 
 
-def scan_datasheets(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv") -> DataFrame:
+# A cell: quoted (a quote inside is doubled, line breaks may stand in it), or whatever stands up to the next comma or line end.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^,\r\n]*+)'
+_RECORD = rf"{_CELL}(?:,{_CELL})*+"
+
+
+def _cells(record: Column) -> Column:
+    """The cells of a record as written; only a record with a quote needs the pattern."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(f",({_CELL})"), F.lit(1))
+    return F.when(record.contains('"'), found).otherwise(F.split(record, ",", -1))
+
+
+def _unquoted(cell: Column) -> Column:
+    inner = F.replace(F.regexp_replace(cell, r'(?s)^"(.*)"([^"]*)$', "$1$2"), F.lit('""'), F.lit('"'))
+    return F.when(cell.startswith('"'), inner).otherwise(cell)
+
+
+def scan_datasheets(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv", *, column_report: bool = False) -> DataFrame:
     """All count sheets under one or more folders as text, plus the file each row came from.
 
-    One scan covers every file. The fixed schema keeps a stray extra column in one sheet from
-    changing the others, and files with bare carriage returns as line ends read like the rest. A quote inside
-    a quoted cell is doubled, and such a cell may hold a line break; a sheet is one small file, so reading
-    it in one piece costs no parallelism.
+    Cells are taken by the name in their own file's header, so sheets may order their columns differently, leave some out (null here)
+    or have others, which are left aside. A sheet is one small file: each is read whole, once, as one row; its records and the places of
+    its columns come out of that row, so no sheet is read or moved a second time to learn its header. Bare carriage returns end lines
+    like other line ends; a quote inside a quoted cell is doubled, and such a cell may hold a line break. Of a repeated name the first column counts.
+
+    ``column_report`` adds ``missing_columns`` and ``unknown_columns``, the names concerned on every row of a sheet, or null.
     """
-    raw = (
-        spark.read.schema(SHEET)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .options(**QUOTING)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .csv(path if isinstance(path, str) else list(path))
+    files = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+        .text(path if isinstance(path, str) else list(path), wholetext=True)
+        .select(F.regexp_replace("value", "^\ufeff", "").alias("text"), F.col("_metadata.file_path").alias("source_file"))
+    )
+    records = F.filter(F.regexp_extract_all("text", F.lit(_RECORD), F.lit(0)), lambda r: r != "")
+    sheets = files.select("source_file", records.alias("records")).filter(F.size("records") > 1)
+    names = F.transform(_cells(F.col("records")[0]), lambda c: F.trim(_unquoted(c)))
+    sheets = sheets.select("source_file", "records", names.alias("names"))
+    expected = F.array(*map(F.lit, SHEET.names))
+    report = {
+        "missing_columns": F.nullif(F.array_join(F.array_except(expected, "names"), ", "), F.lit("")),
+        "unknown_columns": F.nullif(F.array_join(F.filter(F.array_except("names", expected), lambda n: n != ""), ", "), F.lit("")),
+    } if column_report else {}
+    places = F.array(*[F.array_position("names", F.lit(n)).cast("int") for n in SHEET.names])
+    rows = sheets.select(
+        "source_file", *[c.alias(n) for n, c in report.items()], places.alias("places"),
+        F.explode(F.slice("records", F.lit(2), F.size("records"))).alias("record"),
     )
-    cells = [blank_to_null(F.col(c), NULL_TOKENS).alias(c) for c in SHEET.names]
-    return raw.select(*cells, F.col("_metadata.file_path").alias("source_file"))
+    rows = rows.select("source_file", *report, "places", _cells(F.col("record")).alias("cells"))
+    cells = [blank_to_null(_unquoted(F.try_element_at("cells", F.nullif(F.col("places")[k], F.lit(0)))), NULL_TOKENS).alias(n) for k, n in enumerate(SHEET.names)]
+    return rows.select(*cells, "source_file", *report)
 
 
 def read_dimension(spark: SparkSession, path: str | Sequence[str], schema: StructType) -> DataFrame:

@@ -31,6 +31,7 @@ TAXA = [
     ("Harpacticoida_adult", "3", [30]),
     ("Keratella", "", []),
 ]
+GOOD = [t for t in TAXA if t[0] != "S_oregonensis_w_eggs"]
 CUTOFFS = [("0.555", "D_thomasi_wo_eggs"), ("0.666", "L_minutus_wo_eggs"), ("0.6", "S_oregonensis_w_eggs")]
 
 
@@ -91,6 +92,46 @@ def test_scan(spark, folder):
     assert raw.filter("Value = ''  or Value = 'NA'").count() == 0
 
 
+def test_columns_are_taken_by_the_header_of_their_own_file(spark, tmp_path, cutoffs, rows):
+    """Swapped, missing, unknown, repeated and padded columns; each sheet gives what it would give in the usual order."""
+    (tmp_path / "in").mkdir()
+    usual = sheet_lines({**HEADER, "Sample_ID": "s", "Comments": 'a "b", c'}, GOOD)
+
+    def picked(names):
+        places = [usual[0].index(n) if n in usual[0] else None for n in names]
+        return [names] + [["?" if p is None else row[p] for p in places] for row in usual[1:]]
+
+    swapped = [*usual[0][:3], "Number_counted", "Genus_sp_lifestage", *usual[0][5:]]
+    sheets = {
+        "usual": usual, "swapped": picked(swapped), "extra": picked(["Seen, by", *reversed(usual[0])]),
+        "short": picked([n for n in usual[0] if n not in ("L20", "Value")]), "twice": picked([*usual[0], "Number_counted"]),
+    }
+    for name, lines in sheets.items():
+        write_sheet(tmp_path / "in" / f"{name}.csv", lines, newline="\r\n" if name == "extra" else "\n")
+    text = (tmp_path / "in" / "swapped.csv").read_bytes()
+    (tmp_path / "in" / "swapped.csv").write_bytes(b"\xef\xbb\xbf" + text.replace(b"Information,Value", b" Information ,Value", 1) + b"\n\n")
+    (tmp_path / "in" / "empty.csv").write_text("")
+    raw = scan_datasheets(spark, str(tmp_path / "in"), column_report=True)
+    own = {n: rows(raw.filter(F.col("source_file").endswith(f"/{n}.csv")), *schemas.SHEET.names) for n in sheets}
+    assert len(own["usual"]) == 26 and own["swapped"] == own["extra"] == own["twice"] == own["usual"]
+    assert own["short"] == sorted([(r[0], None, *r[2:24], None) for r in own["usual"]], key=lambda t: tuple((v is None, str(v)) for v in t))
+    report = {r.source_file.rsplit("/", 1)[1][:-4]: (r.missing_columns, r.unknown_columns) for r in raw.select("source_file", "missing_columns", "unknown_columns").distinct().collect()}
+    assert report == {"usual": (None, None), "swapped": (None, None), "extra": (None, "Seen, by"), "short": ("Value, L20", None), "twice": (None, None)}
+    plan = raw._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and "Exchange" not in plan
+    status = {r.source_file.rsplit("/", 1)[1][:-4]: r for r in load_folder(spark, str(tmp_path / "in"), cutoffs, taxa_groups(spark), str(tmp_path / "w")).collect()}
+    assert {n: r.ok for n, r in status.items()} == {"usual": True, "swapped": True, "extra": True, "short": False, "twice": True}
+    assert "no column Value, L20" in status["short"].status and status["extra"].status.endswith("Unknown columns: Seen, by.")
+
+
+@pytest.mark.parametrize("line", ['a,"b', 'a"b,c', '"a""",b', '"x"y,z', ',,', '"a,\nb",c', ' , "q",'])
+def test_odd_cells_stay_in_their_own_row(spark, tmp_path, line):
+    (tmp_path / "odd.csv").write_text("Information,Value\n" + line + "\nlast,row\n")
+    got = [(r.Information, r.Value) for r in scan_datasheets(spark, str(tmp_path)).collect()]
+    want = {'a,"b': ("a", '"b'), 'a"b,c': ('a"b', "c"), '"a""",b': ('a"', "b"), '"x"y,z': ("xy", "z"), ",,": (None, None), '"a,\nb",c': ("a,\nb", "c"), ' , "q",': (" ", ' "q"')}
+    assert got == [want[line], ("last", "row")]
+
+
 def test_headers(spark, folder):
     h = {r.source_file.rsplit("/", 1)[1]: r for r in sheet_headers(scan_datasheets(spark, folder)).collect()}
     r = h["20200604_16-970.csv"]
@@ -173,9 +214,6 @@ def test_quoted_cells(spark, tmp_path, rows):
     assert '"torn ""net"", redo' in text
 
 
-GOOD = [t for t in TAXA if t[0] != "S_oregonensis_w_eggs"]
-
-
 def test_a_failed_load_is_repeated_without_doubling_rows(spark, tmp_path, cutoffs, monkeypatch):
     (tmp_path / "in").mkdir()
     write_sheet(tmp_path / "in" / "a.csv", sheet_lines({**HEADER, "Sample_ID": "a"}, GOOD))
