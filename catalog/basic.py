@@ -506,6 +506,30 @@ def _(t):
     return snapped(agg.mean_of(t.zoop_final, ["Sample_ID"], ["Zoop_biomass"], strict=True))
 
 
+def _exact(c: str) -> str:
+    """An exact sum in SQL: whole multiples of 2**-60, which hold every bit of the values summed here, rounded once."""
+    return f"(CAST(CAST(SUM(CAST({c} * 1152921504606846976 AS HUGEINT)) AS VARCHAR) AS DOUBLE) / 1152921504606846976)"
+
+
+# Compared to the last bit, without a grid.
+@query("a1_exact_sums", f"""
+SELECT Genus_sp_lifestage, Life_stage, COALESCE({_exact('Number_counted')}, 0) AS Number_counted, COALESCE({_exact('Zoop_density')}, 0) AS Zoop_density,
+  {_exact('Zoop_len_avg')} / COUNT(Zoop_len_avg) AS Zoop_len_avg FROM zoop_final GROUP BY 1, 2
+""")
+def _(t):
+    return agg.sum_zero_empty(t.zoop_final, ["Genus_sp_lifestage", "Life_stage"], ["Number_counted", "Zoop_density"], ["Zoop_len_avg"], exact=True)
+
+
+@query("a2_exact_mean", f"SELECT Life_stage, {_exact('Zoop_biomass')} / COUNT(Zoop_biomass) AS Zoop_biomass FROM zoop_final GROUP BY 1")
+def _(t):
+    return agg.mean_of(t.zoop_final, ["Life_stage"], ["Zoop_biomass"], exact=True)
+
+
+@query("a3_exact_strict_mean", f"SELECT Sample_ID, CASE WHEN COUNT(Zoop_biomass) = COUNT(*) THEN {_exact('Zoop_biomass')} / COUNT(*) END AS Zoop_biomass FROM zoop_final GROUP BY 1")
+def _(t):
+    return agg.mean_of(t.zoop_final, ["Sample_ID"], ["Zoop_biomass"], strict=True, exact=True)
+
+
 ENV = ("Secchi_depth_m", "Surface_temp", "Bottom_temp", "Surface_DO", "Bottom_DO")
 
 
@@ -658,6 +682,32 @@ def _(t):
     return snapped(agg.histogram(t.zoop_final, "Zoop_biomass"))
 
 
+def _round_histogram_sql(c: str, table: str) -> str:
+    return f"""
+WITH v AS (SELECT CAST({c} AS DOUBLE) AS x FROM {table} WHERE {c} IS NOT NULL),
+s AS (SELECT MIN(x) AS lo, MAX(x) AS hi, (MAX(x) - MIN(x)) / CEIL(LOG2(COUNT(*)) + 1) AS cell FROM v),
+p AS (SELECT *, POWER(10, FLOOR(LOG10(cell))) AS base FROM s),
+d AS (SELECT *, CASE WHEN 2 * base - cell < 1.5 * (cell - base) THEN 2 ELSE 1 END AS two FROM p),
+e AS (SELECT *, CASE WHEN 5 * base - cell < 2.75 * (cell - two * base) THEN 5 ELSE two END AS five FROM d),
+f AS (SELECT *, base * CASE WHEN 10 * base - cell < 1.5 * (cell - five * base) THEN 10 ELSE five END AS step FROM e),
+b AS (SELECT step, CAST(FLOOR(lo / step + 1e-10) AS BIGINT) AS a, CAST(CEIL(hi / step - 1e-10) AS BIGINT) AS z FROM f),
+k AS (SELECT CAST(i - a AS INT) AS bin, (i - 1) * step AS low, i * step AS high, i = a + 1 AS first FROM b, unnest(range(a + 1, z + 1)) r(i))
+SELECT bin, {S('low')}, {S('high')}, (SELECT COUNT(*) FROM v, f WHERE x <= high + 1e-7 * step AND (first OR x > low + 1e-7 * step)) AS n FROM k
+"""
+
+
+# Whole numbers lie on the breaks; lengths are skewed, so some bins are empty.
+@query("a17_round_histogram", _round_histogram_sql("Number_counted", "zoop_final"))
+def _(t):
+    return snapped(agg.round_histogram(t.zoop_final, "Number_counted"))
+
+
+@query("a17_round_histogram_gaps", _round_histogram_sql("CASE WHEN Length_mm < 3 OR Length_mm > 8 THEN Length_mm * Length_mm / 100 END", "zoop_lengths"))
+def _(t):
+    c = F.col("Length_mm")
+    return snapped(agg.round_histogram(t.zoop_lengths.select(F.when((c < 3) | (c > 8), c * c / 100).alias("x")), "x"))
+
+
 # --- windows, sort, limit ------------------------------------------------------------------------
 
 

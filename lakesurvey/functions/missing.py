@@ -81,11 +81,13 @@ NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 def to_number(c: Column | str) -> Column:
     """Text to double; anything but a finite number becomes null.
 
-    A cast alone would take ``12d`` or ``NaN`` for numbers. Binary doubles, because cutoff tests depend on them.
+    A cast alone would take ``12d`` or ``NaN`` for numbers. Binary doubles, because cutoff tests depend on them. A text without letters, as nearly
+    all are, can be none of these: it is only cast, and the pattern is kept for the rest.
     """
     text = as_col(c).cast("string")
+    plain = (F.lower(text) == F.upper(text)) & (F.octet_length(text) < 300)
     value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    return F.when(plain, text.try_cast("double")).otherwise(F.when(F.abs(value) < float("inf"), value))
 
 
 def blank_to_null(c: Column | str, tokens: Sequence[str] = ("", "NA")) -> Column:

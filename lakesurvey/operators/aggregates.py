@@ -8,14 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesurvey.functions import as_col, mean_skip, mean_strict, ratio, sum0
+from lakesurvey.functions import as_col, exact_mean, exact_mean_strict, exact_sum0, mean_skip, mean_strict, ratio, sum0
 from lakesurvey.operators.cleaning import derive_date_parts
 from lakesurvey.operators.joins import enrich_taxa
 
 
-def sum_zero_empty(df: DataFrame, keys: Sequence[str], sums: Sequence[str], means: Sequence[str] = ()) -> DataFrame:
-    """Null-skipping sums (0 for a group without values) and null-skipping means."""
-    aggs = [sum0(c).alias(c) for c in sums] + [mean_skip(c).alias(c) for c in means]
+def sum_zero_empty(df: DataFrame, keys: Sequence[str], sums: Sequence[str], means: Sequence[str] = (), *, exact: bool = False) -> DataFrame:
+    """Null-skipping sums (0 for a group without values) and null-skipping means.
+
+    ``exact`` ones are the same to the last bit however the rows are partitioned, at the cost of seven whole-number sums for each.
+    """
+    total, mean = (exact_sum0, exact_mean) if exact else (sum0, mean_skip)
+    aggs = [total(c).alias(c) for c in sums] + [mean(c).alias(c) for c in means]
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -24,9 +28,10 @@ def across_agg(df: DataFrame, keys: Sequence[str], fn: Callable[[str], Column],
     return df.groupBy(*keys).agg(*[fn(c).alias(c) for c in columns])
 
 
-def mean_of(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, strict: bool = False) -> DataFrame:
-    """Group means; ``strict`` gives null as soon as a value is missing."""
-    return across_agg(df, keys, mean_strict if strict else mean_skip, columns)
+def mean_of(df: DataFrame, keys: Sequence[str], columns: Sequence[str], *, strict: bool = False, exact: bool = False) -> DataFrame:
+    """Group means; ``strict`` gives null as soon as a value is missing, ``exact`` ones don't depend on the order of rows."""
+    fns = (exact_mean, exact_mean_strict) if exact else (mean_skip, mean_strict)
+    return across_agg(df, keys, fns[strict], columns)
 
 
 def resolve_dups_by_mean(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -126,6 +131,68 @@ def histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
     )
 
 
+#: How readily a larger step is taken, the same before 5, and how far a value may pass a break and still lie under it.
+STEP_BIAS, FIVE_BIAS, BREAK_SLACK = 1.5, 2.75, 1e-7
+
+
+def round_breaks(values: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+    """One row ``first, last, digit, power``: breaks are the whole numbers from first to last, times digit * 10**power.
+
+    The step is 1, 2, 5 or 10 times the power of ten under range / ``bins`` (by default ceil(log2 n + 1)): the next larger one is taken
+    while it is nearer to that width, by a bias, than the last. One value alone is given a step of its own size. No row without values.
+    """
+    c = F.col(column)
+    number = F.lit(bins) if bins else F.ceil(F.log2(F.count(c)) + 1)
+    stats = values.agg(F.min(c).alias("lo"), F.max(c).alias("hi"), number.cast("double").alias("k")).filter("lo is not null")
+    size = F.greatest(F.abs("lo"), F.abs("hi"))
+    alike = (F.col("hi") - F.col("lo")) < size * (1 + 1 / (1 + STEP_BIAS)) * F.greatest("k", F.lit(1.0)) * (3 * 2.0**-52)
+    own = F.when(size == 0, 1.0).when(size > 10, 9 + size / 10).otherwise(size) * 0.75
+    cell = F.when((size == 0) | alike, own).otherwise((F.col("hi") - F.col("lo")) / F.greatest("k", F.lit(1.0)))
+    stats = stats.withColumn("cell", cell).withColumn("power", F.floor(F.log10("cell")).cast("int"))
+    base = F.pow(F.lit(10.0), F.col("power"))
+
+    def larger(digit: int, than: Column, bias: float) -> Column:
+        return digit * base - F.col("cell") < bias * (F.col("cell") - than * base)
+
+    two = F.when(larger(2, F.lit(1), STEP_BIAS), 2).otherwise(1)
+    stats = stats.withColumn("two", two)
+    five = F.when(larger(5, F.col("two"), FIVE_BIAS), 5).otherwise(F.col("two"))
+    stats = stats.withColumn("five", five)
+    stats = stats.withColumn("digit", F.when(larger(10, F.col("five"), STEP_BIAS), 10).otherwise(F.col("five")))
+    step = F.col("digit") * base
+    stats = stats.withColumns({"first": F.floor(F.col("lo") / step + 1e-10), "last": F.ceil(F.col("hi") / step - 1e-10)})
+    # At least one bin.
+    none = F.col("first") >= F.col("last")
+    stats = stats.withColumn("none", none)
+    return stats.select(
+        F.when(F.col("none") & (F.col("first") >= 0), F.col("last") - 1).otherwise(F.col("first")).alias("first"),
+        F.when(F.col("none") & (F.col("first") < 0), F.col("first") + 1).otherwise(F.col("last")).alias("last"), "digit", "power",
+    )
+
+
+def round_histogram(df: DataFrame, column: str, bins: int | None = None) -> DataFrame:
+    """Bins between round breaks with their counts, empty ones too: ``bin, low, high, n``.
+
+    A bin holds its upper break, the first one its lower break as well. Values that aren't finite are left out. One
+    aggregate finds the range, one counts; the breaks reach the rows as scalars.
+    """
+    c = F.col(column)
+    values = df.select(c.cast("double").alias(column)).filter(F.abs(c) < float("inf"))
+    breaks = round_breaks(values, column, bins)
+    first, digit, power = (breaks.select(n).scalar() for n in ("first", "digit", "power"))
+    framed = values.withColumns({"__first": first, "__step": digit * F.pow(F.lit(10.0), power)})
+    slot = F.greatest(F.ceil(c / F.col("__step") - BREAK_SLACK) - F.col("__first"), F.lit(1)).cast("int")
+    counts = framed.groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+    def at(place: Column) -> Column:
+        # Below 1, dividing by a whole power gives the double nearest to the decimal break.
+        return F.when(F.col("power") < 0, place * F.col("digit") / F.pow(F.lit(10.0), -F.col("power"))).otherwise(place * F.col("digit") * F.pow(F.lit(10.0), F.col("power")))
+
+    all_bins = breaks.select("*", F.explode(F.sequence(F.lit(1), (F.col("last") - F.col("first")).cast("int"))).alias("bin"))
+    all_bins = all_bins.select("bin", at(F.col("first") + F.col("bin") - 1).alias("low"), at(F.col("first") + F.col("bin")).alias("high"))
+    return all_bins.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 QUARTILES = (0.25, 0.5, 0.75)
 
 

@@ -50,6 +50,11 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{(root or tempfile.gettempdir()).rstrip('/')}/lakesurvey-{label}-{uuid.uuid4().hex}"
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a working folder that is no longer read, in whatever file system it lies."""
     jvm = spark.sparkContext._jvm

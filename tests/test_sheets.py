@@ -240,6 +240,68 @@ def test_a_failed_load_is_repeated_without_doubling_rows(spark, tmp_path, cutoff
     assert {n: spark.read.parquet(f"{warehouse}/{n}").count() for n in names} == {n: 2 * k for n, k in once.items()}
 
 
+TABLES = ("zoop_sample_info", "sample_inventory", "zoop_counts", "zoop_lengths", "zoop_egg_counts", "zoop_final", "sheet_status", "sheet_manifest", "raw_entered")
+
+
+def test_entering_a_folder_twice_changes_nothing(spark, tmp_path, cutoffs, monkeypatch):
+    source, warehouse, taxa = tmp_path / "in", str(tmp_path / "warehouse"), taxa_groups(spark)
+    source.mkdir()
+    for name, change in {"a": {}, "b": {"Sample_date": "20210714"}, "bad": {"Sample_date": "?"}}.items():
+        write_sheet(source / f"{name}.csv", sheet_lines({**HEADER, "Sample_ID": name, **change}, GOOD))
+    write_sheet(source / "copy_of_a.csv", sheet_lines({**HEADER, "Sample_ID": "a"}, GOOD))
+
+    def enter():
+        done = ingest.enter_new_sheets(spark, str(source), cutoffs, taxa, warehouse)
+        return {r.source_file.rsplit("/", 1)[1][:-4]: r for r in done.collect()}
+
+    def stored():
+        return {n: sorted(map(str, spark.read.parquet(f"{warehouse}/{n}").collect())) for n in TABLES}
+
+    # The first attempt fails between the tables; the second replaces what it wrote.
+    real, calls = ingest.append_table, []
+
+    def failing(*args, **kwargs):
+        calls.append(args[1])
+        if len(calls) > 3:
+            raise OSError("the disk went away")
+        real(*args, **kwargs)
+
+    monkeypatch.setattr(ingest, "append_table", failing)
+    with pytest.raises(OSError):
+        enter()
+    monkeypatch.setattr(ingest, "append_table", real)
+    first = enter()
+    assert {n: (r.ok, r.batch is not None) for n, r in first.items()} == {"a": (True, True), "b": (True, True), "bad": (False, True), "copy_of_a": (False, False)}
+    once = stored()
+    assert len(once["zoop_sample_info"]) == len(once["sheet_manifest"]) == 2 and len(once["raw_entered"]) == 3 * 26
+    good = {n: v for n, v in once.items() if n not in ("sheet_status", "raw_entered")}
+    assert ingest.touched_years(spark, warehouse, first["a"].batch) == [2020, 2021]
+    # Once more, and under other names: only the sheet that failed is looked at again, and no table changes.
+    (source / "a.csv").rename(source / "renamed.csv")
+    assert {n: (r.ok, r.status == "Entered before.") for n, r in enter().items()} == {"renamed": (False, True), "copy_of_a": (False, True), "b": (False, True), "bad": (False, False)}
+    assert {n: v for n, v in stored().items() if n in good} == good
+    # One new sheet: files of one year.
+    write_sheet(source / "new.csv", sheet_lines({**HEADER, "Sample_ID": "new", "Sample_date": "20210801"}, GOOD))
+    batch = enter()["new"].batch
+    assert ingest.touched_years(spark, warehouse, batch) == [2021]
+    assert [p.name for p in (tmp_path / "warehouse" / "zoop_counts" / f"batch={batch}").iterdir() if p.is_dir()] == ["year=2021"]
+    assert sorted(r.Sample_ID for r in spark.read.parquet(f"{warehouse}/zoop_sample_info").collect()) == ["a", "b", "new"]
+    # A corrected sheet is a new one.
+    write_sheet(source / "b.csv", sheet_lines({**HEADER, "Sample_ID": "b", "Sample_date": "20210715"}, GOOD))
+    assert enter()["b"].ok and not list((tmp_path / "warehouse" / "stage").glob("*"))
+
+
+def test_digests_tell_cells_and_places(spark, tmp_path):
+    lines = sheet_lines({**HEADER, "Sample_ID": "a"}, GOOD)
+    names = lines[0]
+    moved = [[*row[:5], "", *row[5:-1]] if row[3] == "B_longirostris_w_eggs" else row for row in lines]
+    turned = [[row[k] for k in [4, *range(4), *range(5, 25)]] for row in [names, *reversed(lines[1:])]]
+    for name, own in {"a": lines, "moved": moved, "turned": turned, "longer": [*lines, lines[-1]]}.items():
+        write_sheet(tmp_path / f"{name}.csv", own)
+    got = {r.source_file.rsplit("/", 1)[1][:-4]: r.digest for r in ingest.sheet_digests(scan_datasheets(spark, str(tmp_path))).collect()}
+    assert got["a"] == got["turned"] and len(set(got.values())) == 3
+
+
 def test_header_faults_are_named_and_keep_a_sheet_out(spark, tmp_path, cutoffs):
     (tmp_path / "in").mkdir()
     headers = {"good": {}, "nodate": {"Sample_date": "June"}, "none": None}
