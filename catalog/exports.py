@@ -10,16 +10,18 @@ from catalog.basic import SITES_4, SITES_8, SITES_18
 from catalog.domain import (
     ENV_SQL, MAJOR, PATH, POOLED, SIZE_TABLE, SPECIES, STAGE2, TAXON, VELIGER, WITH_TAXA,
 )
-from catalog.registry import lit_list, query, snap_sql as S, snapped
+from catalog.registry import ORACLES, lit_list, query, snap_sql as S, snapped
 from lakesurvey.operators.aggregates import histogram
 from lakesurvey.operators.harmonize import IMMATURE_LABELS
+from lakesurvey.operators.rollup import mean, merged_sums, standard_error, total
 from lakesurvey.operators.windows import duplicate_rows
 from lakesurvey.plans import exports as ex
 from lakesurvey.plans import ingest as ing
 from lakesurvey.plans import requests as rq
+from lakesurvey.plans import rollup as ru
 from lakesurvey.plans.rules import Corrections
 from lakesurvey.session import shared_folder
-from lakesurvey.sources import read_table, write_csv
+from lakesurvey.sources import append_bucketed, read_table, write_csv
 
 # Corrections of the checks: several samples each, so that every scale has some at the chosen sites.
 FIXED = tuple(str(i) for i in range(100, 160))
@@ -301,6 +303,84 @@ def _(t):
     return snapped(ex.season_report(_report(t)))
 
 
+# --- the same exports from bucketed tables, and from one stored roll-up --------------------------
+
+BUCKETS = 16
+_STORED: dict[tuple[str, str], tuple] = {}
+
+
+def _stored_buckets(t):
+    """Facts with their year, samples, inventory and the roll-up level, stored once per session and table folder in buckets of the sample id."""
+    place = (t.spark.sparkContext.applicationId, t.folder)
+    if place not in _STORED:
+        years = t.sample_info.select("Sample_ID", F.year("Sample_date").alias("year"))
+        tables = []
+        for name, rows in (("final", t.zoop_final.join(years, "Sample_ID")), ("samples", t.sample_info), ("inventory", t.inventory)):
+            path = shared_folder(t.spark, f"buckets-{name}")
+            tables.append("t" + path.rsplit("-", 1)[1])
+            append_bucketed(rows, tables[-1], buckets=BUCKETS, path=path, partition="year" if name == "final" else None)
+        path = shared_folder(t.spark, "buckets-level")
+        tables.append("t" + path.rsplit("-", 1)[1])
+        ru.store_level(t.spark.table(tables[0]), t.taxa_groups, tables[-1], buckets=BUCKETS, path=path)
+        _STORED[place] = tuple(tables)
+    return tuple(t.spark.table(name) for name in _STORED[place])
+
+
+def _level(t):
+    _, samples, inventory, level = _stored_buckets(t)
+    return ru.Level(level, samples, t.taxa_groups, inventory)
+
+
+@query("q04_ftg_long_bucketed", ORACLES["q04_ftg_long"], raw=True)
+def _(t):
+    final, samples, inventory, _ = _stored_buckets(t)
+    return snapped(ex.ftg_long(final, samples, t.taxa_groups, inventory, sites=SITES_4, after=AFTER, corrections=FIXES, bucketed=True))
+
+
+@query("q07_index_zoop_bucketed", ORACLES["q07_index_zoop"], raw=True)
+def _(t):
+    final, samples, inventory, _ = _stored_buckets(t)
+    return snapped(ex.index_zoop(final, samples, t.taxa_groups, inventory, sites=SITES_18, corrections=FIXES, bucketed=True))
+
+
+@query("q03_ftg_annual_from_level", ORACLES["q03_ftg_annual"], raw=True)
+def _(t):
+    return snapped(_level(t).ftg_annual(year=1998, project="CORE", sites=SITES_4, volumes_after=AFTER))
+
+
+@query("q04_ftg_long_from_level", ORACLES["q04_ftg_long"], raw=True)
+def _(t):
+    return snapped(_level(t).ftg_long(sites=SITES_4, after=AFTER, corrections=FIXES))
+
+
+@query("q07_index_zoop_from_level", ORACLES["q07_index_zoop"], raw=True)
+def _(t):
+    return snapped(_level(t).index_zoop(sites=SITES_18, corrections=FIXES))
+
+
+@query("q13_annual_report_from_level", ORACLES["q13_annual_report"], raw=True)
+def _(t):
+    return snapped(_level(t).annual_report(sites=SITES_18, western=SITES_8, corrections=FIXES, offsets=OFFSETS))
+
+
+@query("q17_monthly_request_from_level", ORACLES["q17_monthly_request"], raw=True)
+def _(t):
+    return snapped(_level(t).monthly_request(sites=SITES_18, volume_sites=SITES_8, corrections=FIXES))
+
+
+@query("a10_merged_levels", f"""
+SELECT Life_stage2, n AS rows, {S('total', 'Zoop_biomass')}, {S('mean', 'mean')}, {S('se', 'se')} FROM (
+  SELECT {STAGE2} AS Life_stage2, COUNT(*) AS n, COALESCE(SUM(Zoop_biomass), 0) AS total, AVG(Zoop_biomass) AS mean, STDDEV_SAMP(Zoop_biomass) / SQRT(COUNT(Zoop_biomass)) AS se
+  FROM (SELECT *, {POOLED} AS p FROM (SELECT z.*, Order1 FROM zoop_final z LEFT JOIN (SELECT DISTINCT {TAXON}, Order1 FROM taxa_groups) x ON z.{TAXON} = x.{TAXON}))
+  WHERE p IS NULL OR NOT regexp_matches(p, 'B_longimanus|C_pengoi') GROUP BY 1)
+""")
+def _(t):
+    # From sample to taxon and stage, and from there to the stage, without the facts.
+    by_taxon = merged_sums(_stored_buckets(t)[3], [TAXON, "Life_stage2"])
+    by_stage = merged_sums(by_taxon, ["Life_stage2"])
+    return snapped(by_stage.select("Life_stage2", "rows", total("Zoop_biomass").alias("Zoop_biomass"), mean("Zoop_biomass").alias("mean"), standard_error("Zoop_biomass").alias("se")))
+
+
 def meso_sql(where):
     return f"""
 WITH {core_sql(SITES_18)}, {pooled_sql()}, {LABELS}, {NAMED}

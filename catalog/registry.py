@@ -34,15 +34,15 @@ def snapped(df: DataFrame) -> DataFrame:
     return df.select(*[snap(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema])
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name``."""
+def query(name: str, sql: str | None = None, *, raw: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under ``name``; ``raw`` SQL brings its views along."""
 
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, folder: fn(Tables(tune(spark), folder))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql if raw else with_views(sql)
         return fn
 
     return register

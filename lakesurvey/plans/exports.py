@@ -50,28 +50,39 @@ def checked_volumes(
     )
 
 
+def corrected_samples(
+    sample_info: DataFrame, inventory: DataFrame, *, sites: Sequence[str], volume_sites: Sequence[str] | None = None,
+    after: date | None = None, corrections: Corrections = KNOWN_CORRECTIONS, bucketed: bool = False,
+) -> DataFrame:
+    """Samples of chosen sites with corrected subsamples and both volumes."""
+    samples = sample_info.select(*SAMPLE, "Project", "Subsampled_vol_mL", "Diluted_vol_mL")
+    samples = keep_members(date_range(samples, "Sample_date", after=after), "Sample_site", sites)
+    if corrections.volumes:
+        samples = apply_overrides(samples, "Sample_ID", corrections.volumes)
+    volumes = checked_volumes(inventory, volume_sites or sites, after=after, corrections=corrections)
+    volumes = volumes.select("Sample_ID", "Vol_sampled_L", "Vol_sampled_L2", "V1toV2ratio", "V1equalsV2")
+    return left_join(samples, volumes, "Sample_ID", null_keys=False, split_hot=not bucketed)
+
+
 def corrected_counts(
     final: DataFrame, sample_info: DataFrame, taxa: DataFrame, inventory: DataFrame, *, sites: Sequence[str],
     volume_sites: Sequence[str] | None = None, after: date | None = None,
-    corrections: Corrections = KNOWN_CORRECTIONS, measures: Sequence[str] = (*MEASURES, LENGTH), allow_fanout: bool = False,
+    corrections: Corrections = KNOWN_CORRECTIONS, measures: Sequence[str] = (*MEASURES, LENGTH), allow_fanout: bool = False, bucketed: bool = False,
 ) -> DataFrame:
     """Final counts with sample and order, two recomputed densities and their difference from the
     stored one.
 
     Sample rows and volumes are joined to each other first, so the facts are shuffled by sample id
     once; the sample id is a key, never null. ``volume_sites`` restricts whose volumes are looked
-    up (others get no density); by default these are the export's sites.
+    up (others get no density); by default these are the export's sites. ``bucketed`` says that facts, samples and inventory are
+    stored in buckets of the sample id: then they are joined as they lie, and no hot sample is split.
     """
-    samples = sample_info.select(*SAMPLE, "Project", "Subsampled_vol_mL", "Diluted_vol_mL")
-    samples = keep_members(date_range(samples, "Sample_date", after=after), "Sample_site", sites)
-    if corrections.volumes:
-        samples = apply_overrides(samples, "Sample_ID", corrections.volumes)
-    volumes = checked_volumes(inventory, volume_sites or sites, after=after, corrections=corrections)
-    volumes = volumes.select("Sample_ID", "Vol_sampled_L", "Vol_sampled_L2", "V1toV2ratio", "V1equalsV2")
-    samples = left_join(samples, volumes, "Sample_ID", null_keys=False)
+    samples = corrected_samples(
+        sample_info, inventory, sites=sites, volume_sites=volume_sites, after=after, corrections=corrections, bucketed=bucketed
+    )
     # The export keeps only samples that pass the date and site filters: an inner join says the same.
     facts = within_years(final, after=after)
-    rows = inner_join(facts.select("Sample_ID", TAXON, "Life_stage", *measures), samples, "Sample_ID")
+    rows = inner_join(facts.select("Sample_ID", TAXON, "Life_stage", *measures), samples, "Sample_ID", split_hot=not bucketed)
     rows = enrich_taxa(rows, taxa, ["Order1"], allow_fanout=allow_fanout)
     rows = count_to_density(rows, volume="Vol_sampled_L", into="density_stored_volume")
     rows = count_to_density(rows, volume="Vol_sampled_L2", into="density_computed_volume")
@@ -98,7 +109,7 @@ def with_new_density(rows: DataFrame, corrections: Corrections = KNOWN_CORRECTIO
     return null_by_key(rows, "Sample_ID", corrections.drop_biomass, "Zoop_biomass")
 
 
-def _biop_groups(rows: DataFrame, taxa: DataFrame) -> DataFrame:
+def biop_groups(rows: DataFrame, taxa: DataFrame) -> DataFrame:
     """Sums per sample and group label."""
     labelled = enrich_taxa(rows, taxa, ["biop_152_codes", "biop_152_names"])
     labelled = recode_values(labelled, "biop_152_names", GROUP_TYPOS)
@@ -125,20 +136,20 @@ def ftg_annual(
     rows = _star_with_density(
         final, sample_info, taxa, inventory, year=year, project=project, sites=sites, volumes_after=volumes_after
     )
-    return _biop_groups(comparable_taxa(rows, means=[LENGTH]), taxa)
+    return biop_groups(comparable_taxa(rows, means=[LENGTH]), taxa)
 
 
 def ftg_long(
     final: DataFrame, sample_info: DataFrame, taxa: DataFrame, inventory: DataFrame, *, sites: Sequence[str],
-    after: date | None = date(2001, 1, 1), corrections: Corrections = KNOWN_CORRECTIONS,
+    after: date | None = date(2001, 1, 1), corrections: Corrections = KNOWN_CORRECTIONS, bucketed: bool = False,
 ) -> DataFrame:
     """All years of the forecast sites: sums per sample and group label, with the label that is
     stable over time."""
     rows = with_new_density(
-        corrected_counts(final, sample_info, taxa, inventory, sites=sites, after=after, corrections=corrections), corrections
+        corrected_counts(final, sample_info, taxa, inventory, sites=sites, after=after, corrections=corrections, bucketed=bucketed), corrections
     )
     # The stable label is a function of the group label, so it is derived and not looked up again.
-    return stable_labels(_biop_groups(comparable_taxa(rows, means=[LENGTH]), taxa))
+    return stable_labels(biop_groups(comparable_taxa(rows, means=[LENGTH]), taxa))
 
 
 def site_year_taxa(
@@ -194,14 +205,19 @@ def basin_wide_matrix(
 
 def sample_taxa(
     final: DataFrame, sample_info: DataFrame, taxa: DataFrame, inventory: DataFrame, *, sites: Sequence[str],
-    volume_sites: Sequence[str] | None = None, corrections: Corrections = KNOWN_CORRECTIONS,
+    volume_sites: Sequence[str] | None = None, corrections: Corrections = KNOWN_CORRECTIONS, bucketed: bool = False,
 ) -> DataFrame:
     """Sums per sample, long-term taxon name, order and stage, without eggs."""
     rows = corrected_counts(
-        final, sample_info, taxa, inventory, sites=sites, volume_sites=volume_sites, corrections=corrections, measures=MEASURES
+        final, sample_info, taxa, inventory, sites=sites, volume_sites=volume_sites, corrections=corrections, measures=MEASURES, bucketed=bucketed
     )
     rows = with_new_density(rows, corrections).filter(F.col("Life_stage") != "Egg")
-    named = enrich_taxa(comparable_taxa(rows), taxa, ["Genus_sp_95toPresent", "Order1"])
+    return named_taxa(comparable_taxa(rows), taxa)
+
+
+def named_taxa(rows: DataFrame, taxa: DataFrame) -> DataFrame:
+    """Sums per sample, long-term taxon name, order and stage from sums per sample, taxon and stage."""
+    named = enrich_taxa(rows, taxa, ["Genus_sp_95toPresent", "Order1"])
     return sum_zero_empty(named, [*SAMPLE, "Life_stage2", "Genus_sp_95toPresent", "Order1"], MEASURES)
 
 
@@ -217,10 +233,10 @@ def monthly_taxa(samples: DataFrame, inventory: DataFrame, *, agg: str) -> DataF
     return with_environment(monthly_rollup(samples, "Sample_date", keys, MEASURES, agg=agg), inventory)
 
 
-def index_zoop(final, sample_info, taxa, inventory, *, sites, volume_sites=None, corrections=KNOWN_CORRECTIONS) -> DataFrame:
+def index_zoop(final, sample_info, taxa, inventory, *, sites, volume_sites=None, corrections=KNOWN_CORRECTIONS, bucketed=False) -> DataFrame:
     """Monthly means by site, taxon and stage with monthly environment."""
     rows = sample_taxa(
-        final, sample_info, taxa, inventory, sites=sites, volume_sites=volume_sites, corrections=corrections
+        final, sample_info, taxa, inventory, sites=sites, volume_sites=volume_sites, corrections=corrections, bucketed=bucketed
     )
     return monthly_taxa(rows, inventory, agg="mean")
 
@@ -247,6 +263,11 @@ def annual_report(
     rows = sample_taxa(
         final, sample_info, taxa, inventory, sites=sites, volume_sites=volume_sites, corrections=corrections
     )
+    return crustacean_report(rows, western=western, offsets=offsets, orders=orders)
+
+
+def crustacean_report(rows: DataFrame, *, western: Sequence[str], offsets: Mapping[int, float], orders: Sequence[str] = CRUSTACEAN_ORDERS) -> DataFrame:
+    """The report from sums per sample, long-term taxon name, order and stage."""
     rows = keep_members(keep_members(rows, "Life_stage2", ["YO", "Nauplii"]), "Order1", orders)
     rows = rows.filter(F.year("Sample_date").isin(list(offsets)))
     keys = ["Life_stage2", "Sample_site", "Order1", "Genus_sp_95toPresent"]

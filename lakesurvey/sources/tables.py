@@ -85,11 +85,38 @@ def append_table(df: DataFrame, path: str, *, partition: str | None = None, batc
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
-def append_bucketed(df: DataFrame, table: str, *, key: str = "Sample_ID", buckets: int = 1024, path: str | None = None) -> None:
-    """Append to a catalog table stored in buckets of a key.
+def append_bucketed(
+    df: DataFrame, table: str, *, key: str = "Sample_ID", buckets: int = 1024, path: str | None = None,
+    partition: str | None = None, batch: str | None = None, replace: bool = False,
+) -> None:
+    """Append to a catalog table stored in buckets of a key, optionally partitioned as well.
 
     Facts and samples bucketed alike join, and then group, by that key without a shuffle. Rows are
-    sent to their bucket first, so that a bucket is a few files and not one per task.
+    sent to their bucket first, so that a bucket is a few files and not one per task. A ``batch`` is replaced when it is written
+    again, as in :func:`append_table`; ``replace`` replaces the partitions that the rows belong to, and leaves the others as they are.
     """
-    writer = df.repartition(buckets, key).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key)
-    (writer.option("path", path) if path else writer).saveAsTable(table)
+    spark = df.sparkSession
+    by = [c for c in ("batch" if batch else None, partition) if c]
+    if batch:
+        df = df.withColumn("batch", F.lit(batch))
+    rows = df.repartition(buckets, key)
+
+    def created(frame: DataFrame):
+        writer = frame.write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key)
+        writer = writer.partitionBy(*by) if by else writer
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+
+    if not by:
+        return created(rows)
+    if not spark.catalog.tableExists(table):
+        created(df.limit(0))
+    if not (batch or replace):
+        return created(rows)
+    # Writes into a catalog table take this setting from the session alone.
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        rows.select(*spark.table(table).columns).write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(mode, before)
