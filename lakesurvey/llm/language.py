@@ -12,8 +12,8 @@ many documents at a time.
 
 Fitting uses at most ``fit_rows`` documents with a language, chosen by hashed doc_id, and learns every language that they have. Labelling covers every word of every document.
 
-Defined results: ``und`` with score 0 for null, empty and letterless texts, for texts in writing systems that no learned language
-uses, and where no language was learned; ties go to the language that comes first by name; rows with equal doc_id are labelled each on
+Defined results: ``und`` with score 0 for null, empty and letterless texts (numerals aren't letters), and where no language was learned; a text whose letters
+all belong to writing systems that no learned language uses gets the commonest learned one, with score 0 and no spans; ties go to the language that comes first by name; rows with equal doc_id are labelled each on
 their own; other columns don't matter.
 """
 
@@ -48,6 +48,23 @@ IMPOSSIBLE = -1e4  # a word in a writing system that the language doesn't use, w
 PIECE = 16  # letters of a word that are scored as one
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of a text stand: runs of letters. The pattern takes numerals such as a half or a square for letters; they part words here."""
+    out = []
+    for m in WORD.finditer(text):
+        if m.group().isalpha():
+            out.append(m.span())
+            continue
+        letters = [c.isalpha() for c in m.group()]
+        edges = [k for k in range(len(letters) + 1) if (k > 0 and letters[k - 1]) != (k < len(letters) and letters[k])]
+        out += [(m.start() + a, m.start() + b) for a, b in zip(edges[::2], edges[1::2])]
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    return [text[a:b] for a, b in word_spans(text)]
+
+
 def lowered(text: str) -> str:
     """Lower case with every letter at its place; the only one that would become two is the dotted I."""
     return text.replace("İ", "i").lower()
@@ -74,6 +91,7 @@ class Model:
     shares: list[tuple[np.ndarray, np.ndarray, float]]  # by language: trigram buckets that occur, their log shares, and that of any other
     scripts: np.ndarray  # languages x writing systems: whether used
     penalty: float = 12.0
+    commonest: int = 0  # the language with most trigrams in the sample
 
 
 class WordScores(ChunkTable):
@@ -99,7 +117,7 @@ class WordScores(ChunkTable):
     def learn(self, chunks: list[str], first: np.ndarray) -> None:
         words, counts = [], []
         for chunk in chunks:
-            own = [lowered(chunk)] if chunk.isalpha() else WORD.findall(lowered(chunk))
+            own = [lowered(chunk)] if chunk.isalpha() else words_of(lowered(chunk))
             words += own
             counts.append(len(own))
         width = len(self.model.languages)
@@ -221,7 +239,9 @@ def labelled_texts(table: WordScores, data: np.ndarray, offsets: np.ndarray) ->
     seen_row = row[known]
     new = np.r_[True, (seen[1:] != seen[:-1]) | (seen_row[1:] != seen_row[:-1])][: len(seen)]
     spans = np.bincount(seen_row[new], minlength=rows)
-    return np.where(most > 0, best, -1), most / np.maximum(total, 1), spans
+    # Letters that no learned language uses: the commonest language, with the least score.
+    other = np.where((total > 0) & bool(table.model.languages), table.model.commonest, -1)
+    return np.where(most > 0, best, other), most / np.maximum(total, 1), spans
 
 
 def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +249,7 @@ def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words: dict[str, list[str]] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words.setdefault(lang, []).extend(WORD.findall(lowered(text or "")))
+            words.setdefault(lang, []).extend(words_of(lowered(text or "")))
         for lang, own in words.items():
             if own:
                 grams, _, script, _ = word_grams(own)
@@ -254,15 +274,16 @@ def fit_model(docs: DataFrame, fit_rows: int = 20_000, least_share: float = 0.00
     counted = sample.select("text", "lang").mapInArrow(gram_rows, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
     found = counted.toArrow().to_pandas()
     found = found.sort_values(["lang", "kind", "bucket"], ignore_index=True)
-    names, shares = sorted(found["lang"].unique()), []
+    names, shares, totals = sorted(found["lang"].unique()), [], []
     scripts = np.zeros((max(1, len(names)), len(SCRIPT_NAMES)), bool)
     for name, own in found.groupby("lang", sort=True):
         grams, script = own[own["kind"] == 0], own[own["kind"] == 1]
         counts = grams["n"].to_numpy()
         total = counts.sum() + 0.5 * BUCKETS
+        totals.append(int(counts.sum()))
         scripts[len(shares), script["bucket"].to_numpy()] = script["n"].to_numpy() >= max(1, least_share * script["n"].sum())
         shares.append((grams["bucket"].to_numpy(), np.log((counts + 0.5) / total).astype(np.float32), float(np.log(0.5 / total))))
-    return Model(names, shares, scripts, penalty)
+    return Model(names, shares, scripts, penalty, int(np.argmax(totals)) if totals else 0)
 
 
 def label_rows(model: Model):
@@ -294,7 +315,7 @@ def languages(docs: DataFrame, fit_rows: int = 20_000) -> DataFrame:
 
 def piece_places(chunk: str) -> list[tuple[int, int]]:
     """Where each word of a chunk begins and ends."""
-    found = [m.span() for m in WORD.finditer(lowered(chunk))]
+    found = word_spans(lowered(chunk))
     _, sizes, _, word = word_grams([lowered(chunk)[a:b] for a, b in found])
     begins = np.array([a for a, _ in found])[word] + starts_of(sizes) - starts_of(np.bincount(word, sizes).astype(np.int64))[word]
     return list(zip(begins.tolist(), (begins + sizes).tolist()))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lakesurvey.llm.chunks import ChunkTable, row_slices, text_bytes
 from lakesurvey.llm.common import grown, small_batches, stored
+from lakesurvey.llm.language import lowered
 from lakesurvey.llm.training import fold, labelled, logistic_fit, sigmoid
 
 #: A word: a run of letters, lower-cased; what stands between words doesn't count.
@@ -135,7 +136,7 @@ class WordWeights(ChunkTable):
             if chunk.isalpha():
                 own = [chunk.lower()]
             else:
-                own = WORD.findall(chunk.lower())
+                own = WORD.findall(lowered(chunk))
             counts.append(len(own))
             hits = [(k, number[t]) for k, w in enumerate(own) if (t := next((t for t in tokens_of(w) if t in number), None))]
             codes.append(len(self.held) if hits else -1)
@@ -207,7 +208,7 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for text, label, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words = set(WORD.findall((text.as_py() or "").lower()))
+            words = set(WORD.findall(lowered(text.as_py() or "")))
             for token in {t for w in words for t in tokens_of(w)}:
                 counts.setdefault(token, [0] * (2 * FOLDS))[2 * part + label] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(2 * FOLDS)]], names=["word", *COUNTS])
@@ -227,7 +228,7 @@ def trial_rows(trials: list[list[Model]]):
         for batch in batches:
             rows = []
             for text, label, part in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words, models, memo = WORD.findall((text.as_py() or "").lower()), trials[part], known[part]
+                words, models, memo = WORD.findall(lowered(text.as_py() or "")), trials[part], known[part]
                 if len(memo) > 200_000:
                     memo.clear()
                 for w in set(words).difference(memo):
@@ -401,7 +402,7 @@ def segment_rows(model: Model):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data, offsets = text_bytes(pa.array([text], pa.string()))
                 words, hits = table.documents(data, offsets)
-                spans = [m.span() for m in WORD.finditer(text or "")] if hits[0] is not None else []
+                spans = [m.span() for m in WORD.finditer(lowered(text or ""))] if hits[0] is not None else []
                 for a, b, raw in segments_of(model, int(words[0]), hits[0]):
                     level = float(model.calibrated(np.array(raw), words[0]))
                     if level > -np.log(model.expected):

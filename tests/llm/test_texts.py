@@ -224,12 +224,37 @@ def test_texts_without_blanks_have_a_language(spark):
     from lakesurvey.llm.chunks import text_bytes
 
     best, score, spans = language.labelled_texts(table, *text_bytes(column))
-    assert [[*model.languages, "und"][k] for k in best] == ["zh", "aa", "cc", "ru", "aa", "und", "zh"]
+    common = model.languages[model.commonest]  # of a text whose writing system no language uses
+    assert [[*model.languages, "und"][k] for k in best] == ["zh", "aa", "cc", "ru", "aa", common, "zh"]
     assert score.round(4).tolist() == [1, 1, 1, 1, 0.75, 0, round(300 / 330, 4)] and spans.tolist() == [1, 1, 1, 1, 2, 0, 1]
     rows = language.spans(spark.createDataFrame([(1, "(" + texts[4] + "!) " + letters("cc", 400) + "\n" + letters("ru", 60))], "doc_id long, text string"), model).collect()
     assert [(r.begin, r.end, r.lang) for r in rows] == [(0, 901, "aa"), (901, 1203, "ru"), (1204, 1604, "cc"), (1605, 1665, "ru")]
 
 
+def test_und_is_for_texts_without_letters_alone(spark):
+    samples = {"aa": "abcdefgh  ", "cc": "ijklmnop  "}
+    docs = language_docs(spark, samples).where("lang = 'cc' or doc_id < 20")
+    texts = [(9001, "½ ² ³ ① Ⅳ"), (9002, "привет мир"), (9003, "abc²def ½"), (9004, "12 !?"), (9005, None), (9006, "²"), (9007, "ª")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.languages(docs.unionByName(spark.createDataFrame(texts, "doc_id long, text string"), allowMissingColumns=True)).where("doc_id > 9000").collect()}
+    assert got[9001] == got[9004] == got[9005] == got[9006] == ("und", 0.0)
+    assert got[9002] == ("cc", 0.0) and got[9003] == ("aa", 1.0) and got[9007][0] in samples
+    assert language.words_of("ab²cd½ x¾ ¾y") == ["ab", "cd", "x", "y"] and language.piece_places("a²b") == [(0, 1), (2, 3)]
+
+
+def test_passages_hold_the_words_that_were_scored(spark):
+    """The dotted I is one letter of one word, before and after lower-casing."""
+    assert toxicity.WORD.findall(toxicity.lowered("İstanbul İİ x")) == ["istanbul", "ii", "x"]
+    assert [m.span() for m in toxicity.WORD.finditer(toxicity.lowered("İstanbul İİ x"))] == [(0, 8), (9, 11), (12, 13)]
+
+
+def test_words_that_hash_alike_modulo_a_power_of_two_are_not_linked(spark):
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = ("".join("ab"[b ^ x] for b in bits) for x in (0, 1))
+    rows = [(1, one), (2, two), (3, " ".join([one] * 9)), (4, " ".join([two] * 9)), (5, one)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_groups(rows)
+
+
 def test_every_language_of_the_sample_is_learned(spark):
     rnd = random.Random(5)
     samples = {f"l{k:03}": "".join(rnd.sample("abcdefghijklmnopqrstuvwxyz", 6)) + " " for k in range(130)}
