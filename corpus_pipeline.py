@@ -3,8 +3,8 @@
 Each stage takes what its predecessor kept, as a table read from Parquet. The two filters learn from the labels of documents that reach them
 and drop what they reject; of a group of near-duplicates the document with the smallest doc_id stays; the rest is packed.
 
-Rows without doc_id are scored and packed like others and are never duplicates; rows that repeat a doc_id are one document, of which
-the near-duplicate stage keeps one row. An empty table gives an empty result. Further columns of the documents travel along.
+Rows without doc_id are scored and packed like others and are never duplicates; rows that repeat a doc_id are documents of their own, of which
+the near-duplicate stage keeps one where their texts are alike, and all where they differ. An empty table gives an empty result. Further columns of the documents travel along.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from lakesurvey.llm import neardup, packing, quality, toxicity
 from lakesurvey.llm.common import small_batches, stored, table
 
 
+ROW = "__row"
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.3."""
     model = quality.fit_model(docs, table(spark, sf_dir, "labels"))
@@ -30,12 +33,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one of smallest doc_id.
+
+    Each row is a document of its own, with a key that is written down with it: rows that share a doc_id and differ in text are told apart.
+    """
     small_batches(spark)
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    ids = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    keyed = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    known = keyed.where("doc_id is not null")
+    found = neardup.near_duplicates(known.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    first = found.join(known.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", ROW)).alias("first"))
+    kept = keyed.join(first.select(F.col("first")[ROW].alias(ROW)), ROW, "left_semi")
+    return kept.unionByName(keyed.where("doc_id is null")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
