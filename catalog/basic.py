@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import lit_list, query, snap, snap_sql as S, snapped
 from lakesurvey import schemas
-from lakesurvey.functions import blank_to_null, half_even, if_else, matches, mean_skip, parse_date, paste, ratio, to_number
+from lakesurvey.functions import blank_to_null, half_even, if_else, matches, mean_skip, parse_date, paste, ratio, round_nearest, to_number
 from lakesurvey.operators import aggregates as agg
 from lakesurvey.operators import cleaning as clean
 from lakesurvey.operators import joins, reshape, windows
@@ -325,6 +325,25 @@ def _(t):
     return snapped(reshape.pivot_groups(t.zoop_final, ["Sample_ID"], "Life_stage", "Zoop_biomass", PIVOT))
 
 
+@query("r3_pivot_open", f"""
+SELECT Sample_ID, Life_stage, {S('SUM(Zoop_biomass)', 'Zoop_biomass')} FROM zoop_final GROUP BY 1, 2
+""")
+def _(t):
+    # Melted again, so that the result needs no list of groups either.
+    cells = reshape.pivot_open(t.zoop_final, ["Sample_ID"], "Life_stage", "Zoop_biomass")
+    return snapped(cells.select("Sample_ID", F.explode("cells").alias("Life_stage", "Zoop_biomass")))
+
+
+@query("r3_pivot_open_wide", "SELECT Order1, " + ", ".join(S(f"SUM(CASE WHEN Life_stage = '{g}' THEN Zoop_biomass END)", g) for g in sorted({*PIVOT, "Older", "Younger", "Egg", "Nauplii", "Veliger"})) + """
+FROM zoop_final f LEFT JOIN (SELECT DISTINCT Genus_sp_lifestage AS k, Order1 FROM taxa_groups) x ON Genus_sp_lifestage = k GROUP BY 1
+""")
+def _(t):
+    # A few orders hold all rows. The columns are those that the data have.
+    rows = joins.enrich_taxa(t.zoop_final, t.taxa_groups, ["Order1"])
+    cells = reshape.pivot_open(rows, ["Order1"], "Life_stage", "Zoop_biomass", hot_ids=True)
+    return snapped(reshape.widened(cells, reshape.group_names(cells)))
+
+
 @query("r4_melt_groups", "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT Sample_ID, '{c}' AS reading, {S(c, 'value')} FROM inventory" for c in ("Surface_temp", "Bottom_temp", "Surface_DO")) + ")")
 def _(t):
@@ -743,6 +762,42 @@ def _(t):
     return snapped(rows.groupBy("Life_stage").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("dups"), 1)).alias("repeats"), kept.alias("kept")))
 
 
+@query("w2_flag_repeats", f"""
+SELECT Sample_ID, Genus_sp_lifestage, {', '.join(S(c) for c in DUP_ORDER)},
+  ROW_NUMBER() OVER (PARTITION BY Sample_ID, Genus_sp_lifestage ORDER BY Number_counted NULLS FIRST, Zoop_biomass NULLS FIRST, Zoop_density NULLS FIRST) > 1 AS dups FROM zoop_final
+""")
+def _(t):
+    rows = t.zoop_final.select("Sample_ID", "Genus_sp_lifestage", *DUP_ORDER)
+    return snapped(windows.flag_repeats(rows, ["Sample_ID", "Genus_sp_lifestage"], DUP_ORDER))
+
+
+@query("w2_flag_repeats_hot_key", f"""
+SELECT Life_stage, COUNT(*) AS n, COUNT(CASE WHEN dups THEN 1 END) AS repeats, {S('MAX(CASE WHEN NOT dups THEN Number_counted * 1000000 + Zoop_prod END)', 'kept')} FROM (
+  SELECT Life_stage, Number_counted, Zoop_prod, ROW_NUMBER() OVER (PARTITION BY Life_stage ORDER BY Number_counted, Zoop_prod) > 1 AS dups FROM zoop_final) GROUP BY 1
+""")
+def _(t):
+    rows = windows.flag_repeats(t.zoop_final.select("Life_stage", "Number_counted", "Zoop_prod"), ["Life_stage"], ["Number_counted", "Zoop_prod"])
+    kept = F.max(F.when(~F.col("dups"), F.col("Number_counted") * 1000000 + F.col("Zoop_prod")))
+    return snapped(rows.groupBy("Life_stage").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("dups"), 1)).alias("repeats"), kept.alias("kept")))
+
+
+_LATE = "CAST(Sample_ID AS BIGINT) % 5 = 0"
+
+
+@query("w2_flag_new_batch", f"""
+WITH b AS (SELECT Genus_sp_lifestage, Life_stage, Number_counted, Zoop_prod FROM zoop_final WHERE {_LATE}),
+k AS (SELECT DISTINCT Genus_sp_lifestage AS g, Life_stage AS s FROM zoop_final WHERE NOT ({_LATE}) AND Number_counted > 40)
+SELECT Genus_sp_lifestage, Life_stage, Number_counted, {S('Zoop_prod')},
+  g IS NOT NULL OR ROW_NUMBER() OVER (PARTITION BY Genus_sp_lifestage, Life_stage ORDER BY Number_counted, Zoop_prod) > 1 AS dups
+FROM b LEFT JOIN k ON Genus_sp_lifestage = g AND Life_stage = s
+""")
+def _(t):
+    keys = ["Genus_sp_lifestage", "Life_stage"]
+    rows = t.zoop_final.select(*keys, "Number_counted", "Zoop_prod", F.expr(_LATE).alias("late"))
+    batch, seen = rows.filter("late").drop("late"), rows.filter("NOT late AND Number_counted > 40")
+    return snapped(windows.flag_repeats(batch, keys, ["Number_counted", "Zoop_prod"], seen=seen))
+
+
 @query("w3_sorted_levels", "SELECT DISTINCT Genus_sp_lifestage FROM zoop_final ORDER BY 1")
 def _(t):
     return windows.sorted_levels(t.zoop_final, "Genus_sp_lifestage")
@@ -768,6 +823,19 @@ def _(t):
     return t.raw("lineitem").select("l_orderkey", half_even(q / 2).alias("half"), half_even(q * 12.5).alias("eighth"))
 
 
+_TENTHS = "CAST(o_orderkey % 1000000 AS DOUBLE) / 20000000000 + CAST(o_custkey % 7 AS DOUBLE) * CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1000 ELSE -150000000000000 END"
+
+
+# Halves at the tenth digit, small and large, and values that have no tenth digit; compared to the last bit.
+@query("f2_round_nearest", f"""
+WITH v AS (SELECT o_orderkey, {_TENTHS} AS x FROM orders),
+c AS (SELECT *, ABS(x) AS s, FLOOR(ABS(x) * 10000000000) AS lo, FLOOR(ABS(x) * 10000000000) / 10000000000 AS dn, CEIL(ABS(x) * 10000000000) / 10000000000 AS up FROM v)
+SELECT o_orderkey, CASE WHEN s >= 131072 THEN x ELSE SIGN(x) * CASE WHEN s - dn < up - s OR (s - dn = up - s AND lo % 2 = 0) THEN dn ELSE up END END AS x FROM c
+""")
+def _(t):
+    return t.raw("orders").selectExpr("o_orderkey", f"{_TENTHS} AS x").select("o_orderkey", (round_nearest("x", 10) + F.lit(0.0)).alias("x"))
+
+
 @query("f3_pi_log1p", f"SELECT o_orderkey, {S('LN(o_totalprice + 1)', 'logged')}, {S('PI() * POWER(o_custkey, 2) / 4', 'area')} FROM orders")
 def _(t):
     return t.raw("orders").select("o_orderkey", snap(F.log1p("o_totalprice"), "logged"), snap(F.pi() * F.pow("o_custkey", F.lit(2)) / 4, "area"))

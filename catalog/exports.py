@@ -13,7 +13,7 @@ from catalog.domain import (
 from catalog.registry import ORACLES, lit_list, query, snap_sql as S, snapped
 from lakesurvey.operators.aggregates import histogram
 from lakesurvey.operators.harmonize import IMMATURE_LABELS
-from lakesurvey.operators.rollup import mean, merged_sums, standard_error, total
+from lakesurvey.operators.rollup import bit_counts, distinct_bits, integer_codes, mean, merged_bits, merged_sums, standard_error, total
 from lakesurvey.operators.windows import duplicate_rows
 from lakesurvey.plans import exports as ex
 from lakesurvey.plans import ingest as ing
@@ -381,6 +381,25 @@ def _(t):
     return snapped(by_stage.select("Life_stage2", "rows", total("Zoop_biomass").alias("Zoop_biomass"), mean("Zoop_biomass").alias("mean"), standard_error("Zoop_biomass").alias("se")))
 
 
+@query("a11_merged_distinct", """
+WITH f AS (SELECT z.Sample_ID, CAST(year(Sample_date) AS INT) AS year, Genus_sp_lifestage AS x FROM zoop_final z JOIN sample_info s ON z.Sample_ID = s.Sample_ID)
+SELECT 'sample' AS level, Sample_ID AS name, COUNT(DISTINCT x) AS n FROM f GROUP BY 2 UNION ALL SELECT 'year' AS level, CAST(year AS STRING) AS name, COUNT(DISTINCT x) AS n FROM f GROUP BY 2
+UNION ALL SELECT 'all' AS level, '' AS name, COUNT(DISTINCT x) AS n FROM f
+""")
+def _(t):
+    # Three levels from one aggregation of the facts.
+    codes = integer_codes(t.taxa_groups, TAXON)
+    facts = _stored_buckets(t)[0].select("Sample_ID", "year", TAXON)
+    samples = distinct_bits(facts.join(codes, TAXON), ["Sample_ID", "year"])
+    years = merged_bits(samples, ["year"])
+    parts = [
+        bit_counts(samples, ["Sample_ID"]).selectExpr("'sample' AS level", "Sample_ID AS name", "n"),
+        bit_counts(years, ["year"]).selectExpr("'year' AS level", "CAST(year AS STRING) AS name", "n"),
+        bit_counts(merged_bits(years, []), []).selectExpr("'all' AS level", "'' AS name", "n"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def meso_sql(where):
     return f"""
 WITH {core_sql(SITES_18)}, {pooled_sql()}, {LABELS}, {NAMED}

@@ -7,6 +7,7 @@ zero raises). Each helper fixes one of these; all stay inside built-in, code-gen
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "any_of", "as_col", "blank_to_null", "half_even", "has_any", "if_else", "is_member", "matches", "mean_skip",
-    "mean_strict", "null_below", "null_when", "paste", "ratio", "sum0", "to_number",
+    "mean_strict", "null_below", "null_when", "paste", "ratio", "round_nearest", "sum0", "to_number",
 ]
 
 
@@ -69,6 +70,21 @@ def half_even(c: Column | str, digits: int = 0) -> Column:
     return F.rint(as_col(c)) if digits == 0 else F.bround(as_col(c), digits)
 
 
+def round_nearest(c: Column | str, digits: int) -> Column:
+    """Of the two decimals around a number with so many digits behind the point, the double that lies nearer to it; halfway, the even one.
+
+    Decided on doubles, as statistical software does today, and not on a number's shortest decimal text: 0.15 is less than a half
+    above 0.1 and gives 0.1. Numbers that have no more than 15 digits left before that place are kept.
+    """
+    c = as_col(c)
+    whole = 2.0 ** next(k for k in range(-1100, 1100) if digits + (k + 0.5) * math.log10(2) > 15)
+    power, size = F.lit(10.0**digits), F.abs(c)
+    low = F.floor(size * power).cast("double")
+    below, above = low / power, F.ceil(size * power).cast("double") / power
+    nearest = F.when((size - below < above - size) | ((size - below == above - size) & (low % 2 == 0)), below).otherwise(above)
+    return F.when(size < whole, F.when(c < 0, -nearest).otherwise(nearest)).otherwise(c)
+
+
 def ratio(num: Column | str, den: Column | str) -> Column:
     """Division whose result is null, never an error or infinity, for a zero denominator."""
     return F.try_divide(as_col(num), as_col(den))

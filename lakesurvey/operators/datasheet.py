@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakesurvey.functions import (
-    ADULT_MARK, ALWAYS_YOUNGER, half_even, has_any, initial_stage, ratio, stage_by_length, sum0, to_number,
+    ADULT_MARK, ALWAYS_YOUNGER, half_even, has_any, initial_stage, ratio, round_nearest, stage_by_length, sum0, to_number,
 )
 from lakesurvey.operators.joins import attach_cutoffs, attach_scalars, left_join
 from lakesurvey.operators.reshape import header_spread, unpivot_measurements
@@ -66,7 +66,7 @@ def count_to_density(
     """Density from a count; ``per_litre`` converts the volume column to litres."""
     litres = F.col(volume) if per_litre == 1 else F.col(volume) * per_litre
     d = density_of(F.col(number), F.col("Diluted_vol_mL"), F.col("Subsampled_vol_mL"), litres)
-    return df.withColumn(into, d if digits is None else half_even(d, digits))
+    return df.withColumn(into, d if digits is None else round_nearest(d, digits))
 
 
 def sheet_counts(sheets: DataFrame, key: str = KEY, *, keep: Sequence[str] = ()) -> DataFrame:

@@ -46,6 +46,30 @@ def pivot_groups(df: DataFrame, ids: Sequence[str], group: str, value: str, grou
     return df.groupBy(*ids).agg(*cells)
 
 
+def pivot_open(df: DataFrame, ids: Sequence[str], group: str, value: str, agg=F.sum, *, into: str = "cells", hot_ids: bool = False) -> DataFrame:
+    """One map per id from every group that occurs to its aggregate; the groups needn't be known.
+
+    Rows are moved once, by id, and aggregated there twice. Where one id may hold much of the table, ``hot_ids`` combines by id and
+    group first, which moves the small results a second time. Rows without a group leave their id with the other groups, or an empty map.
+    """
+    rows = df.select(*ids, group, value)
+    cells = (rows if hot_ids else rows.repartition(*ids)).groupBy(*ids, group).agg(agg(value).alias("__value"))
+    entry = F.when(F.col(group).isNotNull(), F.struct(F.col(group), F.col("__value")))
+    return cells.groupBy(*ids).agg(F.map_from_entries(F.collect_list(entry)).alias(into))
+
+
+def group_names(open_pivot: DataFrame, cells: str = "cells") -> list[str]:
+    """All groups of an open pivot in order: the columns that an export of it will have."""
+    names = open_pivot.select(F.explode(F.map_keys(cells)).alias("name")).distinct().orderBy("name")
+    return [r.name for r in names.collect()]
+
+
+def widened(open_pivot: DataFrame, groups: Sequence[str], cells: str = "cells") -> DataFrame:
+    """One column per listed group of an open pivot; a group that an id lacks is null."""
+    others = [c for c in open_pivot.columns if c != cells]
+    return open_pivot.select(*others, *[F.try_element_at(cells, F.lit(g)).alias(g) for g in groups])
+
+
 def stack_frames(*frames: DataFrame) -> DataFrame:
     """Stack by column name; a column one frame lacks is null there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

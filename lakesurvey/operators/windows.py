@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakesurvey.operators.joins import attach_summary
+from lakesurvey.operators.reshape import key_difference
 
-_SALT, _LOCAL = "__salt", "__local_rank"
+_SALT, _LOCAL, _FIRST = "__salt", "__local_rank", "__first"
 
 
 def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], *, flag: str = "dups", parts: int = 256) -> DataFrame:
@@ -33,8 +34,34 @@ def flag_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     return ranked.drop(_SALT, _LOCAL)
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row of each key by the named columns, then by all others: a minimum, which combines before its shuffle."""
+    ordered = [c for c in dict.fromkeys([*order, *df.columns]) if c not in keys]
+    if not ordered:
+        return df.select(*keys).distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*ordered)).alias(_FIRST)).select(*keys, f"{_FIRST}.*").select(*df.columns)
+
+
+def flag_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, flag: str = "dups", seen: DataFrame | None = None) -> DataFrame:
+    """Mark every row of a key but the first in the order of the named columns, without ranking.
+
+    The first rows are minima; all other rows are what is left of the table when one copy of each of them is taken away, a count over whole rows.
+    So the rows are moved once, by a hash of all their columns: a hot key is spread over all tasks, only copies of one whole row meet,
+    and these are counted before they move. Rows alike in every column are interchangeable.
+
+    With ``seen`` (the keys of a stored table) ``df`` is a new batch: a row whose key was there before is a repeat too. Only one row of each key
+    meets the stored keys.
+    """
+    firsts = first_rows(df, keys, order)
+    if seen is not None:
+        firsts = key_difference(firsts, seen, keys)
+    return firsts.withColumn(flag, F.lit(False)).unionByName(df.exceptAll(firsts).withColumn(flag, F.lit(True)))
+
+
 def duplicate_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The repeats alone."""
+    if all(isinstance(c, str) for c in order):
+        return df.exceptAll(first_rows(df, keys, order))
     return flag_duplicates(df, keys, order, flag="dups").filter("dups").drop("dups")
 
 

@@ -80,3 +80,30 @@ def test_stage_by_length(spark, taxon, stage, length, cutoff, want):
 
 def test_collapse_stage(spark):
     assert one(spark, "s string", [("Older",), ("Younger",), ("Egg",), (None,)], L.collapse_stage("s")) == ["YO", "YO", "Egg", None]
+
+
+def test_round_nearest_takes_the_nearer_double(spark):
+    """Values whose decimal text is halfway and whose double is not, true halves (0.45 is as far from the doubles 0.4 and 0.5), and numbers without such a digit."""
+    from fractions import Fraction
+
+    import numpy as np
+
+    want = {0.15: 0.1, 0.25: 0.2, 0.35: 0.3, 0.45: 0.4, 0.65: 0.7, 2.5: 2.5, -0.25: -0.2, -0.15: -0.1, 1e15: 1e15, -1e300: -1e300, 0.0: 0.0}
+    assert one(spark, "x double", [(x,) for x in want], L.round_nearest("x", 1)) == list(want.values())
+    assert one(spark, "x double", [(0.5,), (1.5,), (2.5,), (None,), (float("inf"),)], L.round_nearest("x", 0)) == [0.0, 2.0, 2.0, None, float("inf")]
+    rng = np.random.default_rng(2)
+    values = [*(rng.random(200) * 10.0 ** rng.integers(-8, 6, 200)), *(rng.integers(0, 10**6, 100) / 1e10 + 0.5e-10), 131072.00000000003, 1e15 + 0.125]
+    got = one(spark, "x double", [(float(x),) for x in values], L.round_nearest("x", 10))
+    for x, y in zip(map(float, values), got):
+        assert abs(Fraction(y) - Fraction(x)) <= Fraction(1, 2 * 10**10) + Fraction(abs(x)) * Fraction(1, 2**52)
+
+
+def test_plain_and_lettered_numbers_are_read_alike(spark):
+    texts = ["1", "-2.5", "+.5", "3.", " 4 ", "5 6", "1,5", "--1", "", "1e3", "1E-2", "9" * 400, "0" * 400 + "7", "٣", "12d", "é", "1_0", "0x10", "-", "\t8\n"]
+    def by_pattern(t):
+        import re
+        if not re.fullmatch(r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*", t):
+            return None
+        v = float(t)
+        return v if abs(v) < float("inf") else None
+    assert one(spark, "x string", [(t,) for t in texts], L.to_number("x")) == [by_pattern(t) for t in texts]

@@ -253,3 +253,45 @@ def test_stable_labels_and_renames(spark, rows):
                                "Genus_sp_lifestage string, Genus_sp_95toPresent string, biop_152_names string")
     out = hz.rename_taxa(hz.stable_labels(df))
     assert rows(out, "Genus_sp_95toPresent", "biop_152_names95toPres") == [("Ectocyclops", "Bosminidae"), ("y", "Bosminidae"), (None, None)]
+
+
+def test_flag_repeats_without_ranking(spark, rows):
+    """Copies of one whole row, missing values, a key that is missing, and further columns that break ties."""
+    data = [("a", 1.0, "x"), ("a", 1.0, "x"), ("a", None, "y"), ("b", 2.0, None), ("b", 2.0, "z"), (None, 3.0, "q"), (None, 3.0, "q"), ("c", 5.0, "w")]
+    df = spark.createDataFrame(data, "k string, v double, t string")
+    got = rows(windows.flag_repeats(df, ["k"], ["v"]))
+    first = {("a", None, "y"), ("b", 2.0, None), (None, 3.0, "q"), ("c", 5.0, "w")}
+    want = [(*r, r not in first) for r in data]
+    want[6] = (*data[6], True)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert rows(windows.duplicate_rows(df, ["k"], ["v"])) == rows(windows.flag_duplicates(df, ["k"], ["v"]).filter("dups").drop("dups"))
+    assert "Window" not in windows.flag_repeats(df, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
+    # A new batch against stored keys; a missing key was seen as well.
+    seen = spark.createDataFrame([("b", 0), (None, 0), ("zz", 1)], "k string, other int")
+    late = windows.flag_repeats(df, ["k"], ["v"], seen=seen)
+    assert sorted(map(str, rows(late.filter("not dups").drop("dups")))) == sorted(map(str, [("a", None, "y"), ("c", 5.0, "w")])) and late.count() == len(data)
+    assert rows(windows.flag_repeats(df.select("k"), ["k"], [])) == [("a", False), ("a", True), ("a", True), ("b", False), ("b", True), ("c", False), (None, False), (None, True)]
+    assert windows.flag_repeats(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_no_task_of_repeat_flags_holds_a_hot_key(spark):
+    df = spark.range(0, 60_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), (F.col("id") % 1000).alias("v"), F.col("id").alias("w"))
+    out = windows.flag_repeats(df, ["k"], ["v"])
+    parts = [p.split("), ")[0] for p in out._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]]
+    # Rows move by all their columns; by the key alone only minima that were combined before.
+    assert any(p.count("#") >= 3 for p in parts)
+    assert out.filter("not dups").count() == df.select("k").distinct().count() and out.count() == 60_000
+
+
+@pytest.mark.parametrize("hot_ids", [False, True])
+def test_open_pivot_takes_groups_as_they_come(spark, rows, hot_ids):
+    data = [("a", "x", 1.0), ("a", "x", 2.0), ("a", "new group", None), ("b", None, 9.0), (None, "y", 4.0)]
+    df = spark.createDataFrame(data, "id string, g string, v double")
+    cells = reshape.pivot_open(df, ["id"], "g", "v", hot_ids=hot_ids)
+    assert cells._jdf.queryExecution().executedPlan().toString().count("Exchange") == (2 if hot_ids else 1)
+    assert sorted(map(str, rows(cells))) == sorted(map(str, [("a", {"x": 3.0, "new group": None}), ("b", {}), (None, {"y": 4.0})]))
+    groups = reshape.group_names(cells)
+    assert groups == ["new group", "x", "y"]
+    wide = reshape.widened(cells, groups)
+    assert wide.columns == ["id", *groups]
+    assert rows(wide) == rows(reshape.pivot_groups(df, ["id"], "g", "v", groups))

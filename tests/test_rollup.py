@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from catalog import exports as queries
 from catalog.exports import AFTER, FIXES, SITES_4, SITES_18
 from catalog.views import Tables
-from lakesurvey.operators.rollup import mean, measures_of, merged_sums, partial_sums, standard_error, total
+from lakesurvey.operators.rollup import bit_counts, distinct_bits, integer_codes, mean, measures_of, merged_bits, merged_sums, partial_sums, standard_error, total
 from lakesurvey.plans import exports as ex
 from lakesurvey.plans import ingest, rollup
 from lakesurvey.sources import append_bucketed
@@ -89,6 +89,20 @@ def test_parts_merge_to_what_the_rows_give(spark, rows):
     assert merged_sums(fine.limit(0), ["k"]).count() == 0
 
 
+def test_distinct_counts_merge(spark, rows):
+    """Codes on both sides of a word's edge, repeats across groups, and a missing code."""
+    data = [(k % 7, k % 3, k * 31 % 200) for k in range(900)] + [(0, 0, 63), (0, 0, 64), (6, 2, None), (9, 9, None)]
+    coded = spark.createDataFrame(data, "sample int, year int, code int")
+    fine = distinct_bits(coded, ["sample", "year"])
+    for keys in (["sample", "year"], ["year"], []):
+        want = coded.dropna().groupBy(*keys).agg(F.countDistinct("code").alias("n"))
+        assert rows(bit_counts(merged_bits(fine, keys), keys)) == rows(want)
+    plan = merged_bits(fine, ["year"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bit_or" in plan and "ObjectHash" not in plan and "SortAggregate" not in plan
+    names = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "x string")
+    assert rows(integer_codes(names, "x")) == [("a", 0), ("b", 1)]
+
+
 def test_refreshing_a_year_rewrites_that_year_alone(spark, tmp_path):
     table, path = f"level_{uuid.uuid4().hex}", str(tmp_path / "level")
     columns = "Sample_ID string, Genus_sp_lifestage string, Life_stage string, Number_counted double, Zoop_density double, Zoop_biomass double, Zoop_len_avg double, year int"
