@@ -4,7 +4,7 @@ Documents are encoded and cut into pieces of at most ``capacity`` tokens. Full p
 own. The others are dealt at random to parts of about ``part_rows`` pieces, and every part is packed best-fit
 decreasing. Dual feasible functions bound each part's bins from below. A part whose bins meet its bound is
 certified; the pieces of the others, and of every part's loosely filled bins, are exchanged: they are
-dealt anew by another hash and packed again, and this goes on while it saves bins.
+dealt anew by another hash and packed again, and this goes on while it saves bins. Each row tells its part's gap to the bound.
 
 Defined results: a null text is empty and holds the end id alone; rows with equal doc_id are packed each on its
 own; an empty table gives no rows; columns other than doc_id and text don't matter, whatever their names.
@@ -27,6 +27,7 @@ from lakesurvey.llm.common import small_batches, starts_of, stored
 
 CAPACITY = 4096
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
+SAVING = 0.999  # share of the bins taking part that an exchange must get below, or it was in vain
 PLACED = PIECES + ", sequence_id long, offset long, fill long, gap long"
 
 
@@ -134,22 +135,21 @@ def pack_part(capacity: int, round_no: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, part_rows: int = 50_000, rounds: int = 3, loose: float = 0.97) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, part_rows: int = 50_000, patience: int = 2, loose: float = 0.97) -> DataFrame:
     """Pieces of all documents with their sequence and place.
 
     ``docs`` has doc_id and text; ``tokenizer`` is the path of a word vocabulary. Parts hold ``part_rows`` pieces on
-    average, whatever the input. ``rounds`` bounds the exchanges; bins filled less than ``loose``, or in a part
-    that isn't certified and not full, take part in them.
+    average, whatever the input. Bins filled less than ``loose``, or in a part that isn't certified and not full, take part in the exchanges, which go on
+    until ``patience`` of them in a row saved less than one in a thousand of the bins that took part. ``gap`` tells how many bins the part that placed a row has beyond its bound: 0 is certified.
     """
     spark = docs.sparkSession
     small_batches(spark)
     pieces = stored(docs.select("doc_id", "text").mapInArrow(piece_rows(tokenizer, end_id, capacity), PIECES), "pieces")
-    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long"), "gap": F.lit(0).cast("long")})
     out, left = [full.select(*PLACED_OUT)], pieces.where(F.col("length") < capacity)
-    count, before = left.count(), None
-    for k in range(rounds + 1):
-        if not count:
-            break
+    count, before, vain, k = left.count(), None, 0, -1
+    while count:
+        k += 1
         parts = -(-count // part_rows)
         dealt = left.select(*[c.split()[0] for c in PIECES.split(", ")], F.pmod(F.xxhash64("uid", F.lit(k)), F.lit(parts)).alias("part"))
         placed = stored(dealt.groupBy("part").applyInPandas(pack_part(capacity, k), PLACED), "packed")
@@ -157,16 +157,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
         bins = F.count_distinct(F.when(again, F.col("sequence_id")))
         seen = placed.agg(F.sum(again.cast("long")).alias("n"), bins.alias("bins")).first()
         n, now = seen["n"] or 0, seen["bins"]
-        # One part can't exchange with others; and an exchange that no longer saves bins is the last one.
-        if k == rounds or parts == 1 or not n or (before is not None and now >= before):
+        vain = vain + 1 if before is not None and now > SAVING * before else 0
+        # One part can't exchange with others. Numbers of sequences have room for 127 rounds.
+        if parts == 1 or not n or vain == patience or k == 126:
             out.append(placed.select(*PLACED_OUT))
             break
         out.append(placed.where(~again).select(*PLACED_OUT))
-        left, count, before = placed.where(again), n, now
+        left, count, before = placed.where(again), n, now if before is None else min(before, now)
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)
     return result
 
 
-PLACED_OUT = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+PLACED_OUT = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap"]

@@ -142,10 +142,22 @@ def test_packing(edge, no_docs, part_rows):
             assert offset == end
             end += length
         assert end <= 4096
+    assert all(r.gap >= 0 for r in got) and (part_rows < 1000 or {r.gap for r in got} == {0})
     total = sum(r.length for r in got)
     assert len(places) <= -(-total // 4096) + (0 if part_rows > 1000 else 8)
 
 
+def test_exchanges_go_on_while_they_save_bins(spark):
+    """Parts of a few pieces that fit only across parts: the bins come close to the bound of all."""
+    rnd = random.Random(6)
+    texts = [(k, " ".join(["dog"] * rnd.choice([1365, 1400, 2690, 2730, 700, 3390]))) for k in range(120)]
+    got = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), WORDS, part_rows=10).collect()
+    least = packing.least_bins(np.array([r.length for r in got]), 4096)
+    once = sum(len(packing.best_fit(np.array([r.length for r in got])[k::12], 4096)[2]) for k in range(12))
+    bins = len({r.sequence_id for r in got})
+    assert least <= bins < once and bins <= 1.06 * least + 2
+
+
 def test_merging_long_sequences_agrees_with_the_arrays():
     pieces = tokencounts.Pieces(PIECES)
     rng = random.Random(3)
