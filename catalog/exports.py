@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from catalog.basic import SITES_4, SITES_8, SITES_18
+from catalog.basic import PROFILED, SITES_4, SITES_8, SITES_18
 from catalog.domain import (
     ENV_SQL, MAJOR, PATH, POOLED, SIZE_TABLE, SPECIES, STAGE2, TAXON, VELIGER, WITH_TAXA,
 )
@@ -17,6 +17,7 @@ from lakesurvey.operators.rollup import bit_counts, distinct_bits, integer_codes
 from lakesurvey.operators.windows import duplicate_rows
 from lakesurvey.plans import exports as ex
 from lakesurvey.plans import ingest as ing
+from lakesurvey.plans import profiles as pf
 from lakesurvey.plans import requests as rq
 from lakesurvey.plans import rollup as ru
 from lakesurvey.plans.rules import Corrections
@@ -400,6 +401,39 @@ def _(t):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_SKETCHES: dict[tuple[str, str], str] = {}
+
+
+def _sketches(t):
+    """Facts with their year, and the folder of their sketches, written once per session and table folder."""
+    final, place = _stored_buckets(t)[0], (t.spark.sparkContext.applicationId, t.folder)
+    if place not in _SKETCHES:
+        folder = shared_folder(t.spark, "sketches")
+        pf.store_sketches(final, folder, PROFILED, ["Genus_sp_lifestage", "Life_stage"])
+        _SKETCHES[place] = folder
+    return final, _SKETCHES[place]
+
+
+@query("a15_profile_from_sketches", ORACLES["a15_profile_numeric"], raw=True)
+def _(t):
+    final, folder = _sketches(t)
+    return snapped(pf.stored_profile(final, folder, PROFILED))
+
+
+@query("a15_profile_years_from_sketches", "WITH f AS (SELECT z.* FROM zoop_final z JOIN sample_info s ON z.Sample_ID = s.Sample_ID WHERE year(Sample_date) IN (1996, 1998)) " + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", COUNT(*) - COUNT({c}) AS n_missing, {S(f'MIN({c})', 'min')}, {S(f'AVG({c})', 'mean')}, {S(f'MAX({c})', 'max')},
+    {S(f'quantile_cont({c}, 0.25)', 'q25')}, {S(f'quantile_cont({c}, 0.5)', 'q50')}, {S(f'quantile_cont({c}, 0.75)', 'q75')} FROM f"""
+    for c in PROFILED))
+def _(t):
+    final, folder = _sketches(t)
+    return snapped(pf.stored_profile(final, folder, PROFILED, years=[1996, 1998]))
+
+
+@query("a15_levels_from_sketches", ORACLES["a15_profile_levels"], raw=True)
+def _(t):
+    return pf.stored_levels(t.spark, _sketches(t)[1], ["Genus_sp_lifestage", "Life_stage"], top=100)
+
+
 def meso_sql(where):
     return f"""
 WITH {core_sql(SITES_18)}, {pooled_sql()}, {LABELS}, {NAMED}

@@ -199,14 +199,46 @@ QUARTILES = (0.25, 0.5, 0.75)
 CUTS = 256  # parts of a bracket that are ranked apart
 
 
+def order_statistics(counted: DataFrame) -> DataFrame:
+    """``column, p, n, h, u, v``: the values of rank floor(h) and ceil(h) among counted values.
+
+    ``counted`` has ``column, p, n, h, x, m``: how often each value occurs in the bracket of a probability, and in a row of null ``x`` how
+    many values lie under it. The bracket is cut into parts of about as many values each; part totals tell in which parts
+    the two order statistics lie, and only those parts are ranked.
+    """
+    keys = ["column", "p", "n", "h"]
+    # Both uses of the counted values ask for their number, so that one shuffle of them serves both.
+    cuts = counted.filter("m > 0").groupBy("column", "p").agg(F.percentile_approx("x", [k / CUTS for k in range(1, CUTS)], 10_000).alias("cuts"))
+    part = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("x"))))
+    parted = counted.join(F.broadcast(cuts), ["column", "p"]).withColumn("part", part).drop("cuts")
+    before = Window.partitionBy("column", "p").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parted.groupBy(*keys, "part").agg(F.sum("m").alias("total")).withColumn("below", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    low, high = F.floor("h"), F.ceil("h")
+    within = lambda rank: (F.col("below") < rank) & (F.col("below") + F.col("total") >= rank)
+    wanted = totals.filter(within(low) | within(high)).select("column", "p", "part", "below")
+    upto = Window.partitionBy("column", "p", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parted.join(F.broadcast(wanted), ["column", "p", "part"]).withColumn("r", F.sum("m").over(upto) + F.col("below")).withColumn("before", F.col("r") - F.col("m"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") < rank) & (F.col("r") >= rank), F.col("x")))
+
+    return ranked.groupBy(*keys).agg(at(low).alias("u"), at(high).alias("v"))
+
+
+def quantiles_wide(found: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """One row per column: between the two order statistics of each probability, linearly."""
+    between = F.col("u") + (F.col("h") - F.floor("h")) * (F.col("v") - F.col("u"))
+    found = found.withColumn("q", F.when(F.col("u") == F.col("v"), F.col("u")).otherwise(between))
+    return found.groupBy("column").agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"q{round(p * 100):02d}") for p in probs])
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float] = QUARTILES, *, accuracy: int = 100_000) -> DataFrame:
     """Exact interpolated quantiles (linear between order statistics), one row per column.
 
     Sorting a whole column into one task, or one buffer of all its values, would not scale.
     Instead a sketch brackets each quantile between two values whose ranks surround it: about 3/accuracy of the rows to either
     side, or as many as hold the two order statistics of a short column. A second pass counts the values below the
-    bracket and merges equal values in it. The bracket is cut into parts of about as many values each; part totals tell in
-    which parts the two order statistics lie, and only those parts are ranked.
+    bracket and merges equal values in it; :func:`order_statistics` ranks what is left.
     """
     margins = [3.0 / accuracy]
     while margins[-1] < 1:
@@ -240,27 +272,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         .groupBy(*keys, F.when(F.col("x") >= F.col("a"), F.col("x")).alias("x"))
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    cuts = counted.groupBy("column", "p").agg(F.percentile_approx("x", [k / CUTS for k in range(1, CUTS)], 10_000).alias("cuts"))
-    part = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda c: c < F.col("x"))))
-    parted = counted.join(F.broadcast(cuts), ["column", "p"]).withColumn("part", part).drop("cuts")
-    before = Window.partitionBy("column", "p").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parted.groupBy(*keys, "part").agg(F.sum("m").alias("total")).withColumn("below", F.coalesce(F.sum("total").over(before), F.lit(0)))
-    low, high = F.floor("h"), F.ceil("h")
-    within = lambda rank: (F.col("below") < rank) & (F.col("below") + F.col("total") >= rank)
-    wanted = totals.filter(within(low) | within(high)).select("column", "p", "part", "below")
-    upto = Window.partitionBy("column", "p", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = parted.join(F.broadcast(wanted), ["column", "p", "part"]).withColumn("r", F.sum("m").over(upto) + F.col("below")).withColumn("before", F.col("r") - F.col("m"))
+    return quantiles_wide(order_statistics(counted), probs)
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") < rank) & (F.col("r") >= rank), F.col("x")))
 
-    found = ranked.groupBy(*keys).agg(at(low).alias("u"), at(high).alias("v")).withColumn(
-        "q", F.col("u") + (F.col("h") - F.floor("h")) * (F.col("v") - F.col("u"))
-    )
-    return found.groupBy("column").agg(*[F.max(F.when(F.col("p") == float(p), F.col("q"))).alias(f"q{round(p * 100):02d}") for p in probs])
-
-
-def _as_number(df: DataFrame, column: str) -> Column:
+def as_number(df: DataFrame, column: str) -> Column:
     """A column's values as doubles: days of a date, seconds of a time, 0 or 1 of a truth value."""
     kind = df.schema[column].dataType.typeName()
     c = F.col(column)
@@ -276,7 +291,7 @@ def profile_numeric(df: DataFrame, columns: Sequence[str], *, accuracy: int = 10
 
     Dates count as days since 1970, times as seconds, truth values as 0 and 1; :func:`profile_dates` gives dates back.
     """
-    df = df.select(*[_as_number(df, c).alias(c) for c in columns])
+    df = df.select(*[as_number(df, c).alias(c) for c in columns])
     stats = df.agg(*[
         F.struct(
             F.lit(c).alias("column"), F.count(F.when(F.col(c).isNull(), 1)).alias("n_missing"),
@@ -304,6 +319,11 @@ def profile_levels(df: DataFrame, columns: Sequence[str], *, top: int = 100) ->
         df.select(*[F.col(c).cast("string").alias(c) for c in columns])
         .unpivot([], list(columns), "column", "level").groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
     )
+    return top_levels(counts, top)
+
+
+def top_levels(counts: DataFrame, top: int) -> DataFrame:
+    """The report of :func:`profile_levels` from the counts ``column, level, n``."""
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("level").asc_nulls_first())
     first = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top + 1)
     many = first.groupBy("column").agg((F.max("rank") > top).alias("many"))
