@@ -26,7 +26,7 @@ from lakesurvey.llm.common import small_batches, stored
 
 BLOCK, QUERIES, STEP = 4096, 256, 16
 PACKED = "dimension int, n int, ids binary, columns binary"
-LARGE = 2**20  # components from here on are multiplied as Python integers
+EXACT = 2**53  # doubles hold whole numbers below this; sums that may pass it are made of Python integers
 
 
 def packed_rows(size: int, scale: int):
@@ -82,7 +82,7 @@ def search_block(best: Best, queries: np.ndarray, ids: np.ndarray, columns: np.n
     """Take a block of candidates (dimension by candidate) into the best of these queries (query by dimension)."""
     dimension, n = columns.shape
     most = max(int(np.abs(queries).max(initial=0)), int(np.abs(columns).max(initial=0)))
-    if most >= LARGE:
+    if dimension * most * most >= EXACT:
         exact = np.clip(queries.astype(object) @ columns.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
         i, j = np.nonzero(best.ids[:, None] != ids[None, :])
         best.add(i, ids[j], exact[i, j])

@@ -141,3 +141,17 @@ def test_pruning_keeps_the_best():
             order = np.lexsort((np.arange(3000), -exact[q]))[:10]
             assert best.candidate[best.query == q].tolist() == (order + 100).tolist()
             assert best.score[best.query == q].tolist() == exact[q, order].tolist()
+
+
+def test_sums_beyond_what_doubles_hold_are_exact():
+    """Components that alone are small enough, in so many dimensions that their sums are not."""
+    rng = np.random.default_rng(3)
+    queries, columns = rng.integers(2**20 - 9, 2**20 - 1, (2, 20_000)), rng.integers(2**20 - 9, 2**20 - 1, (20_000, 12))
+    best = topk.Best(np.arange(2), 10)
+    topk.search_block(best, queries, np.arange(100, 112), columns)
+    exact = [[sum(map(int.__mul__, q, c)) for c in columns.T.tolist()] for q in queries.tolist()]
+    assert max(map(max, exact)) > 2**53
+    for q in range(2):
+        order = sorted(range(12), key=lambda i: (-exact[q][i], i))[:10]
+        assert best.candidate[best.query == q].tolist() == [i + 100 for i in order]
+        assert best.score[best.query == q].tolist() == [exact[q][i] for i in order]
