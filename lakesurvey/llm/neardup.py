@@ -3,15 +3,18 @@
 Two collections of sub-keys, each of ``BANDS`` sub-keys over ``ROWS`` minhashes, are computed for a document. A
 table's key pairs one sub-key of the first with one of the second collection, so ``2 * BANDS * ROWS`` minhashes
 serve ``BANDS ** 2`` tables of ``2 * ROWS`` minhashes each. Two documents meet in a table exactly when they share a sub-key in both
-collections, so rows are grouped by sub-keys of the first and matched on the second within the group; a
-group that is too large for that is dealt out by the full pair.
+collections, so rows are grouped by sub-keys of the first and matched on the second within the group.
 
 1. One row for each distinct shingle set goes on; its copies are linked through it.
-2. Groups are cut to cells of bounded size. A cell names the pairs that meet in a table there for the first time and whose
+2. Groups are cut to cells of bounded size, large ones at random. A cell names the pairs that meet in a table there for the first time and whose
    2 * BANDS * ROWS minhashes agree often enough to be worth a look.
 3. The documents so named come to their cells with their full sets. A cell takes its pairs, those that agree most first, and
    confirms each unless confirmed links connect it already; so it gives as many links as join its documents, and no more.
-4. Components of the links.
+4. Components of the links. They join what a large group of near copies holds, as its members meet in other blocks at every sub-key.
+5. Large groups that still hold several components are dealt by full pairs of sub-keys, and only members of different
+   components are compared: the commonest component of a table key is cut to blocks that meet the blocks of the others, never each other. The
+   components so linked are joined. A group of near copies costs in proportion to its size this way; blocks multiply
+   only where many members of one table key belong to other components than its commonest.
 
 All links are confirmed on full shingle sets. A pair at similarity 0.75 is missed with a chance of about 2e-4, one at 0.8 of about 1e-5,
 and components lose it only if no other path links its documents.
@@ -121,15 +124,15 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc = np.asarray(batch.column(1))
         new = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
-        data, offsets = text_bytes(batch.column(4).take(pa.array(new)))
+        data, offsets = text_bytes(batch.column(5).take(pa.array(new)))
         sets: list[bytes] = []
         for i, j in row_slices(data, offsets):
             keys, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             sets += [x.tobytes() for x in np.split(keys, np.cumsum(sizes)[:-1])]
         for i in range(0, len(doc), 500):
             own = np.searchsorted(new, np.arange(i, min(i + 500, len(doc))), "right") - 1
-            columns = [batch.column(k).slice(i, len(own)) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[k] for k in own.tolist()], pa.binary())], names=["cell", "node", "partners", "agree", "shingles"])
+            columns = [batch.column(k).slice(i, len(own)) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([sets[k] for k in own.tolist()], pa.binary())], names=["cell", "node", "component", "partners", "agree", "shingles"])
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -156,12 +159,12 @@ def named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over rows sorted by cell: the documents that are in a pair worth a look, with their partners.
 
     A pair is named where it first meets: at the first sub-key of the first collection that both share, and in a group
-    that was dealt by pairs of sub-keys at the first one of the second.
+    that was dealt by pairs of sub-keys at the first one of the second. Members of one component aren't compared, nor those of one block where two blocks meet.
     """
-    out: dict[str, list] = {"cell": [], "node": [], "partners": [], "agree": []}
+    out: dict[str, list] = {"cell": [], "node": [], "component": [], "partners": [], "agree": []}
 
     def packed() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
         batch = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
         for v in out.values():
             v.clear()
@@ -171,19 +174,24 @@ def named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = group.num_rows
         if n < 2:
             continue
-        cell, at, table = (group.column(k)[0].as_py() for k in (0, 2, 3))
-        node = np.asarray(group.column(1))
-        a, b = (group.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, BANDS) for k in (4, 5))
-        sig = np.frombuffer(b"".join(group.column(6).to_pylist()), "<u2").reshape(n, HASHES)
+        cell, at, table = (group.column(k)[0].as_py() for k in (0, 4, 5))
+        node, component, block = (np.asarray(group.column(k)) for k in (1, 2, 3))
+        a, b = (group.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, BANDS) for k in (6, 7))
+        sig = np.frombuffer(b"".join(group.column(8).to_pylist()), "<u2").reshape(n, HASHES)
+        two_blocks = bool((block != block[0]).any())
         partners: dict[int, tuple[list[int], list[int]]] = {}
         for i in range(n - 1):
-            agree = (sig[i + 1 :] == sig[i]).sum(axis=1)
+            apart = component[i + 1 :] != component[i]
+            if two_blocks:
+                apart &= block[i + 1 :] != block[i]
+            others = np.flatnonzero(apart) + i + 1
+            agree = (sig[others] == sig[i]).sum(axis=1)
             near = np.flatnonzero(agree >= AGREE)
             if not len(near):
                 continue
-            others = near + i + 1
+            others = others[near]
             same_a, same_b = a[others] == a[i], b[others] == b[i]
-            here = (same_a.argmax(axis=1) == at) & same_b.any(axis=1) & (node[others] != node[i])
+            here = (same_a.argmax(axis=1) == at) & same_b.any(axis=1)
             if table >= 0:
                 here &= same_b.argmax(axis=1) == table
             if here.any():
@@ -191,7 +199,7 @@ def named_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in others[here].tolist():
                     partners.setdefault(j, ([], []))
         for i, (others, agree) in partners.items():
-            for column, value in zip(out.values(), (cell, int(node[i]), others, agree)):
+            for column, value in zip(out.values(), (cell, int(node[i]), int(component[i]), others, agree)):
                 column.append(value)
         if len(out["cell"]) > 10_000:
             yield packed()
@@ -206,13 +214,14 @@ def similar(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def linked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over rows sorted by cell, with sets: confirmed links that join the cell's documents."""
+    """For mapInArrow over rows sorted by cell, with sets: confirmed links that join the components of the cell's documents."""
     for group in sorted_groups(batches):
-        sets = {k: np.frombuffer(v.as_buffer(), np.uint64) for k, v in zip(group.column(1).to_pylist(), group.column(4))}
+        sets = {k: np.frombuffer(v.as_buffer(), np.uint64) for k, v in zip(group.column(1).to_pylist(), group.column(5))}
         pairs = []
-        for x, others, agree in zip(*(group.column(k).to_pylist() for k in (1, 2, 3))):
+        for x, others, agree in zip(*(group.column(k).to_pylist() for k in (1, 3, 4))):
             pairs += [(-n, x, y) for y, n in zip(others, agree)]
-        root = {k: k for k in sets}
+        own = dict(zip(group.column(1).to_pylist(), group.column(2).to_pylist()))
+        root = {k: k for k in own.values()}
 
         def top(k: int) -> int:
             while root[k] != k:
@@ -222,47 +231,66 @@ def linked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         links = []
         for _, x, y in sorted(pairs):
-            p, q = top(x), top(y)
+            p, q = top(own[x]), top(own[y])
             if p != q and similar(sets[x], sets[y]):
                 root[p] = q
-                links.append((x, y))
+                links.append((own[x], own[y]))
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], names=["x", "y"])
 
 
-def cells_of(reps: DataFrame) -> DataFrame:
-    """Rows (cell, node, at, table, a, b, sig) of the documents that share a sub-key of the first collection.
-
-    Groups of up to ``CELL`` rows are cells. Larger ones are dealt by pairs of sub-keys, which is the tables' own key; what is
-    still larger is cut to blocks, and every two blocks meet in a cell.
-    """
+def members_of(reps: DataFrame) -> DataFrame:
+    """Rows (group, at, node, n) of the documents that share a sub-key of the first collection with others, n in all."""
     grouped = reps.select(F.col("doc_id").alias("node"), F.posexplode("a").alias("at", "sub")).withColumn("group", F.xxhash64("at", "sub"))
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(grouped.join(sizes, "group").select("group", "at", "node", "n"), "groups")
+    return stored(grouped.join(sizes, "group").select("group", "at", "node", "n"), "groups")
+
+
+def with_payload(rows: DataFrame, reps: DataFrame) -> DataFrame:
     payload = reps.select(F.col("doc_id").alias("node"), "a", "b", "sig")
-    columns = ["cell", "node", "at", "table", "a", "b", "sig"]
-    small = members.where(F.col("n") <= CELL).join(payload, "node").withColumns({"cell": F.col("group"), "table": F.lit(-1)}).select(*columns)
-    dealt = members.where(F.col("n") > CELL).join(payload, "node").select("node", "at", "group", "a", "b", "sig", F.posexplode("b").alias("table", "sub"))
-    dealt = dealt.withColumn("key", F.xxhash64("group", "table", "sub"))
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    dealt = dealt.join(sizes, "key")
-    blocks = F.ceil(F.col("m") / CELL)
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "key"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return small.unionByName(dealt.select(*columns))
+    return rows.join(payload, "node").select("cell", "node", "component", "block", "at", "table", "a", "b", "sig")
+
+
+def block_cells(members: DataFrame) -> DataFrame:
+    """Cells of the groups, each member in one cell of its group: the whole group, or a random block of it."""
+    block = F.pmod(F.xxhash64("node", "group"), F.ceil(F.col("n") / CELL))
+    return members.select(F.xxhash64("group", block).alias("cell"), "node", F.col("node").alias("component"), F.lit(0).cast("long").alias("block"), "at", F.lit(-1).alias("table"))
+
+
+def apart_cells(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Cells of the large groups in which members of different components meet, by pairs of sub-keys.
+
+    The commonest component of a key has the blocks -1, -2 and so on, all others together the blocks 0, 1 and so on.
+    """
+    large = members.where(F.col("n") > CELL).join(labels, "node", "left").select("group", "at", "node", F.coalesce("component", "node").alias("component"))
+    mixed_groups = large.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("group")
+    large = stored(large.join(mixed_groups, "group"), "mixed")
+    keyed = large.join(reps.select(F.col("doc_id").alias("node"), F.posexplode("b").alias("table", "sub")), "node")
+    keyed = keyed.select(F.xxhash64("group", "table", "sub").alias("key"), "node", "component", "at", "table")
+    parts = keyed.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key")
+    sizes = parts.agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "component")).alias("most")).where(F.col("most.rows") < F.col("all"))
+    dealt = keyed.join(sizes, "key")
+    whole, main = F.col("all") <= CELL, F.col("component") == F.col("most.component")
+    mains, others = F.ceil(F.col("most.rows") / CELL), F.ceil((F.col("all") - F.col("most.rows")) / CELL)
+    place, zero = F.xxhash64("node", "key"), F.lit(0).cast("long")
+    dealt = dealt.withColumn("block", F.when(whole, zero).when(main, -1 - F.pmod(place, mains)).otherwise(F.pmod(place, others)))
+    met = F.when(whole, F.array(zero)).when(main, F.sequence(zero, others - 1)).otherwise(F.sequence(-mains, others - 1))
+    dealt = dealt.withColumn("other", F.explode(met))
+    cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    return dealt.select(cell.alias("cell"), "node", "component", "block", "at", "table")
 
 
 def confirmed_links(cells: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (x, y) that join the documents of each cell, confirmed on full sets.
+    """Links (x, y) that join the components of each cell's documents, confirmed on full sets.
 
     Texts move to the named rows by doc_id once, sets to the cells once. The named rows grow with the data, so the join is
     never a broadcast, however few they happen to be.
     """
     ordered = cells.repartition("cell").sortWithinPartitions("cell")
-    named = stored(ordered.mapInArrow(named_rows, "cell long, node long, partners array<long>, agree array<int>"), "named")
+    named = stored(ordered.mapInArrow(named_rows, "cell long, node long, component long, partners array<long>, agree array<int>"), "named")
     texts = docs.select(F.col("doc_id").alias("node"), "text").where("node is not null")
-    rows = named.hint("merge").join(texts, "node").select("cell", "node", "partners", "agree", "text")
-    full = rows.mapInArrow(set_rows, "cell long, node long, partners array<long>, agree array<int>, shingles binary")
+    rows = named.hint("merge").join(texts, "node").select("cell", "node", "component", "partners", "agree", "text")
+    full = rows.mapInArrow(set_rows, "cell long, node long, component long, partners array<long>, agree array<int>, shingles binary")
     return stored(full.repartition("cell").sortWithinPartitions("cell").mapInArrow(linked_rows, "x long, y long"), "links")
 
 
@@ -276,9 +304,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = full.join(classes.select("n_shingles", "h1", "h2", F.col("rep").alias("doc_id")), ["doc_id", "n_shingles", "h1", "h2"], "left_semi")
     reps = stored(reps.select("doc_id", "a", "b", "sig"), "reps")
 
-    labels = components(confirmed_links(cells_of(reps), docs))
-    nodes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    nodes = nodes.select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(nodes, ["n_shingles", "h1", "h2"], "left")
+    members = members_of(reps)
+    labels = components(confirmed_links(with_payload(block_cells(members), reps), docs))
+    joined = components(confirmed_links(with_payload(apart_cells(members, labels, reps), reps), docs))
+    nodes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("first", F.coalesce("component", "rep"))
+    nodes = nodes.drop("component").join(joined.withColumnRenamed("node", "first"), "first", "left")
+    nodes = nodes.select("n_shingles", "h1", "h2", F.coalesce("component", "first").alias("component_id"))
+    # Texts without words link with nothing: they need no join, in which they would all have one key.
+    some = F.col("n_shingles") > 0
+    out = signed.where(some).select("doc_id", "n_shingles", "h1", "h2").join(nodes, ["n_shingles", "h1", "h2"], "left").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(signed.where(~some).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -57,12 +57,52 @@ def families(seed, families=6, size=40, words=90):
 
 @pytest.mark.parametrize("cell", [8, 1024])
 def test_near_duplicates(spark, cell, monkeypatch):
-    monkeypatch.setattr(neardup, "CELL", cell)  # small cells: groups are dealt by pairs of sub-keys and cut to blocks
+    monkeypatch.setattr(neardup, "CELL", cell)  # small cells: groups are cut to blocks, then dealt by pairs of sub-keys
     rows = families(cell)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == brute_groups(rows)
 
 
+def near_copies(n, kinds, seed):
+    """Signed rows of near copies of ``kinds`` texts, dealt in turn."""
+    rnd = random.Random(seed)
+    words = [[f"w{rnd.randrange(10**6)}" for _ in range(400)] for _ in range(kinds)]
+    texts = []
+    for k in range(n):
+        own = list(words[k % kinds])
+        own[rnd.randrange(400)] = f"x{k}"
+        texts.append(" ".join(own))
+    return [(k, t) for k, t in enumerate(texts)]
+
+
+def test_cells_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 32)
+    rows = {}
+    for n in (256, 512):
+        docs = spark.createDataFrame(near_copies(n, 1, 3), "doc_id long, text string")
+        reps = docs.mapInArrow(neardup.signed_rows, neardup.SIGNED).select("doc_id", "a", "b", "sig").cache()
+        members = neardup.members_of(reps)
+        cells = neardup.with_payload(neardup.block_cells(members), reps)
+        labels = neardup.components(neardup.confirmed_links(cells, docs))
+        assert labels.select("component").distinct().count() == 1
+        rows[n] = cells.count() + neardup.apart_cells(members, labels, reps).count()
+        # One document outside the component: every other meets it once for each key they share, and none of its own component.
+        alone = labels.where("node <> 7")
+        apart = neardup.apart_cells(members, alone, reps)
+        assert apart.count() <= 18 * 18 * 2 * n
+        links = neardup.confirmed_links(neardup.with_payload(apart, reps), docs)
+        assert {tuple(sorted(r)) for r in links.collect()} == {(0, 7)}
+    assert rows[256] <= 18 * 256 and rows[512] <= 18 * 512
+
+
+def test_large_components_that_share_keys_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL", 4)
+    monkeypatch.setattr(neardup, "block_cells", lambda members: members.where("n < 0").selectExpr("group as cell", "node", "node as component", "0L as block", "at", "-1 as table"))
+    rows = near_copies(90, 2, 5)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute_groups(rows)
+
+
 def test_near_duplicates_of_odd_rows(edge, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
     got = neardup.near_duplicates(edge).collect()
