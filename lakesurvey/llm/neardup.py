@@ -11,10 +11,10 @@ collections, so rows are grouped by sub-keys of the first and matched on the sec
 3. The documents so named come to their cells with their full sets. A cell takes its pairs, those that agree most first, and
    confirms each unless confirmed links connect it already; so it gives as many links as join its documents, and no more.
 4. Components of the links. They join what a large group of near copies holds, as its members meet in other blocks at every sub-key.
-5. Large groups that still hold several components are dealt by full pairs of sub-keys, and only members of different
-   components are compared: the commonest component of a table key is cut to blocks that meet the blocks of the others, never each other. The
-   components so linked are joined. A group of near copies costs in proportion to its size this way; blocks multiply
-   only where many members of one table key belong to other components than its commonest.
+5. In large groups that still hold several components, only members of different ones are compared: the commonest component is
+   cut to blocks that meet the blocks of the others, never each other, and where the others are many too, the group is dealt by full pairs of
+   sub-keys first. The components so linked are joined. A group of near copies costs in proportion to its size this way; blocks
+   multiply only where many members of one table key belong to other components than its commonest.
 
 All links are confirmed on full shingle sets. A pair at similarity 0.75 is missed with a chance of about 2e-4, one at 0.8 of about 1e-5,
 and components lose it only if no other path links its documents.
@@ -257,29 +257,43 @@ def block_cells(members: DataFrame) -> DataFrame:
     return members.select(F.xxhash64("group", block).alias("cell"), "node", F.col("node").alias("component"), F.lit(0).cast("long").alias("block"), "at", F.lit(-1).alias("table"))
 
 
-def apart_cells(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Cells of the large groups in which members of different components meet, by pairs of sub-keys.
+def with_parts(keyed: DataFrame) -> DataFrame:
+    """Rows of keys that hold several components, with the number of all rows of the key and of its commonest component."""
+    parts = keyed.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key")
+    sizes = parts.agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "component")).alias("most")).where(F.col("most.rows") < F.col("all"))
+    return keyed.join(sizes, "key")
+
+
+def dealt_blocks(keyed: DataFrame) -> DataFrame:
+    """Cells in which members of different components meet.
 
     The commonest component of a key has the blocks -1, -2 and so on, all others together the blocks 0, 1 and so on.
     """
-    large = members.where(F.col("n") > CELL).join(labels, "node", "left").select("group", "at", "node", F.coalesce("component", "node").alias("component"))
-    mixed_groups = large.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("group")
-    large = stored(large.join(mixed_groups, "group"), "mixed")
-    keyed = large.join(reps.select(F.col("doc_id").alias("node"), F.posexplode("b").alias("table", "sub")), "node")
-    keyed = keyed.select(F.xxhash64("group", "table", "sub").alias("key"), "node", "component", "at", "table")
-    parts = keyed.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key")
-    sizes = parts.agg(F.sum("rows").alias("all"), F.max(F.struct("rows", "component")).alias("most")).where(F.col("most.rows") < F.col("all"))
-    dealt = keyed.join(sizes, "key")
     whole, main = F.col("all") <= CELL, F.col("component") == F.col("most.component")
     mains, others = F.ceil(F.col("most.rows") / CELL), F.ceil((F.col("all") - F.col("most.rows")) / CELL)
     place, zero = F.xxhash64("node", "key"), F.lit(0).cast("long")
-    dealt = dealt.withColumn("block", F.when(whole, zero).when(main, -1 - F.pmod(place, mains)).otherwise(F.pmod(place, others)))
+    dealt = keyed.withColumn("block", F.when(whole, zero).when(main, -1 - F.pmod(place, mains)).otherwise(F.pmod(place, others)))
     met = F.when(whole, F.array(zero)).when(main, F.sequence(zero, others - 1)).otherwise(F.sequence(-mains, others - 1))
     dealt = dealt.withColumn("other", F.explode(met))
     cell = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     return dealt.select(cell.alias("cell"), "node", "component", "block", "at", "table")
 
 
+def apart_cells(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """Cells of the large groups that hold several components.
+
+    Where all but the commonest component fit one block, that block meets the others; else the group is dealt by pairs of sub-keys first.
+    """
+    large = members.where(F.col("n") > CELL).join(labels, "node", "left")
+    large = large.select(F.col("group").alias("key"), "node", F.coalesce("component", "node").alias("component"), "at", F.lit(-1).alias("table"))
+    large = stored(with_parts(large), "mixed")
+    few = F.col("all") - F.col("most.rows") <= CELL
+    seconds = reps.select(F.col("doc_id").alias("node"), F.posexplode("b").alias("second", "sub"))
+    paired = large.where(~few).select("key", "node", "component", "at").join(seconds, "node")
+    paired = paired.select(F.xxhash64("key", "second", "sub").alias("key"), "node", "component", "at", F.col("second").alias("table"))
+    return dealt_blocks(large.where(few)).unionByName(dealt_blocks(with_parts(paired)))
+
+
 def confirmed_links(cells: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (x, y) that join the components of each cell's documents, confirmed on full sets.
 

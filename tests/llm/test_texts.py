@@ -86,10 +86,10 @@ def test_cells_of_near_copies_grow_in_proportion(spark, monkeypatch):
         labels = neardup.components(neardup.confirmed_links(cells, docs))
         assert labels.select("component").distinct().count() == 1
         rows[n] = cells.count() + neardup.apart_cells(members, labels, reps).count()
-        # One document outside the component: every other meets it once for each key they share, and none of its own component.
+        # One document outside the component: every other meets it once for each sub-key they share, and none of its own component.
         alone = labels.where("node <> 7")
         apart = neardup.apart_cells(members, alone, reps)
-        assert apart.count() <= 18 * 18 * 2 * n
+        assert apart.count() <= 18 * 2 * n
         links = neardup.confirmed_links(neardup.with_payload(apart, reps), docs)
         assert {tuple(sorted(r)) for r in links.collect()} == {(0, 7)}
     assert rows[256] <= 18 * 256 and rows[512] <= 18 * 512
