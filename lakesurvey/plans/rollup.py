@@ -31,14 +31,17 @@ LEVEL_KEYS = ("Sample_ID", TAXON, "Life_stage2")
 
 
 def sample_level(
-    final: DataFrame, taxa: DataFrame, *, exclude: Sequence[str] = UNTRUSTED_TAXA, immatures: Sequence[tuple[str, str, str]] = IMMATURE_RULES,
+    final: DataFrame, taxa: DataFrame, *, exclude: Sequence[str] = UNTRUSTED_TAXA, immatures: Sequence[tuple[str, str, str]] = IMMATURE_RULES, buckets: int | None = None,
 ) -> DataFrame:
-    """Partial sums per sample, pooled taxon and collapsed stage, without untrusted taxa; by year where the facts have it."""
+    """Partial sums per sample, pooled taxon and collapsed stage, without untrusted taxa; by year where the facts have it.
+
+    With ``buckets`` the rows are sent to the buckets of their samples first, where their sums are then written as they lie.
+    """
     keys = [*LEVEL_KEYS, *[c for c in ("year",) if c in final.columns]]
     rows = enrich_taxa(final.select("Sample_ID", TAXON, "Life_stage", *MEASURES, LENGTH, *keys[3:]), taxa, ["Order1"])
     rows = with_collapsed_stage(reassign_immatures(rows, immatures))
     rows = regex_exclude(recode_values(rows, TAXON, TAXON_TYPOS), TAXON, *exclude)
-    return partial_sums(rows, keys, [*MEASURES, LENGTH])
+    return partial_sums(rows.repartition(buckets, "Sample_ID") if buckets else rows, keys, [*MEASURES, LENGTH])
 
 
 def store_level(final: DataFrame, taxa: DataFrame, table: str, *, years: Sequence[int] | None = None, buckets: int = 1024, path: str | None = None) -> None:
@@ -48,7 +51,7 @@ def store_level(final: DataFrame, taxa: DataFrame, table: str, *, years: Sequenc
     """
     if years is not None:
         final = final.filter(F.col("year").isin(list(years)))
-    append_bucketed(sample_level(final, taxa), table, buckets=buckets, path=path, partition="year", replace=True)
+    append_bucketed(sample_level(final, taxa, buckets=buckets), table, buckets=buckets, path=path, partition="year", replace=True)
 
 
 @dataclass(frozen=True)
