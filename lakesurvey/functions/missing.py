@@ -93,15 +93,18 @@ def ratio(num: Column | str, den: Column | str) -> Column:
 #: Text that counts as a number: digits with an optional sign, point and exponent, and blanks around them.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
+#: Letters of which a text that a cast takes for a number has at least one, if it has letters: suffixes, exponents, hexadecimal marks, words.
+CAST_LETTERS = "dDfFeExXnN"
+
 
 def to_number(c: Column | str) -> Column:
     """Text to double; anything but a finite number becomes null.
 
-    A cast alone would take ``12d`` or ``NaN`` for numbers. Binary doubles, because cutoff tests depend on them. A text without letters, as nearly
-    all are, can be none of these: it is only cast, and the pattern is kept for the rest.
+    A cast alone would take ``12d`` or ``NaN`` for numbers. Binary doubles, because cutoff tests depend on them. A text without the letters that a cast
+    accepts, as nearly all are, can be none of these: it is only cast, and the pattern is kept for the rest.
     """
     text = as_col(c).cast("string")
-    plain = (F.lower(text) == F.upper(text)) & (F.octet_length(text) < 300)
+    plain = ~any_of(text.contains(letter) for letter in CAST_LETTERS) & (F.octet_length(text) < 300)
     value = F.when(text.rlike(NUMBER), text.try_cast("double"))
     return F.when(plain, text.try_cast("double")).otherwise(F.when(F.abs(value) < float("inf"), value))
 

@@ -141,7 +141,7 @@ def attach_scalars(rows: DataFrame, headers: DataFrame, columns: Sequence[str],
     The sheet key is never null, and a sheet is a few hundred rows, so no key is hot.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    return left_join(rows, headers.select(*keys, *columns), keys, null_keys=False, split_hot=False)
+    return left_join(rows, headers.select(*keys, *columns).hint("shuffle_hash"), keys, null_keys=False, split_hot=False)
 
 
 def attach_cutoffs(rows: DataFrame, cutoffs: DataFrame, *, on: str = "Genus_sp_lifestage") -> DataFrame:

@@ -37,17 +37,19 @@ def header_spread(
 def unpivot_measurements(
     df: DataFrame, ids: Sequence[str], cells: Sequence[str], *, name: str, value: str, keep_null: bool = False, parse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """One row per cell; empty cells are dropped unless kept. ``parse`` is applied to a cell first, once.
+    """One row per cell; empty cells are dropped unless kept. ``parse`` is applied to a cell, once.
 
-    The cells of a row are exploded in place, empty ones left out before: rows that lie by one of the ids still do, which an unpivot would hide from
-    the planner.
+    The cells of a row are exploded in place as they stand: rows that lie by one of the ids still do, which an unpivot would hide from the planner.
+    A cell is parsed as a row of its own, in compiled code, where a function over the array would be interpreted for each of its cells; it is exploded
+    once more as parsed, so that leaving out what parsing made empty doesn't parse it again.
     """
-    found = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in cells])
-    if parse is not None:
-        found = F.transform(found, lambda cell: F.struct(cell["name"].alias("name"), parse(cell["value"]).alias("value")))
+    long = df.select(*ids, F.inline(F.array(*[F.struct(F.lit(c).alias("__name"), F.col(c).alias("__cell")) for c in cells])))
     if not keep_null:
-        found = F.filter(found, lambda cell: cell["value"].isNotNull())
-    return df.select(*ids, F.inline(found)).select(*ids, F.col("name").alias(name), F.col("value").alias(value))
+        long = long.filter(F.col("__cell").isNotNull())
+    if parse is not None:
+        long = long.select(*ids, "__name", F.explode(F.array(parse("__cell"))).alias("__cell"))
+        long = long if keep_null else long.filter(F.col("__cell").isNotNull())
+    return long.select(*ids, F.col("__name").alias(name), F.col("__cell").alias(value))
 
 
 def pivot_groups(df: DataFrame, ids: Sequence[str], group: str, value: str, groups: Sequence[str], agg=F.sum) -> DataFrame:
