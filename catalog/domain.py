@@ -135,7 +135,7 @@ SELECT source_file, COUNT(*) FILTER (Life_stage <> 'Egg') AS n_lengths, COUNT(*)
   {S("COALESCE(SUM(Length_OU) FILTER (Life_stage = 'Egg'), 0)", 'eggs')} FROM all_lengths GROUP BY 1
 """)
 def _(t):
-    lengths, eggs = ds.split_eggs(ds.sheet_lengths(t.sheets, _headers(t), t.in_use("cutoffs")))
+    lengths, eggs = ds.split_eggs(ds.sheet_lengths(t.sheets, _headers(t), t.in_use("cutoffs")), by_name=True)
     both = lengths.select("source_file", F.lit(1).alias("l"), F.lit(0).alias("e"), F.lit(0.0).alias("eggs")).unionByName(
         eggs.select("source_file", F.lit(0).alias("l"), F.lit(1).alias("e"), F.col("Number_eggs").alias("eggs")))
     return snapped(both.groupBy("source_file").agg(F.sum("l").alias("n_lengths"), F.sum("e").alias("n_egg_rows"), F.sum("eggs").alias("eggs")))

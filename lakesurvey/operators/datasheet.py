@@ -96,9 +96,14 @@ def sheet_lengths(sheets: DataFrame, headers: DataFrame, cutoffs: DataFrame, key
     return long.withColumn("Life_stage", stage).drop("mm_per_ocular_unit", "Length_cutoff")
 
 
-def split_eggs(lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lengths proper, and the Egg rows, whose measurement is a number of eggs."""
-    eggs = lengths.filter(F.col("Life_stage") == "Egg").withColumnRenamed("Length_OU", "Number_eggs").drop("Length_mm", "Life_stage")
+def split_eggs(lengths: DataFrame, *, by_name: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lengths proper, and the Egg rows, whose measurement is a number of eggs.
+
+    With ``by_name``, for lengths as :func:`sheet_lengths` gives them, only names of eggs are looked at for Egg rows: cutoffs and young names may
+    take the stage Egg away, nothing else gives it. What isn't stored is then worked out for these taxa a second time, not for all.
+    """
+    eggs = lengths.filter(initial_stage(TAXON) == "Egg") if by_name else lengths
+    eggs = eggs.filter(F.col("Life_stage") == "Egg").withColumnRenamed("Length_OU", "Number_eggs").drop("Length_mm", "Life_stage")
     return lengths.filter(F.col("Life_stage") != "Egg"), eggs
 
 
