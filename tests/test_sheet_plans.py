@@ -48,7 +48,7 @@ def cutoffs(spark):
     return spark.createDataFrame([(10.0, "T1_w_eggs")], "Length_cutoff double, Genus_sp_lifestage string")
 
 
-@pytest.mark.parametrize("name", ["d2_length_to_mm", "d3_stage_by_length", "d9_split_eggs"])
+@pytest.mark.parametrize("name", ["d2_length_to_mm", "d3_stage_by_length", "d9_split_eggs", "q02_zoop_final", "d13_qa_measured_counts", "d15_qa_status", "q01_ingest_sheets_status"])
 def test_lengths_are_neither_sorted_nor_interpreted(spark, folder, name):
     df = QUERIES[name](spark, folder)
     for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
@@ -79,3 +79,14 @@ def test_eggs_by_name_are_the_same_eggs(spark, rows):
     assert rows(named) == rows(eggs) and {r.Genus_sp_lifestage for r in named.collect()} == {"T2_eggs"}
     plan = named._jdf.queryExecution().optimizedPlan().toString()
     assert "'_eggs'" in plan.split("Generate")[-1] or "_eggs)" in plan.split("Generate")[-1]
+
+
+def test_shares_count_measured_cells(spark, rows):
+    """Cells that are no numbers, and sheets without a scale, are not measured; a taxon without measured cells has null shares."""
+    every = ds.stage_proportions(sheets(spark), headers(spark), cutoffs(spark))
+    some = ds.stage_proportions(sheets(spark), headers(spark), cutoffs(spark), measured_only=True)
+    got = {(r.source_file, r.Genus_sp_lifestage): (r.Prop_O, r.Prop_Y) for r in every.collect()}
+    assert got == {("one", "T1_w_eggs"): (0.5, 0.5), ("one", None): (1.0, 0.0), **{("one", t): (None, None) for t in ("T6", "T7")},
+                   **{("two", t): (None, None) for t in ("T1_w_eggs", None, "T6", "T7")}}
+    measured = {k: v for k, v in got.items() if v[0] is not None}
+    assert {(r.source_file, r.Genus_sp_lifestage): (r.Prop_O, r.Prop_Y) for r in some.collect() if r.Prop_O is not None} == measured
