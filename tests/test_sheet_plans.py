@@ -1,5 +1,7 @@
 """Work on sheets is compiled and lies by sheet: no sort, no interpreted function over cells, no table looked at twice in full."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
@@ -9,6 +11,7 @@ from lakesurvey import schemas
 from lakesurvey.functions import to_number
 from lakesurvey.operators import datasheet as ds
 from lakesurvey.operators.reshape import unpivot_measurements
+from lakesurvey.sources import scan_datasheets, write_csv
 
 HEADERS = StructType([StructField("source_file", StringType()), StructField("mm_per_ocular_unit", DoubleType())])
 TAXA = [("T1_w_eggs", ["10", "40", "junk"]), ("T2_eggs", ["3", None, "12d"]), ("T3_eggs_immature", ["7"]), ("T4_nauplii", ["NaN", "2"]), (None, ["5"]), ("T6", []), ("T7", ["no"])]
@@ -90,3 +93,31 @@ def test_shares_count_measured_cells(spark, rows):
                    **{("two", t): (None, None) for t in ("T1_w_eggs", None, "T6", "T7")}}
     measured = {k: v for k, v in got.items() if v[0] is not None}
     assert {(r.source_file, r.Genus_sp_lifestage): (r.Prop_O, r.Prop_Y) for r in some.collect() if r.Prop_O is not None} == measured
+
+
+@pytest.mark.parametrize("whole_bytes", [1 << 20, 1])
+def test_compressed_files_hold_the_same_sheets(spark, rows, tmp_path, whole_bytes):
+    """Read whole or by lines; plain and packed files are told apart by their names."""
+    frame = sheets(spark).drop("source_file").withColumn("Value", F.lit('a "quoted", cell')).withColumn("Sample_ID", F.col("Genus_sp_lifestage"))
+    for name, compressed in (("plain", False), ("packed", True)):
+        write_csv(frame.coalesce(1), f"{tmp_path}/{name}", compressed=compressed)
+    packed = scan_datasheets(spark, f"{tmp_path}/packed", "*.csv.gz", whole_bytes=whole_bytes, column_report=True).drop("source_file")
+    plain = scan_datasheets(spark, f"{tmp_path}/plain", whole_bytes=whole_bytes, column_report=True).drop("source_file")
+    assert rows(packed) == rows(plain) and packed.count() == frame.count()
+    assert rows(packed.select(*frame.columns)) == rows(frame.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in frame.columns}))
+
+
+def test_a_packed_byte_counts_for_several(spark, tmp_path):
+    write_csv(sheets(spark).drop("source_file").coalesce(1), f"{tmp_path}/packed", compressed=True)
+    size = next(p.stat().st_size for p in tmp_path.glob("packed/*.csv.gz"))
+    scan = scan_datasheets(spark, f"{tmp_path}/packed", "*.csv.gz", whole_bytes=4 * size)
+    assert "Union" in plan_of(scan) and scan.count() == 2 * len(TAXA)
+
+
+def test_derived_sheet_files_are_packed(spark, folder, monkeypatch):
+    written = []
+    monkeypatch.setattr("catalog.basic.shared_folder", lambda spark, label: written.append(f"{folder}/{label}-{len(written)}") or written[-1])
+    for name in ("s1_scan_datasheets", "s1_scan_by_header"):
+        assert QUERIES[name](spark, folder).count()
+    files = [p.name for path in written if "sheet" in path for p in Path(path).rglob("part-*")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
