@@ -47,7 +47,7 @@ def unpivot_measurements(
     if not keep_null:
         long = long.filter(F.col("__cell").isNotNull())
     if parse is not None:
-        long = long.select(*ids, "__name", F.explode(F.array(parse("__cell"))).alias("__cell"))
+        long = long.select(*ids, "__name", F.explode(F.array(parse(F.col("__cell")))).alias("__cell"))
         long = long if keep_null else long.filter(F.col("__cell").isNotNull())
     return long.select(*ids, F.col("__name").alias(name), F.col("__cell").alias(value))
 
